@@ -5,9 +5,11 @@ documents by two-hop counting. A shingle weighs its count in the text times a da
 1 + DAMP, in steps of 1/64: undamped weights would let the few changed words of a near copy outweigh a passage that
 thousands of copies share. BANDS x ROWS consistent samples make band keys; documents that share one are candidates.
 
-Equal texts fall together first. Each bucket compares its members with a leader, another one in each band; verified links
+Equal texts fall together first. Each bucket compares its members with a leader; verified links
 (weighted Jaccard >= 0.8, in integers) are joined to components; then every pair of a bucket that lies in different
-components and may reach 0.8 by its weights is verified too. So no link between candidates is lost and a group of n copies
+components and may reach 0.8 is verified too. What can be 0.8 alike is bounded exactly by the weights of shingles that no
+other document holds: two texts have at most the lesser of their shared weights in common, which rules out most pairs of
+heavily edited copies unseen. A leader is the member with the least unshared weight. So no link between candidates is lost and a group of n copies
 costs about n comparisons per band. A pair of similarity 0.8 is a candidate with probability 0.9994, of 0.9 with 1 - 1e-9.
 
 Texts without words (null, empty) are in no group, each its own class; so are single documents. Ties and repeated rows: rows
@@ -18,7 +20,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import blocks, stored, table
@@ -125,7 +127,8 @@ def packed_set(hashes: np.ndarray, weights: np.ndarray) -> bytes:
 
 
 def sketches(docs: DataFrame, id_col: str, text: str) -> DataFrame:
-    """Stored rows (id, key, uid, bands, weight, shingles) of all documents."""
+    """Stored rows (id, key, uid, bands, weight, shared, shingles) of all documents; shared: weight of shingles that other
+    documents hold too."""
     size = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).alias("bytes"), F.count("*").alias("n")).first()
     n = blocks(size["bytes"], FRAGMENT_BYTES)
     log_buckets = n.bit_length() - 1
@@ -145,19 +148,21 @@ def sketches(docs: DataFrame, id_col: str, text: str) -> DataFrame:
         held = answered(a, 1, keys, 1, bits, log_buckets)
         rate = np.rint(GRID * (1 + DAMP * np.log1p(size.n / held) / np.log1p(size.n))).astype(np.int64)
         sampler = Sampler()
-        bands, weight, sets = [], [], []
+        bands, weight, shared, sets = [], [], [], []
         for n_rows, rows, h, tf in got:
-            w = tf * rate[np.searchsorted(keys, h >> short)]
+            at = np.searchsorted(keys, h >> short)
+            w = tf * rate[at]
+            shared.append(np.bincount(rows, w * (held[at] > 1), minlength=n_rows).astype(np.int64))
             bands.append(band_keys(sampler.samples(rows, h, w, n_rows)))
             weight.append(np.bincount(rows, w, minlength=n_rows).astype(np.int64))
             ends = np.searchsorted(rows, np.arange(n_rows + 1))
             sets += [packed_set(h[x:y], w[x:y]) for x, y in zip(ends[:-1].tolist(), ends[1:].tolist())]
         flat = np.concatenate([np.zeros((0, BANDS), np.int64), *bands])
         lists = pa.ListArray.from_arrays(pa.array(np.arange(len(flat) + 1) * BANDS, pa.int32()), pa.array(flat.ravel()))
-        return pa.table([t.column("id"), t.column("key"), pa.chunked_array([lists]), pa.array(np.concatenate([np.zeros(0, np.int64), *weight])), pa.array(sets, pa.binary())], ["id", "key", "bands", "weight", "shingles"])
+        return pa.table([t.column("id"), t.column("key"), pa.chunked_array([lists]), pa.array(np.concatenate([np.zeros(0, np.int64), *weight])), pa.array(np.concatenate([np.zeros(0, np.int64), *shared])), pa.array(sets, pa.binary())], ["id", "key", "bands", "weight", "shared", "shingles"])
 
     sent = exchange(parts, n, ask, answer({}, {1: bits - log_buckets}), 1 << log_buckets)
-    out = parts.groupBy("frag").cogroup(sent.groupBy("frag")).applyInArrow(sketch, f"id {kind}, key string, bands array<long>, weight long, shingles binary")
+    out = parts.groupBy("frag").cogroup(sent.groupBy("frag")).applyInArrow(sketch, f"id {kind}, key string, bands array<long>, weight long, shared long, shingles binary")
     return stored(out.withColumn("uid", F.monotonically_increasing_id()), "sketches")
 
 
@@ -178,23 +183,31 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return stored(both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "links")
 
 
+def reach(a: str, b: str) -> Column:
+    """Can two texts be THRESHOLD alike? They have at most the lesser shared weight in common, and at most the lesser weight."""
+    both = F.least(f"{a}shared", f"{b}shared").cast("double")
+    return (both >= THRESHOLD * (F.col(f"{a}weight") + F.col(f"{b}weight") - both)) & (F.least(f"{a}weight", f"{b}weight") >= THRESHOLD * F.greatest(f"{a}weight", f"{b}weight"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: id, key (md5 of the text), class_id, class_size, keep (one document of each class)."""
     s = sketches(docs, id_col, text)
-    texts = stored(s.groupBy("key").agg(F.min("uid").alias("uid"), F.first("bands").alias("bands"), F.first("weight").alias("weight")), "texts")
-    lists = texts.where("weight > 0").select("uid", "weight", F.explode("bands").alias("bucket"))
-    heads = lists.groupBy("bucket").agg(F.count("*").alias("n"), F.min_by("uid", F.xxhash64("uid", "bucket")).alias("leader")).where("n > 1").select("bucket", "leader")
+    texts = stored(s.groupBy("key").agg(F.min("uid").alias("uid"), F.first("bands").alias("bands"), F.first("weight").alias("weight"), F.first("shared").alias("shared")), "texts")
+    able = texts.where("weight > 0").where(reach("", ""))
+    lists = able.select("uid", "weight", "shared", F.explode("bands").alias("bucket"))
+    first = F.struct(F.round((F.col("weight") - F.col("shared")) / F.col("weight"), 2), F.xxhash64("uid", "bucket"), "uid", "weight", "shared")
+    heads = lists.groupBy("bucket").agg(F.count("*").alias("n"), F.min(first).alias("l")).where("n > 1").select("bucket", "l.uid", "l.weight", "l.shared").toDF("bucket", "leader", "l_weight", "l_shared")
     members = stored(lists.join(heads, "bucket"), "members")
-    pairs = members.where("uid <> leader").select(F.least("uid", "leader").alias("a"), F.greatest("uid", "leader").alias("b")).distinct()
+    pairs = members.where("uid <> leader").where(reach("", "l_")).select(F.least("uid", "leader").alias("a"), F.greatest("uid", "leader").alias("b")).distinct()
     touched = stored(members.select("uid").distinct(), "touched")
     sets = stored(only(s.select("uid", "shingles"), touched, "uid", touched.count()), "sets")
     links = verified(pairs, sets)
     roots = components(links)
-    tagged = members.join(roots.withColumnRenamed("id", "uid"), "uid", "left").select("bucket", "uid", "weight", F.coalesce("root", "uid").alias("root"))
+    tagged = members.join(roots.withColumnRenamed("id", "uid"), "uid", "left").select("bucket", "uid", "weight", "shared", F.coalesce("root", "uid").alias("root"))
     mixed = tagged.groupBy("bucket", "root").count().groupBy("bucket").agg(F.count("*").alias("n"), F.max_by("root", F.struct("count", "root")).alias("main")).where("n > 1").select("bucket", "main")
     inside = stored(tagged.join(mixed, "bucket"), "mixed")
     few, all_ = inside.where("root <> main").alias("m"), inside.alias("x")
-    fits = (F.least("m.weight", "x.weight") >= THRESHOLD * F.greatest("m.weight", "x.weight")) & (F.col("m.root") != F.col("x.root")) & ((F.col("x.root") == F.col("x.main")) | (F.col("x.uid") > F.col("m.uid")))
+    fits = reach("m.", "x.") & (F.col("m.root") != F.col("x.root")) & ((F.col("x.root") == F.col("x.main")) | (F.col("x.uid") > F.col("m.uid")))
     rest = few.join(all_, (F.col("m.bucket") == F.col("x.bucket")) & fits).select(F.least("m.uid", "x.uid").alias("a"), F.greatest("m.uid", "x.uid").alias("b")).distinct()
     more = verified(rest, sets)
     roots = components(links.union(more))
