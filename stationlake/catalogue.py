@@ -1,11 +1,170 @@
-"""Registered queries and their SQL equivalents."""
+"""Registered queries and their SQL equivalents. Doubles are rounded to 6 digits and times given in microseconds."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .fixtures import view, with_views
+from .operators import audit, flow, frames, inequality, service, spatial
 
-def oracle_sql() -> dict:
-    return {}
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def _plain(df: DataFrame) -> DataFrame:
+    out = {}
+    for f in df.schema:
+        kind = f.dataType.simpleString()
+        if kind == "double":
+            out[f.name] = F.round(f.name, 6) + F.lit(0.0)
+        elif kind.startswith("timestamp"):
+            out[f.name] = F.unix_micros(F.col(f.name).cast("timestamp"))
+        elif kind in ("int", "smallint", "tinyint"):
+            out[f.name] = F.col(f.name).cast("long")
+    return df.withColumns(out) if out else df
+
+
+def _add(name: str, build: Callable, views: str, sql: str | None = None) -> None:
+    """build gets one DataFrame per view named."""
+    _QUERIES[name] = lambda spark, sf_dir: _plain(build(*(view(spark, sf_dir, v) for v in views.split())))
+    if sql:
+        _SQL[name] = with_views(sql)
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
+
+
+K = "system_id, station_id"
+W = f"(partition by {K} order by fetched_at)"
+NF = f", f as (select *, num_bikes_available - lag(num_bikes_available) over {W} as nf from v_panel)"
+US = "epoch_us({})".format
+R = "round(cast({} as double), 6) as {}".format
+HAV = "2 * 6371000.0 * atan2(sqrt({a}), sqrt(1 - {a}))"
+
+
+def _hav(la1: str, lo1: str, la2: str, lo2: str) -> str:
+    a = f"(pow(sin(radians({la2} - {la1}) / 2), 2) + cos(radians({la1})) * cos(radians({la2})) * pow(sin(radians({lo2} - {lo1}) / 2), 2))"
+    return HAV.format(a=a)
+
+
+def _sql(extra: str, body: str) -> str:
+    return with_views("\0").replace(" \0", extra + " " + body)
+
+
+def _addx(name: str, build: Callable, views: str, extra: str, body: str) -> None:
+    _add(name, build, views)
+    _SQL[name] = _sql(extra, body)
+
+
+# --- flows -----------------------------------------------------------------------------------------------------------
+
+_addx("net_flow", lambda p: flow.net_flow(p).select("system_id", "station_id", "fetched_at", "net_flow"), "v_panel", NF, f"select {K}, {US('fetched_at')} as fetched_at, nf as net_flow from f")
+_addx("turnover", lambda p: flow.turnover(p), "v_panel", NF, f"select {K}, {US(chr(39).join(['date_trunc(', 'day', ', fetched_at)']))} as period, cast(sum(abs(nf)) as bigint) as turnover from f where nf is not null group by 1, 2, 3")
+_addx("turnover_by_capacity", lambda p: flow.turnover(p, normalize="capacity"), "v_panel", NF, f"select {K}, {US(chr(39).join(['date_trunc(', 'day', ', fetched_at)']))} as period, {R('sum(abs(nf)) / case when max(capacity) > 0 then max(capacity) end', 'turnover')} from f where nf is not null group by 1, 2, 3")
+_addx("flow_balance", lambda p: flow.flow_balance(p).select("system_id", "station_id", "inflow", "outflow", "net"), "v_panel", NF, f"select {K}, cast(coalesce(sum(nf) filter (nf > 0), 0) as bigint) as inflow, cast(coalesce(-sum(nf) filter (nf < 0), 0) as bigint) as outflow, cast(coalesce(sum(nf), 0) as bigint) as net from f group by 1, 2")
+_addx("flow_asymmetry", lambda p: flow.flow_asymmetry(p, eps=1.0), "v_panel", NF, f"select {K}, {R('coalesce(sum(nf) filter (nf > 0), 0) / (coalesce(-sum(nf) filter (nf < 0), 0) + 1.0)', 'flow_asymmetry')} from f group by 1, 2")
+_addx("cumulative_imbalance", lambda p: flow.cumulative_imbalance(p).select("system_id", "station_id", "fetched_at", "cumulative_imbalance"), "v_panel", NF, f"select {K}, {US('fetched_at')} as fetched_at, cast(sum(coalesce(nf, 0)) over (partition by {K}, date_trunc('day', fetched_at) order by fetched_at) as bigint) as cumulative_imbalance from f")
+_addx("aliasing_vulnerability", flow.aliasing_vulnerability, "v_panel", NF + f", s as (select *, lag(sign(nf)) over {W} as p from f where nf <> 0)", f"select n.system_id, n.station_id, n.n_intervals, r.reversal_share from (select {K}, count(*) as n_intervals from f where nf is not null group by 1, 2) n left join (select {K}, {R('avg(case when sign(nf) <> p then 1 else 0 end)', 'reversal_share')} from s where p is not null group by 1, 2) r using (system_id, station_id)")
+_addx("fleet_turnover", flow.fleet_turnover, "v_panel", NF, f"select m.system_id, {US('m.period')} as period, {R('m.moved / case when g.fleet > 0 then g.fleet end', 'fleet_turnover')} from (select system_id, date_trunc('day', fetched_at) as period, coalesce(sum(abs(nf)), 0) / 2.0 as moved from f group by 1, 2) m join (select system_id, date_trunc('day', fetched_at) as period, max(b) as fleet from (select system_id, fetched_at, sum(num_bikes_available) as b from v_panel group by 1, 2) group by 1, 2) g using (system_id, period)")
+_addx("docking_pressure", lambda p: flow.docking_pressure(p).select("system_id", "station_id", "fetched_at", "docking_pressure"), "v_panel", NF, f"select {K}, {US('fetched_at')} as fetched_at, {R('coalesce(avg(nf) filter (nf > 0) over (partition by system_id, station_id), 0) / case when num_docks_available > 0 then num_docks_available end', 'docking_pressure')} from f")
+_EP = f", e as (select {K}, fetched_at, 'empty' as kind, coalesce(num_bikes_available <= 0, false) as flag from v_panel union all select {K}, fetched_at, 'full', coalesce(num_docks_available <= 0, false) from v_panel), r as (select *, row_number() over (partition by {K}, kind order by fetched_at) - row_number() over (partition by {K}, kind, flag order by fetched_at) as run from e), ep as (select {K}, kind, min(fetched_at) as a, max(fetched_at) as b, count(*) as n_obs from r where flag group by {K}, kind, run)"
+_addx("stockout_episodes", lambda p: flow.stockout_episodes(p).drop("duration_minutes"), "v_panel", _EP, f"select {K}, kind, {US('a')} as \"start\", {US('b')} as \"end\", n_obs from ep")
+_addx("outage_survival", lambda p: flow.outage_survival(flow.stockout_episodes(p).withColumn("duration_minutes", F.floor((F.unix_micros(F.col("end").cast("timestamp")) - F.unix_micros(F.col("start").cast("timestamp"))) / 3.6e9)), by=("kind",)), "v_panel", _EP + ", d as (select kind, cast(floor((epoch_us(b) - epoch_us(a)) / 3.6e9) as bigint) as duration_minutes from ep), c as (select kind, duration_minutes, count(*) as h from d group by 1, 2), t as (select kind, count(*) as n, quantile_cont(duration_minutes, 0.5) as median, quantile_cont(duration_minutes, 0.9) as p90 from d group by 1)", f"select c.kind, c.duration_minutes, cast(sum(h) over (partition by c.kind order by duration_minutes desc) as bigint) as at_risk, n, {R('median', 'median')}, {R('p90', 'p90')}, {R('(sum(h) over (partition by c.kind order by duration_minutes desc) - h) / n', 'survival')} from c join t using (kind)")
+_add("frozen_stations", lambda p: flow.frozen_stations(p), "v_panel")
+_add("resample", lambda p: flow.resample(p, "6h"), "v_panel")
+_addx("resample_grid", lambda p: flow.resample(p, "6h").groupBy("system_id", "station_id").agg(F.count("*").alias("n"), F.min("fetched_at").alias("a"), F.max("fetched_at").alias("b")), "v_panel", "", f"select {K}, cast((floor(epoch(max(fetched_at)) / 21600) - floor(epoch(min(fetched_at)) / 21600)) + 1 as bigint) as n, cast(floor(epoch(min(fetched_at)) / 21600) * 21600 * 1000000 as bigint) as a, cast(floor(epoch(max(fetched_at)) / 21600) * 21600 * 1000000 as bigint) as b from v_panel group by 1, 2")
+_addx("explicit_gaps", lambda p: flow.explicit_gaps(p.select("system_id", "station_id", "fetched_at", "num_bikes_available"), tolerance="12h"), "v_panel", f", g as (select *, lag(fetched_at) over {W} as p from v_panel)", f"select {K}, {US('fetched_at')} as fetched_at, num_bikes_available from v_panel union all select {K}, (epoch_us(fetched_at) + epoch_us(p)) // 2, null from g where epoch_us(fetched_at) - epoch_us(p) > 43200000000")
+_addx("snapshot_asof", lambda p: flow.snapshot_asof(p, "2024-01-15 12:00:00", tolerance="1D").select("system_id", "station_id", "fetched_at", "num_bikes_available"), "v_panel", "", f"select {K}, {US('fetched_at')} as fetched_at, num_bikes_available from v_panel where fetched_at between timestamp '2024-01-14 12:00:00' and timestamp '2024-01-15 12:00:00' qualify row_number() over (partition by {K} order by fetched_at desc) = 1")
+_addx("dedup_last", lambda p: flow.dedup_last(p.withColumn("last_reported", F.date_trunc("day", "fetched_at"))).select("system_id", "station_id", "fetched_at"), "v_panel", "", f"select {K}, {US('fetched_at')} as fetched_at from v_panel qualify row_number() over (partition by {K}, date_trunc('day', fetched_at) order by fetched_at desc) = 1")
+_addx("coverage_stations", lambda p: flow.coverage_stations(p, expected_freq="1h").select("system_id", "station_id", "actual", "longest_gap_min", "expected"), "v_panel", f", g as (select {K}, epoch_us(fetched_at) as t, epoch_us(fetched_at) - lag(epoch_us(fetched_at)) over {W} as gap from (select distinct {K}, fetched_at from v_panel))", f"select {K}, actual, {R('longest', 'longest_gap_min')}, expected from (select {K}, count(*) as actual, max(gap) / 60e6 as longest from g group by 1, 2) join (select system_id, cast(floor((max(t) - min(t)) / 3600000000) + 1 as bigint) as expected from g group by 1) using (system_id)")
+_addx("coverage_systems", lambda p: flow.coverage_systems(p, expected_freq="1h").drop("yield_pct"), "v_panel", ", t as (select distinct system_id, epoch_us(fetched_at) as t from v_panel), d as (select system_id, t, (t - lag(t) over (partition by system_id order by t)) / 60e6 as d from t), m as (select system_id, median(d) as med, count(*) as n, cast(floor((max(t) - min(t)) / 3600000000) + 1 as bigint) as expected from d group by 1)", f"select m.system_id, {R('med', 'cadence_min')}, n as n_snapshots, expected, {R('j', 'jitter_min')}, n_stations from m join (select d.system_id, median(abs(d - med)) as j from d join m using (system_id) group by 1) x on m.system_id = x.system_id join (select system_id, count(distinct station_id) as n_stations from v_panel group by 1) s on s.system_id = m.system_id")
+
+# --- service ---------------------------------------------------------------------------------------------------------
+
+_add("censored_time_ratio", service.censored_time_ratio, "v_panel", f"select {R('avg(case when num_bikes_available <= 0 then 1 else 0 end)', 'empty')}, {R('avg(case when num_docks_available <= 0 then 1 else 0 end)', 'full')}, {R('avg(case when num_bikes_available <= 0 or num_docks_available <= 0 then 1 else 0 end)', 'censored')} from v_panel")
+_add("service_reliability", service.service_reliability, "v_panel", f"select {K}, cast(hour(fetched_at) * 60 as bigint) as tod_minutes, {R('avg(cast(num_bikes_available >= 1 as int))', 'p_bikes')}, {R('avg(cast(num_docks_available >= 1 as int))', 'p_docks')}, {R('avg(cast(num_bikes_available >= 1 and num_docks_available >= 1 as int))', 'p_both')}, count(*) as n from v_panel group by 1, 2, 3")
+_add("outage_rates", service.outage_rates, "v_panel", f"select {K}, {R('avg(cast(num_bikes_available = 0 as int))', 'empty_rate')}, {R('avg(cast(num_docks_available = 0 as int))', 'full_rate')}, count(*) as n_obs from v_panel group by 1, 2")
+_add("boundary_stress", service.boundary_stress, "v_panel", f"select {K}, {R('avg(cast(num_bikes_available <= 2 as int))', 'near_empty')}, {R('case when not bool_or(is_virtual_station) and coalesce(max(cast(capacity <= 0 as int)), 0) = 0 then avg(cast(num_docks_available <= 2 as int)) end', 'near_full')}, count(*) as n_obs from v_panel group by 1, 2")
+_OCC = "case when num_bikes_available + num_docks_available > 0 then num_bikes_available / cast(num_bikes_available + num_docks_available as double) end"
+_addx("availability_stats", lambda p: service.availability_stats(p).drop("peak_hour"), "v_panel", f", h as (select {K}, hour(fetched_at) as h, avg({_OCC}) as o from v_panel group by 1, 2, 3), c as (select {K}, max(o) - min(o) as amp from h where o is not null group by 1, 2)", f"select b.*, {R('amp', 'diurnal_amplitude')} from (select {K}, count(*) as n, {R('avg(num_bikes_available)', 'mean_bikes')}, {R('median(num_bikes_available)', 'median_bikes')}, {R(f'avg({_OCC})', 'mean_occupancy')}, {R('avg(cast(num_bikes_available <= 0 as int))', 'empty')}, {R('avg(cast(num_docks_available <= 0 as int))', 'full')}, {R('stddev_samp(num_bikes_available)', 'std_bikes')} from v_panel group by 1, 2) b left join c using (system_id, station_id)")
+_add("diurnal_summary", service.diurnal_summary, "v_panel", f"select cast(hour(fetched_at) as bigint) as hour, {R('avg(num_bikes_available)', 'mean')}, {R('quantile_cont(num_bikes_available, 0.05)', 'p05')}, {R('median(num_bikes_available)', 'median')}, {R('quantile_cont(num_bikes_available, 0.95)', 'p95')}, count(*) as n from v_panel group by 1")
+_add("diurnal_profiles", service.diurnal_profiles, "v_panel")
+_add("diurnal_typology", lambda p: service.diurnal_typology(service.diurnal_profiles(p)).select("system_id", "station_id", "typology"), "v_panel")
+_BIN = f", b as (select {K}, cast(floor(epoch(fetched_at) / 3600) as bigint) as b, avg(num_bikes_available) as x from v_panel group by 1, 2, 3), z as (select {K}, count(*) as bins from b group by 1, 2)"
+_addx("autocorrelation", lambda p: service.autocorrelation(p, lags=(1, 24)).select("system_id", "station_id", "lag", "n_pairs"), "v_panel", _BIN, " union all ".join(f"select z.system_id, z.station_id, cast({lag} as bigint) as lag, coalesce(n, 0) as n_pairs from z left join (select a.system_id, a.station_id, count(*) as n from b a join b c on a.system_id = c.system_id and a.station_id = c.station_id and c.b = a.b + {lag} group by 1, 2) q using (system_id, station_id)" for lag in (1, 24)))
+_addx("synchrony", lambda p: service.synchrony(p, min_overlap=3).select("station_a", "station_b", "n_overlap"), "v_panel", ", b as (select station_id, cast(floor(epoch(fetched_at) / 3600) as bigint) as b, avg(num_bikes_available) as x from v_panel group by 1, 2)", "select a.station_id as station_a, c.station_id as station_b, count(*) as n_overlap from b a join b c on a.b = c.b and a.station_id < c.station_id group by 1, 2 having count(*) >= 3 and stddev_pop(a.x) * stddev_pop(c.x) > 0")
+_add("bimodality", lambda p: service.bimodality(p).select("station_id", "n"), "v_panel", "select station_id, count(distinct hour(fetched_at)) as n from v_panel group by 1")
+_add("context_features", lambda p: service.context_features(p).select("system_id", "station_id", "fetched_at", "is_weekend", "time_block"), "v_panel", f"select {K}, {US('fetched_at')} as fetched_at, isodow(fetched_at) >= 6 as is_weekend, case when hour(fetched_at) < 7 then 'night' when hour(fetched_at) < 10 then 'am_peak' when hour(fetched_at) < 16 then 'midday' when hour(fetched_at) < 19 then 'pm_peak' else 'evening' end as time_block from v_panel")
+_add("reconcile_fleet", service.reconcile_fleet, "v_panel v_vehicles", "select * from (select cast(sum(num_bikes_available) as bigint) as station_bikes, count(*) as n_stations from v_panel), (select count(*) as free_floating, count(*) filter (is_disabled) as disabled, count(*) filter (is_reserved and not is_disabled) as reserved, count(*) filter (not is_reserved and not is_disabled) as available from v_vehicles where station_id is null)")
+_d0 = _hav("la", "lo", "lat", "lon")
+_addx("ghost_vehicles", lambda v: service.ghost_vehicles(v, idle_days=1, move_threshold_m=130).select("system_id", "vehicle_id", "n_obs", "is_ghost"), "v_vehicles", ", f as (select *, first_value(lat) over (partition by system_id, vehicle_id order by fetched_at) as la, first_value(lon) over (partition by system_id, vehicle_id order by fetched_at) as lo from v_vehicles)", f"select system_id, vehicle_id, count(*) as n_obs, round(max({_d0}), 1) <= 130 and round((epoch_us(max(fetched_at)) - epoch_us(min(fetched_at))) / 86400e6, 2) >= 1 as is_ghost from f group by 1, 2")
+_d1 = _hav("la", "lo", "lat", "lon")
+_addx("idle_share", lambda v: service.idle_share(v, threshold_hours=12), "v_vehicles", f", l as (select *, lag(lat) over w as la, lag(lon) over w as lo from v_vehicles window w as (partition by system_id, vehicle_id order by fetched_at)), m as (select *, case when coalesce({_d1} > 50, true) then fetched_at end as mv from l), s as (select *, max(mv) over (partition by system_id, vehicle_id order by fetched_at) as since from m)", f"select system_id, {US('fetched_at')} as fetched_at, count(*) as n_vehicles, count(*) filter (epoch_us(fetched_at) - epoch_us(since) >= 43200000000) as n_idle, {R('avg(cast(epoch_us(fetched_at) - epoch_us(since) >= 43200000000 as int))', 'idle_share')} from s group by 1, 2")
+_add("id_persistence", lambda v: service.id_persistence(v.withColumn("fetched_at", F.date_trunc("hour", "fetched_at")), lags=("12h", "24h")), "v_vehicles")
+
+# --- frames ----------------------------------------------------------------------------------------------------------
+
+_add("join_availability", lambda i, p: frames.join_availability(i, flow.snapshot_asof(p, "2024-01-15 12:00:00", tolerance="1D").select("system_id", "station_id", "num_bikes_available")).select("system_id", "station_id", "presence", "num_bikes_available"), "v_info v_panel", f"select {K}, case when s.num_bikes_available is not null then 'both' else 'info_only' end as presence, s.num_bikes_available from v_info i full join (select {K}, num_bikes_available from v_panel where fetched_at between timestamp '2024-01-14 12:00:00' and timestamp '2024-01-15 12:00:00' qualify row_number() over (partition by {K} order by fetched_at desc) = 1) s using (system_id, station_id)")
+_add("join_vehicle_types", lambda v, t: frames.join_vehicle_types(v, t).groupBy("form_factor", "propulsion_type").agg(F.count("*").alias("n")), "v_vehicles v_vehicle_types", "select form_factor, propulsion_type, count(*) as n from v_vehicles left join v_vehicle_types using (vehicle_type_id) group by 1, 2")
+_add("join_pricing", lambda v, t: frames.join_pricing(v, t).groupBy("plan_id", "plan_name", "plan_price").agg(F.count("*").alias("n")), "v_vehicles v_plans", "select plan_id, p.name as plan_name, price as plan_price, count(*) as n from v_vehicles v left join v_plans p on v.pricing_plan_id = p.plan_id group by 1, 2, 3")
+_add("ebikes", lambda v, t: frames.ebikes(v, t).groupBy("system_id").agg(F.count("*").alias("n")), "v_vehicles v_vehicle_types", "select system_id, count(*) as n from v_vehicles join v_vehicle_types using (vehicle_type_id) where propulsion_type like '%electric%' group by 1")
+_add("filter_bbox", lambda i: frames.filter_bbox(i, (2.3, 48.85, 2.4, 48.95)).select("station_id", "lat", "lon"), "v_info", f"select station_id, {R('lat', 'lat')}, {R('lon', 'lon')} from v_info where lat between 48.85 and 48.95 and lon between 2.3 and 2.4")
+_addx("join_exogenous", lambda p, w: frames.join_exogenous(p, w, tolerance="1h").select("system_id", "station_id", "fetched_at", "observed_at", "n_events"), "v_panel v_weather", f", c as (select p.system_id, p.station_id, p.fetched_at, w.observed_at, w.n_events, row_number() over (partition by p.system_id, p.station_id, p.fetched_at order by abs(epoch_us(w.observed_at) - epoch_us(p.fetched_at)), w.observed_at) as rn from v_panel p left join v_weather w on epoch_us(w.observed_at) between epoch_us(p.fetched_at) - 3600000000 and epoch_us(p.fetched_at) + 3600000000)", f"select {K}, {US('fetched_at')} as fetched_at, {US('observed_at')} as observed_at, n_events from c where rn = 1")
+_addx("network_changes", lambda a, b: frames.network_changes(a, b).select("system_id", "station_id", "change"), "v_info v_info_new", "", f"select coalesce(a.system_id, b.system_id) as system_id, coalesce(a.station_id, b.station_id) as station_id, unnest(list_filter([case when a.station_id is null then 'added' end, case when b.station_id is null then 'removed' end, case when a.station_id is not null and b.station_id is not null and a.capacity is distinct from b.capacity then 'recapacitated' end, case when {_hav('a.lat', 'a.lon', 'b.lat', 'b.lon')} > 50 then 'moved' end], lambda x: x is not null)) as change from v_info a full join v_info_new b on a.system_id = b.system_id and a.station_id = b.station_id")
+_add("capacity_utilization", lambda p: frames.capacity_utilization(p).select("system_id", "station_id", "fetched_at", "utilization"), "v_panel", f"select {K}, {US('fetched_at')} as fetched_at, {R('num_bikes_available / cast(case when capacity > 0 then capacity end as double)', 'utilization')} from v_panel")
+_add("system_profile", lambda p: frames.system_profile(p).select("system_id", "n_stations", "total_bikes", "total_capacity"), "v_panel", "select system_id, count(*) as n_stations, cast(sum(num_bikes_available) as bigint) as total_bikes, cast(coalesce(sum(capacity), 0) as bigint) as total_capacity from v_panel group by 1")
+
+# --- audit -----------------------------------------------------------------------------------------------------------
+
+_DOCK = "station_type = 'docked_bike' and not is_virtual_station"
+_addx("audit_systems", lambda i: audit.audit_systems(i).drop("A5"), "v_info_bad", "", f"select system_id, coalesce(min(capacity) filter ({_DOCK}) = max(capacity) filter ({_DOCK}) and min(capacity) filter ({_DOCK}) > 0 and count(capacity) filter ({_DOCK}) >= 20, false) as \"A2\", coalesce(count(*) filter ({_DOCK}) >= 20 and count(*) filter ({_DOCK} and capacity = 0) / count(*) filter ({_DOCK}) >= 0.01, false) as \"A6\", coalesce(count(*) filter ({_DOCK}) >= 20 and count(*) filter ({_DOCK} and capacity is null) / count(*) filter ({_DOCK}) >= 0.5, false) as \"A7\" from v_info_bad group by 1")
+_d4 = _hav("a.lat", "a.lon", "b.lat", "b.lon")
+_addx("audit_spatial_outliers", lambda i: audit.spatial_outliers(i), "v_info_bad", f", nn as (select a.system_id, a.station_id, min({_d4}) as d from v_info_bad a join v_info_bad b on a.system_id = b.system_id and a.station_id <> b.station_id group by 1, 2), m as (select system_id, median(d) as med, count(*) as n from nn group by 1), q as (select nn.system_id, median(abs(d - med)) * 1.4826 as mad from nn join m using (system_id) group by 1)", "select nn.system_id, nn.station_id from nn join m using (system_id) join q using (system_id) where n >= 5 and d > greatest(case when mad > 0 then med + 3 * mad else 10 * med end, 1000)")
+_add("audit_static", lambda i: audit.audit_static(i).groupBy("system_id").agg(*(F.count_if(f).alias(f) for f in audit.FLAGS), F.count_if("flagged").alias("flagged")), "v_info_bad")
+_add("drop_flagged", lambda i: audit.drop_flagged(i), "v_info_bad")
+_add("overcapacity_ratio", audit.overcapacity_ratio, "v_info_bad", f"select system_id, {R('case when count(*) >= 20 and sum(coalesce(capacity, 0)) > 0 then avg(capacity) filter (capacity > 0) / (sum(coalesce(capacity, 0)) / count(*)) end', 'overcapacity_ratio')} from v_info_bad group by 1")
+_add("capacity_convention", audit.capacity_convention, "v_info_bad")
+_add("classify_virtual", lambda i: audit.classify_virtual(i).groupBy("station_type").agg(F.count("*").alias("n")), "v_info", "select case when is_virtual_station then 'free_floating' else station_type end as station_type, count(*) as n from v_info group by 1")
+_add("reclassify_overcapacity", lambda i: audit.reclassify_overcapacity(i, a3_ratio=1.05).groupBy("system_id", "station_type").agg(F.count("*").alias("n")), "v_info_bad")
+_add("audit_sensitivity", audit.audit_sensitivity, "v_info_bad")
+_add("sentinel_coordinates", lambda i: audit.sentinel_coordinates(i).select("station_id", "sentinel"), "v_info", "select station_id, abs(lat) < 1e-6 and abs(lon) < 1e-6 as sentinel from v_info")
+_add("audit_dynamic", lambda p: audit.audit_dynamic(p.withColumn("last_reported", F.date_trunc("day", "fetched_at"))).select("system_id", "station_id", "fetched_at", "D1", "D2", "D3"), "v_panel", f"select {K}, {US('fetched_at')} as fetched_at, num_bikes_available < 0 or num_docks_available < 0 as \"D1\", coalesce(num_bikes_available + num_docks_available > capacity and capacity > 0, false) as \"D2\", epoch_us(fetched_at) - epoch_us(date_trunc('day', fetched_at)) > 3600000000 as \"D3\" from v_panel")
+
+# --- inequality and agreement ----------------------------------------------------------------------------------------
+
+_addx("gini", lambda i: inequality.gini(i, "capacity", by=("system_id",)), "v_info", ", r as (select system_id, capacity as x, row_number() over (partition by system_id order by capacity) as i from v_info where capacity is not null)", f"select system_id, {R('2.0 * sum(i * x) / (count(*) * sum(x)) - (count(*) + 1.0) / count(*)', 'gini')} from r group by 1")
+_addx("dynamic_gini", lambda p: inequality.dynamic_gini(p), "v_snap", ", r as (select fetched_at, num_bikes_available as x, row_number() over (partition by fetched_at order by num_bikes_available) as i from v_snap)", f"select {US('fetched_at')} as fetched_at, {R('case when sum(x) <> 0 then greatest(2.0 * sum(i * x) / (count(*) * sum(x)) - (count(*) + 1.0) / count(*), 0) end', 'gini')} from r group by 1")
+_addx("theil", lambda i: inequality.theil(i, "capacity", groups="system_id"), "v_info", ", g as (select system_id, count(*) as n, sum(capacity) as s, sum(capacity * ln(capacity)) as xl from v_info where capacity > 0 group by 1), t as (select sum(n) as nn, sum(s) as ss, sum(xl) as xx from g)", f"select {R('any_value(xx / ss - ln(ss / nn))', 'theil')}, {R('sum(s / ss * ln((s / ss) / (n / nn)))', 'between')}, {R('sum(s / ss * (xl / s - ln(s / n)))', 'within')} from g, t")
+_RK = ", r as (select system_id, capacity as x, row_number() over (partition by system_id order by capacity, station_id) as i, count(*) over (partition by system_id) as n from v_info where capacity is not null)"
+_addx("palma", lambda i: inequality.palma(i, "capacity", by=("system_id",)), "v_info", _RK, f"select system_id, {R('sum(x) filter (i > ceil(n * 0.9)) / case when sum(x) filter (i <= floor(n * 0.4)) > 0 then sum(x) filter (i <= floor(n * 0.4)) end', 'palma')} from r group by 1")
+_addx("lorenz", lambda i: inequality.lorenz(i, "capacity", by=("system_id",)), "v_info", _RK, f"select system_id, {R('i / n', 'population')}, {R('sum(x) over (partition by system_id order by i) / sum(x) over (partition by system_id)', 'share')} from r union all select distinct system_id, 0.0, 0.0 from r")
+_addx("concentration", lambda i: inequality.concentration(i).drop("gini"), "v_info", ", r as (select system_id, capacity as x, row_number() over (partition by system_id order by capacity) as i, count(*) over (partition by system_id) as n from v_info where capacity > 0)", f"select system_id, count(*) as n_positive, cast(sum(x) as bigint) as total, {R('sum(x) filter (i > n - ceil(n / 10.0)) / sum(x)', 'top_decile_share')} from r group by 1")
+_QUERIES["cohen_kappa"] = lambda s, d: _plain(inequality.cohen_kappa(s.read.parquet(f"{d}/labels.parquet"), "quality", "toxic"))
+_SQL["cohen_kappa"] = f"with l as (select quality as a, toxic as b from labels where quality is not null and toxic is not null), t as (select count(*) as n, count(*) filter (a = b) as same from l), e as (select sum(x.c * y.c) as pe from (select a, count(*) as c from l group by 1) x join (select b, count(*) as c from l group by 1) y on x.a = y.b) select {R('(same / n - pe / (n * n)) / (1 - pe / (n * n))', 'kappa')} from t, e"
+_QUERIES["krippendorff_alpha"] = lambda s, d: _plain(inequality.krippendorff_alpha(s.read.parquet(f"{d}/labels.parquet").select(F.col("doc_id").alias("unit"), F.explode(F.array("quality", "toxic")).alias("label"))))
+_SQL["krippendorff_alpha"] = f"with r as (select doc_id as u, unnest([quality, toxic]) as v from labels), c as (select u, v, count(*) as c from r where v is not null group by 1, 2), m as (select u, sum(c) as m from c group by 1 having sum(c) > 1), x as (select c.*, m from c join m using (u)), d as (select sum(c * (c - 1) / (m - 1)) as d from x), g as (select sum(nc) as n, sum(nc * nc) as q from (select v, sum(c) as nc from x group by 1)) select {R('1 - (n - 1) * (n - d) / (n * n - q)', 'alpha')} from d, g"
+_add("fdr_adjust", lambda i: inequality.fdr_adjust(i.select("station_id", (F.pmod(F.col("station_id").cast("long") * 7919, F.lit(1009)) / 1009.0).alias("p")).dropDuplicates(["p"]).select("p"), "p"), "v_info")
+
+# --- spatial ---------------------------------------------------------------------------------------------------------
+
+_P = _hav("a.lat", "a.lon", "b.lat", "b.lon")
+_add("nearest_stations", lambda i: spatial.nearest_stations(i, 48.9, 2.4, k=10).select("station_id", "distance_m"), "v_info", f"select station_id, {R(_hav('48.9', '2.4', 'lat', 'lon'), 'distance_m')} from v_info order by distance_m, station_id limit 10")
+_add("features_within", lambda i, p: spatial.features_within(i.select("station_id", "lat", "lon"), p, point_id="station_id", feature_id="poi_id", radius_m=900, category="category").select("station_id", "n_total", F.round("nearest_m", 3).alias("nearest_m")), "v_info v_poi", f"select a.station_id, count(*) filter ({_P} <= 900) as n_total, round(min({_P}), 3) as nearest_m from v_info a, v_poi b group by 1")
+_add("link_transit", lambda i, p: spatial.link_transit(i.select("station_id", "lat", "lon"), p, stop_id="poi_id", radius_m=400).select("station_id", "n_total", "is_feeder"), "v_info v_poi", f"select a.station_id, count(*) filter ({_P} <= 400) as n_total, min({_P}) <= 400 as is_feeder from v_info a, v_poi b group by 1")
+_addx("two_step_fca", lambda i, d: spatial.two_step_fca(i, d).select("demand_id", "accessibility"), "v_info v_demand", f", q as (select b.demand_id, a.station_id, coalesce(a.capacity, 0) as s, b.population as d, exp(-pow({_P} / (800 / 3.0), 2) / 2) as w from v_info a, v_demand b where {_P} <= 800), l as (select station_id, sum(d * w) as load from q group by 1)", f"select d.demand_id, {R('coalesce(x, 0)', 'accessibility')} from v_demand d left join (select demand_id, sum(s / load * w) as x from q join l using (station_id) where load > 0 group by 1) using (demand_id)")
+_addx("ripley_k", lambda i: spatial.ripley_k(i, [250, 500, 1000], area_km2=480.0).select("radius_m", "pairs"), "v_info", f", q as (select {_P} as d from v_info a, v_info b where a.station_id < b.station_id)", " union all ".join(f"select cast({r} as double) as radius_m, count(*) filter (d <= {r}) as pairs from q" for r in (250, 500, 1000)))
+_add("morans_i", lambda i: spatial.morans_i(i.where("region_id = '7'"), "capacity", k=4), "v_info")
+_add("local_moran", lambda i: spatial.local_moran(i.where("region_id = '7'"), "capacity", k=4), "v_info")
+_addx("neighbour_stats", lambda i: spatial.neighbour_stats(i, area_km2=480.0).select("n"), "v_info", "", "select count(*) as n from v_info")
+_add("spatial_entropy", lambda v: spatial.spatial_entropy(v.withColumn("fetched_at", F.date_trunc("day", "fetched_at"))).select("fetched_at", "n"), "v_vehicles", f"select {US(chr(39).join(['date_trunc(', 'day', ', fetched_at)']))} as fetched_at, count(*) as n from v_vehicles group by 1")
+_add("center_of_mass", lambda p: spatial.center_of_mass(p, freq="1D"), "v_panel", f"select {US(chr(39).join(['date_trunc(', 'day', ', fetched_at)']))} as period, {R('sum(num_bikes_available * lat) / case when sum(num_bikes_available) > 0 then sum(num_bikes_available) end', 'lat')}, {R('sum(num_bikes_available * lon) / case when sum(num_bikes_available) > 0 then sum(num_bikes_available) end', 'lon')}, {R('sum(num_bikes_available)', 'weight')} from v_panel group by 1")
+_addx("outage_redundancy", lambda p: spatial.outage_redundancy(p, radius_m=2000), "v_snap", f", o as (select station_id, fetched_at, max(num_bikes_available) as v from v_snap group by 1, 2), g as (select station_id, min(lat) as lat, min(lon) as lon from v_snap group by 1), e as (select a.station_id, b.station_id as nbr from g a, g b where a.station_id <> b.station_id and {_P} <= 2000), x as (select o.station_id, o.fetched_at, count(n.v) as seen, coalesce(bool_or(n.v > 0), false) as any_bike from o join e using (station_id) join o n on n.station_id = e.nbr and n.fetched_at = o.fetched_at where o.v = 0 group by 1, 2), s as (select station_id, count(*) as sys from x where seen > 0 and not any_bike group by 1)", f"select b.station_id, b.local_outage, {R('coalesce(sys, 0) / n', 'systemic_outage')}, coalesce(k, 0) as n_neighbors from (select station_id, {R('avg(cast(v = 0 as int))', 'local_outage')}, count(v) as n from o group by 1) b left join s using (station_id) left join (select station_id, count(*) as k from e group by 1) c using (station_id)")
+_addx("core_points", lambda i: spatial.core_points(i, eps_m=600), "v_info", "", f"select a.station_id, count(*) as n_within, count(*) >= 3 as is_core from v_info a, v_info b where {_P} <= 600 group by 1")
