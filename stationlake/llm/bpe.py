@@ -30,7 +30,15 @@ from .common import table
 WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _CUT = re.compile(f" (?=[^{WHITE}])")
 #: Pieces up to so many characters are remembered, so many of them at once.
-KEPT_CHARS, KEPT_PIECES, KEPT_PAIRS = 64, 600_000, 1_000_000
+KEPT_CHARS, KEPT_PIECES, KEPT_PAIRS = 64, 1_000_000, 1_000_000
+
+
+_ODD = re.compile(f" (?:[{WHITE}]|\\Z)")
+
+
+def pieces_of(text: str) -> list[str]:
+    """Pieces between the spaces that come before another kind of character. The first has no space before it."""
+    return _CUT.split(text) if _ODD.search(text) else text.split(" ")
 
 
 def byte_letters() -> dict[str, int]:
@@ -60,12 +68,15 @@ class Merges:
         self.ranks: dict[tuple[int, int], tuple[int, int]] = {}
         self.longest = max(map(len, self.ids))
         reach: dict[int, int] = {}
+        self.made: dict[int, tuple[int, int, int]] = {}
+        self.edges: tuple[dict, dict] = ({}, {})
         vocab = spec["model"]["vocab"]
         self.lookahead = self.longest
         for rank, pair in enumerate(spec["model"]["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
             left, right = vocab[a], vocab[b]
             self.ranks[left, right] = (rank, vocab[a + b])
+            self.made.setdefault(vocab[a + b], (rank, left, right))
             # A merge waits only for an earlier-ranked one that wants its right part; the longest such chain, in bytes.
             chain = len(raw[b]) + reach.get(right, 0)
             reach[left] = max(reach.get(left, 0), chain)
@@ -86,12 +97,32 @@ class Merges:
             tokens = [*tokens[:i], ranks[tokens[i], tokens[i + 1]][1], *tokens[i + 2 :]]
         return tokens
 
+    def _edge(self, token: int, side: int) -> list[tuple[int, int]]:
+        """Tokens that stand at one edge of a token while it is built, with the rank at which each goes into the next."""
+        known = self.edges[side].get(token)
+        if known is None:
+            known, rank = [], 1 << 30
+            while True:
+                known.append((token, rank))
+                parts = self.made.get(token)
+                if parts is None:
+                    break
+                rank, token = parts[0], parts[1 + side]
+            self.edges[side][known[0][0]] = known
+        return known
+
     def fits(self, a: int, b: int) -> bool:
-        """Does the pair of tokens encode to itself?"""
+        """Does the pair of tokens encode to itself? It does unless some merge across the boundary comes before the merges
+        that take its two parts away from there; of equal ranks the one further left comes first."""
         known = self.pairs.get((a, b))
         if known is None:
-            one = self.ids
-            known = self.merged([one[bytes([x])] for x in self.bytes[a] + self.bytes[b]]) == [a, b]
+            ranks = self.ranks
+            known = True
+            for x, gone_x in self._edge(a, 1):
+                for y, gone_y in self._edge(b, 0):
+                    r = ranks.get((x, y))
+                    if r is not None and r[0] < gone_x and r[0] <= gone_y:
+                        known = False
             if len(self.pairs) >= KEPT_PAIRS:
                 self.pairs.clear()
             self.pairs[a, b] = known
@@ -222,22 +253,24 @@ class Encoder:
         return out
 
     def _piece(self, piece: str) -> bytes:
-        known = self.m.pieces.get(piece)
-        if known is None:
-            ids: list[int] = []
-            for pre in self.m.pattern.findall(piece):
-                ids += self._word(pre)
-            known = array("H", ids).tobytes()
-            if len(piece) <= KEPT_CHARS:
-                if len(self.m.pieces) >= KEPT_PIECES:
-                    self.m.pieces.clear()
-                self.m.pieces[piece] = known
+        """Ids of a piece that follows a space; remembered."""
+        known = self._ids(" " + piece)
+        if len(piece) <= KEPT_CHARS:
+            if len(self.m.pieces) >= KEPT_PIECES:
+                self.m.pieces.clear()
+            self.m.pieces[piece] = known
         return known
 
+    def _ids(self, piece: str) -> bytes:
+        ids: list[int] = []
+        for pre in self.m.pattern.findall(piece):
+            ids += self._word(pre)
+        return array("H", ids).tobytes()
+
     def _plain(self, text: str) -> bytes:
-        first, *rest = _CUT.split(text)
+        first, *rest = pieces_of(text)
         get, piece = self.m.pieces.get, self._piece
-        return piece(first) + b"".join([get(p) or piece(p) for p in map(" ".__add__, rest)])
+        return self._ids(first) + b"".join([get(p) or piece(p) for p in rest])
 
     def encode(self, text: str) -> bytes:
         """Ids of the text as little-endian 16-bit integers."""

@@ -8,6 +8,7 @@ at once, one table lookup per id. Nulls and empty texts are documents of just th
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 
@@ -16,14 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import KEPT_CHARS, KEPT_PIECES, WHITE, default_path
+from .bpe import KEPT_CHARS, KEPT_PIECES, default_path, pieces_of
 from .common import blocks, shared_folder, table, text_bytes
 
 LIMIT = 20  # longest code in bits
 BLOCK = 512  # ids between checkpoints
 SEGMENT = 1 << 20  # ids in a segment, but for a longer document
 PART_BYTES = 16_000_000  # of text in a file
-_CUT = re.compile(f" (?=[^{WHITE}])")
 
 
 # --- code ------------------------------------------------------------------------------------------------------------
@@ -128,6 +128,7 @@ class Tokens:
     A space before a character other than white space always starts a new pre-token, so pieces can be encoded apart."""
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.t = Tokenizer.from_file(path)
@@ -135,28 +136,36 @@ class Tokens:
         self.t.no_truncation()
         self.special = re.compile("|".join(re.escape(x.content) for x in self.t.get_added_tokens_decoder().values()) or r"(?!)")
         self.known: dict[str, bytes] = {}
-
-    def _library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u2").tobytes() for e in self.t.encode_batch_fast(texts, add_special_tokens=False)]
+        self.spaced = np.zeros(1 << 16, bool)
+        self.spaced[[i for t, i in self.t.get_vocab().items() if t.startswith("Ġ")]] = True  # the letter that stands for a space
+
+    def _library(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u2") for e in self.t.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, pieces: list[str]) -> None:
+        """Encodes pieces that follow a space, many in one text: each starts where a token with a leading space does."""
+        plain = [p for p in pieces if p and " " not in p]
+        for a in range(0, len(plain), 256):
+            some = plain[a : a + 256]
+            ids = self._library([" " + " ".join(some)])[0]
+            at = np.flatnonzero(self.spaced[ids])
+            raw, ends = ids.tobytes(), [*(2 * at[1:]).tolist(), 2 * len(ids)]
+            self.known.update(zip(some, [raw[x:y] for x, y in zip([0, *ends], ends)]))
+        odd = [p for p in pieces if not p or " " in p]
+        self.known.update(zip(odd, [x.tobytes() for x in self._library([" " + p for p in odd])]))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut, new = [], {}
         known = self.known
-        for text in texts:
-            if self.special.search(text):
-                cut.append(None)
-                continue
-            first, *rest = _CUT.split(text)
-            pieces = [first, *map(" ".__add__, rest)] if first else [*map(" ".__add__, rest)]
-            cut.append(pieces)
-            new.update(dict.fromkeys(p for p in pieces if p not in known))
+        cut = [None if self.special.search(text) else pieces_of(text) for text in texts]
+        first = self._library([text if pieces is None else pieces[0] for text, pieces in zip(texts, cut)])
+        every = set().union(*(pieces[1:] for pieces in cut if pieces))
+        new = every.difference(known)
         if new:
             if len(known) + len(new) > KEPT_PIECES:
                 known.clear()
-                new = dict.fromkeys(p for pieces in cut if pieces for p in pieces)
-            fresh = list(new)
-            known.update(zip(fresh, self._library(fresh)))
-        out = [b"".join(map(known.__getitem__, pieces)) if pieces is not None else self._library([text])[0] for pieces, text in zip(cut, texts)]
+                new = every
+            self._learn(list(new))
+        out = [f.tobytes() + (b"".join(map(known.__getitem__, pieces[1:])) if pieces else b"") for f, pieces in zip(first, cut)]
         for p in new:
             if len(p) > KEPT_CHARS:
                 del known[p]
