@@ -194,7 +194,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     s = sketches(docs, id_col, text)
     texts = stored(s.groupBy("key").agg(F.min("uid").alias("uid"), F.first("bands").alias("bands"), F.first("weight").alias("weight"), F.first("shared").alias("shared")), "texts")
     able = texts.where("weight > 0").where(reach("", ""))
-    lists = able.select("uid", "weight", "shared", F.explode("bands").alias("bucket"))
+    lists = able.select("uid", "weight", "shared", "bands", F.explode("bands").alias("bucket"))
     first = F.struct(F.round((F.col("weight") - F.col("shared")) / F.col("weight"), 2), F.xxhash64("uid", "bucket"), "uid", "weight", "shared")
     heads = lists.groupBy("bucket").agg(F.count("*").alias("n"), F.min(first).alias("l")).where("n > 1").select("bucket", "l.uid", "l.weight", "l.shared").toDF("bucket", "leader", "l_weight", "l_shared")
     members = stored(lists.join(heads, "bucket"), "members")
@@ -203,12 +203,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     sets = stored(only(s.select("uid", "shingles"), touched, "uid", touched.count()), "sets")
     links = verified(pairs, sets)
     roots = components(links)
-    tagged = members.join(roots.withColumnRenamed("id", "uid"), "uid", "left").select("bucket", "uid", "weight", "shared", F.coalesce("root", "uid").alias("root"))
+    tagged = members.join(roots.withColumnRenamed("id", "uid"), "uid", "left").select("bucket", "uid", "weight", "shared", "bands", F.coalesce("root", "uid").alias("root"))
     mixed = tagged.groupBy("bucket", "root").count().groupBy("bucket").agg(F.count("*").alias("n"), F.max_by("root", F.struct("count", "root")).alias("main")).where("n > 1").select("bucket", "main")
     inside = stored(tagged.join(mixed, "bucket"), "mixed")
     few, all_ = inside.where("root <> main").alias("m"), inside.alias("x")
     fits = reach("m.", "x.") & (F.col("m.root") != F.col("x.root")) & ((F.col("x.root") == F.col("x.main")) | (F.col("x.uid") > F.col("m.uid")))
-    rest = few.join(all_, (F.col("m.bucket") == F.col("x.bucket")) & fits).select(F.least("m.uid", "x.uid").alias("a"), F.greatest("m.uid", "x.uid").alias("b")).distinct()
+    once = F.col("m.bucket") == F.array_min(F.array_intersect("m.bands", "x.bands"))  # in one of the buckets that both are in
+    rest = few.join(all_, (F.col("m.bucket") == F.col("x.bucket")) & fits & once).select(F.least("m.uid", "x.uid").alias("a"), F.greatest("m.uid", "x.uid").alias("b")).distinct()
     more = verified(rest, sets)
     roots = components(links.union(more))
     named = s.select("id", "key", F.col("uid").alias("row")).join(texts.select("key", "uid"), "key").join(roots.withColumnRenamed("id", "uid"), "uid", "left").select("id", "key", "row", F.when(F.col("key") == "d41d8cd98f00b204e9800998ecf8427e", F.col("row")).otherwise(F.coalesce("root", "uid")).alias("root"))
