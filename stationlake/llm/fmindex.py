@@ -23,7 +23,8 @@ from .textkit import ALNUM_WORDS, Words, row_blocks, text_buffer, words_of
 
 WINDOW = 10
 SAMPLE = 8  # every so many positions the suffix array is kept
-SHARD = 1 << 21  # symbols of a shard
+SHARD = 1 << 20  # symbols of a shard
+SHARD_BYTES = 4 << 20  # of text that are cut into words at once
 BLOCK_BYTES = 8_000_000
 
 
@@ -224,7 +225,7 @@ def mark(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int
             for batch in batches:
                 spans, n_words, n_hit, items = [], [], [], []
                 old_spans, old_items = batch.column(kept).to_pylist(), batch.column(kept + 3).to_pylist()
-                for a, b, data, offs in row_blocks(batch.column(at), 16 << 20):
+                for a, b, data, offs in row_blocks(batch.column(at), SHARD_BYTES):
                     words, hit, pairs = shard_hits(data, offs, phrases)
                     named: dict[int, set[str]] = {}
                     for r, i in pairs.tolist():
