@@ -9,10 +9,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MARK = "__"
+BATCH_BYTES = 8 << 20  # of an Arrow batch; a batch of rows counted alone could hold as many very long texts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of a test-data folder."""
+    """A table of a test-data folder. The session's Arrow batches are bounded by bytes from here on."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -213,44 +213,71 @@ def phrase_blocks(benchmark: DataFrame, item: str = "item_id", text: str = "text
         yield [(r.item, r.text) for r in (rows if n == 1 else rows.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k)).collect()]
 
 
-def mark(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int = WINDOW) -> DataFrame:
-    """docs with columns __spans (hit words as flat byte offsets of the UTF-8 text, merged), __n_words, __n_hit and __items."""
+def _merged(batch: pa.RecordBatch, at: int, kept: int, phrases: Phrases) -> pa.RecordBatch:
+    """The batch with the four columns of `mark` brought up to date by one block of phrases."""
+    spans, n_words, n_hit, items = [], [], [], []
+    old_spans, old_items = batch.column(kept).to_pylist(), batch.column(kept + 3).to_pylist()
+    for a, b, data, offs in row_blocks(batch.column(at), SHARD_BYTES):
+        words, hit, pairs = shard_hits(data, offs, phrases)
+        named: dict[int, set[str]] = {}
+        for r, i in pairs.tolist():
+            named.setdefault(r, set()).add(phrases.names[i])
+        touched = set(words.rows[hit].tolist())
+        for r in range(b - a):
+            own = slice(words.first[r], words.first[r] + words.counts[r])
+            n_words.append(int(words.counts[r]))
+            items.append(sorted(set(old_items[a + r]) | named.get(r, set())))
+            if r not in touched and not old_spans[a + r]:
+                spans.append([])
+                n_hit.append(0)
+                continue
+            flags = hit[own].copy()
+            begin, end = words.starts[own] - offs[r], words.ends[own] - offs[r]
+            for x, y in zip(old_spans[a + r][::2], old_spans[a + r][1::2]):
+                flags |= (begin >= x) & (end <= y)
+            k = np.flatnonzero(flags)
+            head = np.concatenate(([True], np.diff(k) > 1)) if len(k) else np.zeros(0, bool)
+            tail = np.concatenate((head[1:], [True])) if len(k) else head
+            spans.append(np.stack((begin[k[head]], end[k[tail]]), 1).reshape(-1).tolist())
+            n_hit.append(len(k))
+    return pa.RecordBatch.from_arrays([*batch.columns[:kept], pa.array(spans, pa.list_(pa.int32())), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(items, pa.list_(pa.string()))], batch.schema.names)
+
+
+def _cut(batch: pa.RecordBatch, at: int, kept: int) -> pa.RecordBatch:
+    """The batch's first `kept` columns without the marked spans of the texts, a line break in place of each."""
+    texts = batch.column(at)
+    spans = batch.column(kept).to_pylist()
+    if any(spans):
+        values = []
+        for text, cut in zip(texts, spans):
+            value = text.as_py()
+            if cut:
+                raw, parts, last = value.encode(), [], 0
+                for x, y in zip(cut[::2], cut[1::2]):
+                    parts.append(raw[last:x])
+                    last = y
+                value = b"\n".join([*parts, raw[last:]]).decode()
+            values.append(value)
+        texts = pa.array(values, texts.type)
+    return pa.RecordBatch.from_arrays([texts if k == at else c for k, c in enumerate(batch.columns[:kept])], batch.schema.names[:kept])
+
+
+def mark(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int = WINDOW, cut: bool = False) -> DataFrame:
+    """docs with columns __spans (hit words as flat byte offsets of the UTF-8 text, merged), __n_words, __n_hit and __items.
+
+    cut: instead, docs with the merged spans cut out of `text`, by the last block's pass."""
     out = docs.withColumns({"__spans": F.array().cast("array<int>"), "__n_words": F.lit(0).cast("long"), "__n_hit": F.lit(0).cast("long"), "__items": F.array().cast("array<string>")})
     at, kept = docs.columns.index(text), len(docs.columns)
-    for block in phrase_blocks(benchmark):
-        sent = docs.sparkSession.sparkContext.broadcast(Phrases(block, window))
+    sent = [docs.sparkSession.sparkContext.broadcast(Phrases(block, window)) for block in phrase_blocks(benchmark)]
+    for i, block in enumerate(sent):
+        last = cut and i == len(sent) - 1
 
-        def run(batches, sent=sent):
-            phrases = sent.value
+        def run(batches, block=block, last=last):
             for batch in batches:
-                spans, n_words, n_hit, items = [], [], [], []
-                old_spans, old_items = batch.column(kept).to_pylist(), batch.column(kept + 3).to_pylist()
-                for a, b, data, offs in row_blocks(batch.column(at), SHARD_BYTES):
-                    words, hit, pairs = shard_hits(data, offs, phrases)
-                    named: dict[int, set[str]] = {}
-                    for r, i in pairs.tolist():
-                        named.setdefault(r, set()).add(phrases.names[i])
-                    touched = set(words.rows[hit].tolist())
-                    for r in range(b - a):
-                        own = slice(words.first[r], words.first[r] + words.counts[r])
-                        n_words.append(int(words.counts[r]))
-                        items.append(sorted(set(old_items[a + r]) | named.get(r, set())))
-                        if r not in touched and not old_spans[a + r]:
-                            spans.append([])
-                            n_hit.append(0)
-                            continue
-                        flags = hit[own].copy()
-                        begin, end = words.starts[own] - offs[r], words.ends[own] - offs[r]
-                        for x, y in zip(old_spans[a + r][::2], old_spans[a + r][1::2]):
-                            flags |= (begin >= x) & (end <= y)
-                        k = np.flatnonzero(flags)
-                        head = np.concatenate(([True], np.diff(k) > 1)) if len(k) else np.zeros(0, bool)
-                        tail = np.concatenate((head[1:], [True])) if len(k) else head
-                        spans.append(np.stack((begin[k[head]], end[k[tail]]), 1).reshape(-1).tolist())
-                        n_hit.append(len(k))
-                yield pa.RecordBatch.from_arrays([*batch.columns[:kept], pa.array(spans, pa.list_(pa.int32())), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(items, pa.list_(pa.string()))], batch.schema.names)
-
-        out = out.mapInArrow(run, out.schema)
+                found = _merged(batch, at, kept, block.value)
+                yield _cut(found, at, kept) if last else found
+
+        out = out.mapInArrow(run, docs.schema if last else out.schema)
     return out
 
 
@@ -262,23 +289,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int = WINDOW) -> DataFrame:
     """docs with the merged spans cut out of `text`, a line break in place of each."""
-    found = mark(docs, benchmark, text, window)
-    names = docs.columns
-    at, spans = names.index(text), len(names)
-
-    def run(batches):
-        for batch in batches:
-            values = batch.column(at).to_pylist()
-            for i, cut in enumerate(batch.column(spans).to_pylist()):
-                if cut:
-                    raw, parts, last = values[i].encode(), [], 0
-                    for x, y in zip(cut[::2], cut[1::2]):
-                        parts.append(raw[last:x])
-                        last = y
-                    values[i] = b"\n".join([*parts, raw[last:]]).decode()
-            yield pa.RecordBatch.from_arrays([pa.array(values, c.type) if k == at else c for k, c in enumerate(batch.columns[:spans])], names)
-
-    return found.mapInArrow(run, docs.schema)
+    return mark(docs, benchmark, text, window, cut=True)
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
