@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .fixtures import view, with_views
-from .operators import audit, flow, frames, inequality, service, spatial
+from .operators import audit, clusters, flow, frames, graph, inequality, resampling, service, spatial
+from .plans.components import shared_path
+from .sources import feeds, lake
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -151,7 +153,6 @@ _QUERIES["cohen_kappa"] = lambda s, d: _plain(inequality.cohen_kappa(s.read.parq
 _SQL["cohen_kappa"] = f"with l as (select quality as a, toxic as b from labels where quality is not null and toxic is not null), t as (select count(*) as n, count(*) filter (a = b) as same from l), e as (select sum(x.c * y.c) as pe from (select a, count(*) as c from l group by 1) x join (select b, count(*) as c from l group by 1) y on x.a = y.b) select {R('(same / n - pe / (n * n)) / (1 - pe / (n * n))', 'kappa')} from t, e"
 _QUERIES["krippendorff_alpha"] = lambda s, d: _plain(inequality.krippendorff_alpha(s.read.parquet(f"{d}/labels.parquet").select(F.col("doc_id").alias("unit"), F.explode(F.array("quality", "toxic")).alias("label"))))
 _SQL["krippendorff_alpha"] = f"with r as (select doc_id as u, unnest([quality, toxic]) as v from labels), c as (select u, v, count(*) as c from r where v is not null group by 1, 2), m as (select u, sum(c) as m from c group by 1 having sum(c) > 1), x as (select c.*, m from c join m using (u)), d as (select sum(c * (c - 1) / (m - 1)) as d from x), g as (select sum(nc) as n, sum(nc * nc) as q from (select v, sum(c) as nc from x group by 1)) select {R('1 - (n - 1) * (n - d) / (n * n - q)', 'alpha')} from d, g"
-_add("fdr_adjust", lambda i: inequality.fdr_adjust(i.select("station_id", (F.pmod(F.col("station_id").cast("long") * 7919, F.lit(1009)) / 1009.0).alias("p")).dropDuplicates(["p"]).select("p"), "p"), "v_info")
 
 # --- spatial ---------------------------------------------------------------------------------------------------------
 
@@ -161,10 +162,52 @@ _add("features_within", lambda i, p: spatial.features_within(i.select("station_i
 _add("link_transit", lambda i, p: spatial.link_transit(i.select("station_id", "lat", "lon"), p, stop_id="poi_id", radius_m=400).select("station_id", "n_total", "is_feeder"), "v_info v_poi", f"select a.station_id, count(*) filter ({_P} <= 400) as n_total, min({_P}) <= 400 as is_feeder from v_info a, v_poi b group by 1")
 _addx("two_step_fca", lambda i, d: spatial.two_step_fca(i, d).select("demand_id", "accessibility"), "v_info v_demand", f", q as (select b.demand_id, a.station_id, coalesce(a.capacity, 0) as s, b.population as d, exp(-pow({_P} / (800 / 3.0), 2) / 2) as w from v_info a, v_demand b where {_P} <= 800), l as (select station_id, sum(d * w) as load from q group by 1)", f"select d.demand_id, {R('coalesce(x, 0)', 'accessibility')} from v_demand d left join (select demand_id, sum(s / load * w) as x from q join l using (station_id) where load > 0 group by 1) using (demand_id)")
 _addx("ripley_k", lambda i: spatial.ripley_k(i, [250, 500, 1000], area_km2=480.0).select("radius_m", "pairs"), "v_info", f", q as (select {_P} as d from v_info a, v_info b where a.station_id < b.station_id)", " union all ".join(f"select cast({r} as double) as radius_m, count(*) filter (d <= {r}) as pairs from q" for r in (250, 500, 1000)))
-_add("morans_i", lambda i: spatial.morans_i(i.where("region_id = '7'"), "capacity", k=4), "v_info")
-_add("local_moran", lambda i: spatial.local_moran(i.where("region_id = '7'"), "capacity", k=4), "v_info")
 _addx("neighbour_stats", lambda i: spatial.neighbour_stats(i, area_km2=480.0).select("n"), "v_info", "", "select count(*) as n from v_info")
 _add("spatial_entropy", lambda v: spatial.spatial_entropy(v.withColumn("fetched_at", F.date_trunc("day", "fetched_at"))).select("fetched_at", "n"), "v_vehicles", f"select {US(chr(39).join(['date_trunc(', 'day', ', fetched_at)']))} as fetched_at, count(*) as n from v_vehicles group by 1")
 _add("center_of_mass", lambda p: spatial.center_of_mass(p, freq="1D"), "v_panel", f"select {US(chr(39).join(['date_trunc(', 'day', ', fetched_at)']))} as period, {R('sum(num_bikes_available * lat) / case when sum(num_bikes_available) > 0 then sum(num_bikes_available) end', 'lat')}, {R('sum(num_bikes_available * lon) / case when sum(num_bikes_available) > 0 then sum(num_bikes_available) end', 'lon')}, {R('sum(num_bikes_available)', 'weight')} from v_panel group by 1")
 _addx("outage_redundancy", lambda p: spatial.outage_redundancy(p, radius_m=2000), "v_snap", f", o as (select station_id, fetched_at, max(num_bikes_available) as v from v_snap group by 1, 2), g as (select station_id, min(lat) as lat, min(lon) as lon from v_snap group by 1), e as (select a.station_id, b.station_id as nbr from g a, g b where a.station_id <> b.station_id and {_P} <= 2000), x as (select o.station_id, o.fetched_at, count(n.v) as seen, coalesce(bool_or(n.v > 0), false) as any_bike from o join e using (station_id) join o n on n.station_id = e.nbr and n.fetched_at = o.fetched_at where o.v = 0 group by 1, 2), s as (select station_id, count(*) as sys from x where seen > 0 and not any_bike group by 1)", f"select b.station_id, b.local_outage, {R('coalesce(sys, 0) / n', 'systemic_outage')}, coalesce(k, 0) as n_neighbors from (select station_id, {R('avg(cast(v = 0 as int))', 'local_outage')}, count(v) as n from o group by 1) b left join s using (station_id) left join (select station_id, count(*) as k from e group by 1) c using (station_id)")
 _addx("core_points", lambda i: spatial.core_points(i, eps_m=600), "v_info", "", f"select a.station_id, count(*) as n_within, count(*) >= 3 as is_core from v_info a, v_info b where {_P} <= 600 group by 1")
+
+_NEAR = ", z as (select station_id, lat, lon, cast(capacity as double) as v{z} from v_info{where}), nb as (select * from (select a.station_id as i, b.station_id as j, {p} as d, row_number() over (partition by a.station_id order by {p}, b.station_id) as rk from z a, z b where a.station_id <> b.station_id) q where rk <= 4)"
+_KNOWN = _NEAR.format(z=", capacity - avg(capacity) over () as z, var_samp(capacity) over () as m2", where=" where capacity is not null", p=_P)
+_ALL = _NEAR.format(z="", where="", p=_P)
+_addx("morans_i", lambda i: spatial.morans_i(i, "capacity", k=4).select("n", "i", "z"), "v_info", _KNOWN + """, e as (select i, j, 0.25 as w from nb), c as (select sum(e.w * a.z * b.z) as c, cast(sum(e.w) as double) as s0 from e join z a on e.i = a.station_id join z b on e.j = b.station_id),
+ s1 as (select sum(pow(coalesce(e.w, 0) + coalesce(f.w, 0), 2)) / 2 as s1 from e full join (select j as i, i as j, w from e) f on e.i = f.i and e.j = f.j), s2 as (select sum(pow(1 + coalesce(w, 0), 2)) as s2 from z left join (select j, sum(w) as w from e group by 1) g on z.station_id = g.j),
+ q as (select count(*) as n, sum(z * z) as zz from z), m as (select n, n / s0 * c / zz as i, -1.0 / (n - 1) as ex, (n * n * s1 - n * s2 + 3 * s0 * s0) / (s0 * s0 * (n * n - 1.0)) as v from q, c, s1, s2)""", f"select n, {R('i', 'i')}, {R('(i - ex) / sqrt(v - ex * ex)', 'z')} from m")
+_addx("local_moran", lambda i: spatial.local_moran(i, "capacity", k=4), "v_info", _KNOWN + ", l as (select nb.i, avg(b.z) as lag from nb join z b on nb.j = b.station_id group by 1)", f"select station_id, {R('z / m2 * lag', 'local_i')}, concat(case when z >= 0 then 'H' else 'L' end, case when lag >= 0 then 'H' else 'L' end) as quadrant from z join l on z.station_id = l.i")
+_W = ", s as (select median(d) as s from nb), o as (select i as a, j as b, exp(-pow(d, 2) / (2 * pow(s, 2))) as w from nb, s), g as (select a, b, max(w) as w from (select * from o union all select b, a, w from o) u group by 1, 2)"
+_addx("knn_adjacency", lambda i: graph.knn_adjacency(i, k=4), "v_info", _ALL + _W, f"select a as a_id, b as b_id, {R('w', 'weight')} from g")
+_addx("normalized_laplacian", lambda i: graph.normalized_laplacian(graph.knn_adjacency(i, k=4)), "v_info", _ALL + _W + ", dg as (select a as id, sum(w) as d from g group by 1)", f"select a as a_id, b as b_id, {R('-w / sqrt(x.d * y.d)', 'value')} from g join dg x on a = x.id join dg y on b = y.id union all select id, id, 1.0 from dg")
+_addx("fdr_adjust", lambda i: inequality.fdr_adjust(i.select("station_id", (F.pmod(F.col("station_id").cast("long") * 7919, F.lit(1009)) / 1009.0).alias("p")), "p"), "v_info", ", f as (select station_id, cast((cast(station_id as bigint) * 7919) % 1009 as double) / 1009 as p from v_info), r as (select *, p * count(*) over () / row_number() over (order by p) as q from f)", f"select station_id, {R('p', 'p')}, {R('least(1.0, min(q) over (order by p desc range between unbounded preceding and current row))', 'p_adjusted')} from r")
+
+# --- kernels ---------------------------------------------------------------------------------------------------------
+
+_add("cluster_density", lambda i: clusters.cluster_density(i, eps_m=600), "v_info")
+_add("cluster_profiles", lambda p: clusters.cluster_profiles(service.diurnal_profiles(p), k=4).select("system_id", "station_id", "cluster"), "v_panel")
+_add("effective_sample_size", lambda p: resampling.effective_sample_size(p, "num_bikes_available"), "v_panel")
+_add("block_bootstrap", lambda p: resampling.block_bootstrap(p, "num_bikes_available", n_boot=200), "v_panel")
+_add("rebalancing_tension", lambda p: resampling.rebalancing_tension(p), "v_snap")
+
+# --- sources ---------------------------------------------------------------------------------------------------------
+
+
+def _documents(df: DataFrame, own: list[str], record) -> DataFrame:
+    """Feed documents that hold the rows, a few hundred at most each."""
+    key = [F.col(c) for c in own]
+    doc = df.groupBy(*key, F.pmod(F.xxhash64("station_id"), F.lit(4096)).alias("__b")).agg(F.collect_list(record).alias("stations")).drop("__b")
+    return doc.select(*own, F.to_json(F.struct(F.struct("stations").alias("data"))).alias("body"))
+
+
+_add("feed_station_info", lambda i: feeds.station_info(_documents(i, ["system_id"], F.struct("station_id", "name", "lat", "lon", "capacity", "is_virtual_station", "region_id"))), "v_info", "select system_id, station_id, name, round(lat, 6) as lat, round(lon, 6) as lon, cast(capacity as bigint) as capacity, case when is_virtual_station or coalesce(capacity, 0) = 0 then 'free_floating' else 'docked_bike' end as station_type, is_virtual_station, region_id from v_info")
+_STATUS = lambda: F.struct("station_id", F.col("num_bikes_available").alias("num_vehicles_available"), F.col("num_docks_available").alias("vehicle_docks_available"), "is_renting", "is_returning", F.unix_seconds(F.col("fetched_at").cast("timestamp")).alias("last_reported"))
+_add("feed_station_status", lambda p: feeds.station_status(_documents(p, ["system_id", "fetched_at"], _STATUS())).drop("gbfs_version", "is_installed"), "v_panel", f"select {K}, num_bikes_available, num_docks_available, is_renting, is_returning, {US('fetched_at')} // 1000000 * 1000000 as last_reported, {US('fetched_at')} as fetched_at from v_panel")
+
+
+def _through_lake(panel: DataFrame) -> DataFrame:
+    folder = shared_path(panel.sparkSession)
+    lake.append(panel.withColumn("last_reported", F.date_trunc("day", "fetched_at")), folder)
+    return lake.panel(panel.sparkSession, folder, columns=["num_bikes_available"], tz="Europe/Paris")
+
+
+_add("lake_panel", lambda p: _through_lake(p).select("system_id", "station_id", "fetched_at", "num_bikes_available", "local_time"), "v_panel", f"select {K}, {US('fetched_at')} as fetched_at, num_bikes_available, {US('fetched_at')} + 3600000000 as local_time from (select *, row_number() over (partition by {K}, date_trunc('day', fetched_at) order by fetched_at desc) as rn from v_panel) q where rn = 1")
+_add("geojson_features", lambda i: lake.geojson_features(i.select("station_id", "lat", "lon")).select(F.get_json_object("feature", "$.properties.station_id").alias("station_id"), *(F.get_json_object("feature", f"$.geometry.coordinates[{at}]").cast("double").alias(c) for at, c in enumerate(("lon", "lat")))), "v_info", "select station_id, round(lon, 6) as lon, round(lat, 6) as lat from v_info")

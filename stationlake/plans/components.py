@@ -4,15 +4,19 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def _stored(df: DataFrame) -> DataFrame:
-    """Lineage ends at a table in spark.checkpoint.dir (a local folder only where that is unset, as in tests)."""
-    spark = df.sparkSession
+def shared_path(spark: SparkSession) -> str:
+    """A new folder in spark.checkpoint.dir; where that is unset (tests), in a local one."""
     top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "/tmp/stationlake-checkpoints"
-    path = f"{top.rstrip('/')}/{uuid.uuid4().hex}"
+    return f"{top.rstrip('/')}/{uuid.uuid4().hex}"
+
+
+def _stored(df: DataFrame) -> DataFrame:
+    """df as a table; its lineage ends there."""
+    spark, path = df.sparkSession, shared_path(df.sparkSession)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
