@@ -8,16 +8,19 @@ at once, one table lookup per id. Nulls and empty texts are documents of just th
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
+from array import array
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import KEPT_CHARS, KEPT_PIECES, default_path, pieces_of
+from .bpe import KEPT_CHARS, KEPT_PIECES, byte_letters, default_path, pieces_of
 from .common import blocks, shared_folder, table, text_bytes
 
 LIMIT = 20  # longest code in bits
@@ -122,8 +125,59 @@ def unpack(stream: bytes, checkpoints: np.ndarray, n: int, tables: tuple[np.ndar
 # --- tokens ----------------------------------------------------------------------------------------------------------
 
 
+#: Letters below U+0180, in which all versions of Unicode agree.
+_LETTER = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f"
+_SIMPLE = re.compile("[\n!-~\u00c0-\u017f]+")
+_WORD = re.compile(f"([{_LETTER}]+)([!-&(-/:-@[-`{{-~]*)")
+_PARTS = re.compile(f"'(?:[sdmt]|ll|ve|re)| ?[{_LETTER}]+| ?[0-9]+| ?[^ \n0-9{_LETTER}]+|\n+(?![^\n])|\n")
+
+
+class Pieces(dict):
+    """Ids of pieces that follow a space, found on first use and remembered in bounded memory.
+
+    A piece of simple characters is cut into pre-tokens here, and the library's model encodes those not yet known; any other
+    goes through the whole library."""
+
+    def __init__(self, t, simple: bool):
+        self.library = lambda text: np.array(t.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u2").tobytes()
+        self.model = t.model.tokenize
+        self.word, self.simple = (_WORD.fullmatch, _SIMPLE.fullmatch) if simple else (lambda piece: None,) * 2
+        self.letters = {b: letter for letter, b in byte_letters().items()}
+        self.pre: dict[str, bytes] = {}
+
+    def _pre(self, pre: str) -> bytes:
+        """Ids of a pre-token not yet known."""
+        if pre.isascii() and "\n" not in pre:  # visible characters stand for themselves
+            text = pre.replace(" ", self.letters[32])
+        else:
+            text = pre.encode().decode("latin-1").translate(self.letters)
+        known = array("H", [x.id for x in self.model(text)]).tobytes()
+        if len(pre) <= KEPT_CHARS:
+            if len(self.pre) >= KEPT_PIECES:
+                self.pre.clear()
+            self.pre[pre] = known
+        return known
+
+    def __missing__(self, piece: str) -> bytes:
+        word, get = self.word(piece), self.pre.get
+        if word:
+            head, tail = word.groups()
+            ids = get(" " + head) or self._pre(" " + head)
+            if tail:
+                ids += get(tail) or self._pre(tail)
+        elif self.simple(piece):
+            ids = b"".join([get(x) or self._pre(x) for x in _PARTS.findall(" " + piece)])
+        else:
+            ids = self.library(" " + piece)
+        if len(piece) <= KEPT_CHARS:
+            if len(self) >= KEPT_PIECES:
+                self.clear()
+            self[piece] = ids
+        return ids
+
+
 class Tokens:
-    """Ids by the tokenizers library; what it returns for short pieces between single spaces is remembered, in bounded memory.
+    """Ids by the tokenizers library; those of short pieces between single spaces are remembered, in bounded memory.
 
     A space before a character other than white space always starts a new pre-token, so pieces can be encoded apart."""
 
@@ -135,41 +189,16 @@ class Tokens:
         self.t.no_padding()
         self.t.no_truncation()
         self.special = re.compile("|".join(re.escape(x.content) for x in self.t.get_added_tokens_decoder().values()) or r"(?!)")
-        self.known: dict[str, bytes] = {}
-        self.spaced = np.zeros(1 << 16, bool)
-        self.spaced[[i for t, i in self.t.get_vocab().items() if t.startswith("Ġ")]] = True  # the letter that stands for a space
-
-    def _library(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, "<u2") for e in self.t.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, pieces: list[str]) -> None:
-        """Encodes pieces that follow a space, many in one text: each starts where a token with a leading space does."""
-        plain = [p for p in pieces if p and " " not in p]
-        for a in range(0, len(plain), 256):
-            some = plain[a : a + 256]
-            ids = self._library([" " + " ".join(some)])[0]
-            at = np.flatnonzero(self.spaced[ids])
-            raw, ends = ids.tobytes(), [*(2 * at[1:]).tolist(), 2 * len(ids)]
-            self.known.update(zip(some, [raw[x:y] for x, y in zip([0, *ends], ends)]))
-        odd = [p for p in pieces if not p or " " in p]
-        self.known.update(zip(odd, [x.tobytes() for x in self._library([" " + p for p in odd])]))
+        spec = json.loads(self.t.to_str())
+        cut = spec["pre_tokenizer"] or {}
+        usual = spec["normalizer"] is None and cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut["add_prefix_space"] and spec["model"]["type"] == "BPE"
+        self.known = Pieces(self.t, usual)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        known = self.known
         cut = [None if self.special.search(text) else pieces_of(text) for text in texts]
-        first = self._library([text if pieces is None else pieces[0] for text, pieces in zip(texts, cut)])
-        every = set().union(*(pieces[1:] for pieces in cut if pieces))
-        new = every.difference(known)
-        if new:
-            if len(known) + len(new) > KEPT_PIECES:
-                known.clear()
-                new = every
-            self._learn(list(new))
-        out = [f.tobytes() + (b"".join(map(known.__getitem__, pieces[1:])) if pieces else b"") for f, pieces in zip(first, cut)]
-        for p in new:
-            if len(p) > KEPT_CHARS:
-                del known[p]
-        return out
+        first = self.t.encode_batch_fast([text if pieces is None else pieces[0] for text, pieces in zip(texts, cut)], add_special_tokens=False)
+        ids = self.known.__getitem__
+        return [np.array(f.ids, "<u2").tobytes() + (b"".join(map(ids, islice(pieces, 1, None))) if pieces else b"") for f, pieces in zip(first, cut)]
 
 
 _TOKENS: dict[str, Tokens] = {}
