@@ -193,7 +193,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     """One row per document: id, key (md5 of the text), class_id, class_size, keep (one document of each class)."""
     s = sketches(docs, id_col, text)
     texts = stored(s.groupBy("key").agg(F.min("uid").alias("uid"), F.first("bands").alias("bands"), F.first("weight").alias("weight"), F.first("shared").alias("shared")), "texts")
-    able = texts.where("weight > 0").where(reach("", ""))
+    able = texts.where("weight > 0").where(F.col("shared") >= THRESHOLD * F.col("weight"))  # both <= shared, and both >= 0.8 * (weight + rest of the other)
     lists = able.select("uid", "weight", "shared", "bands", F.explode("bands").alias("bucket"))
     first = F.struct(F.round((F.col("weight") - F.col("shared")) / F.col("weight"), 2), F.xxhash64("uid", "bucket"), "uid", "weight", "shared")
     heads = lists.groupBy("bucket").agg(F.count("*").alias("n"), F.min(first).alias("l")).where("n > 1").select("bucket", "l.uid", "l.weight", "l.shared").toDF("bucket", "leader", "l_weight", "l_shared")

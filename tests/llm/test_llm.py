@@ -158,6 +158,30 @@ def test_near_duplicates(docs, rows, empty):
     assert neardup.near_duplicates(empty).count() == 0 and neardup.drop_near_duplicates(empty).count() == 0
 
 
+def test_near_duplicates_with_own_text(spark):
+    """Classes against all pairs by brute force: copies with text appended, inserted or cut off, of similarity 0.8 to 0.889."""
+    words = lambda tag, n: [f"{tag}x{i * 7919 % 100003}" for i in range(n)]
+    texts = []
+    for d in range(30):
+        base, own, at = words(f"d{d}", 400), words(f"own{d}", 40 + 2 * d), 100 + d
+        texts += [base, (base + own, base[:at] + own + base[at:], base[: 400 - len(own)])[d % 3]]
+    grams = [collections.Counter(tuple(t[i : i + 5]) for i in range(len(t) - 4)) for t in texts]
+    held = collections.Counter(g for x in grams for g in x)
+    n = len(texts)
+    weighed = [{g: c * round(64 * (1 + 0.25 * math.log1p(n / held[g]) / math.log1p(n))) for g, c in x.items()} for x in grams]
+    want, between = list(range(n)), 0
+    for i in range(n):
+        for j in range(i):
+            both = sum(min(w, weighed[j].get(g, 0)) for g, w in weighed[i].items())
+            alike = both / (sum(weighed[i].values()) + sum(weighed[j].values()) - both)
+            between += 0.8 <= alike < 0.889
+            if alike >= 0.8:
+                want = [min(want[i], want[j]) if x in (want[i], want[j]) else x for x in want]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    assert between > 15 and len(set(want)) > 30
+    assert {r.doc_id: r.class_id for r in neardup.near_duplicates(df).collect()} == dict(enumerate(want))
+
+
 def test_secrets(docs, rows, empty):
     got = {r.doc_id: r for r in secrets.find_secrets(docs).collect()}
     assert (got[12].n_assign, got[12].n_access, got[12].n_hex) == (1, 1, 1)
