@@ -15,6 +15,7 @@ import binascii
 import hashlib
 import json
 import re
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -26,6 +27,7 @@ KINDS = ("assign", "access", "hex", "der", "ssh", "jwt")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
+ANY_HEX = re.compile(r"[0-9A-Fa-f]{24,}")
 JWT = re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]++\.[A-Za-z0-9_-]++\.[A-Za-z0-9_-]++")
 BASE64 = re.compile(r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{24,}+(?:\r?\n[A-Za-z0-9+/]{24,}+)*+(?:\r?\n[A-Za-z0-9+/]++)?={0,2}")
 _WORDS = ("password", "passwd", "secret", "token", "api")
@@ -92,6 +94,50 @@ def decoded(run: str) -> bytes:
         return b""
 
 
+def key_sizes(head: bytes, data: Callable[[], bytes]) -> list[int]:
+    """Sizes in bytes that a key with these first 12 bytes can have, longest first; data() gives all that may belong to it."""
+    if head[:1] == b"\x30" and len(head) == 12:
+        n = head[1] & 0x7F if head[1] & 0x80 else 0
+        return [2 + n + int.from_bytes(head[2 : 2 + n], "big") if n else 2 + head[1]] if n <= 4 else []
+    if not head[4:].startswith((b"ssh-", b"ecdsa-")):
+        return []
+    every, at, out = data(), 0, []
+    while at + 4 <= len(every) and len(out) < 16:
+        at += 4 + int.from_bytes(every[at : at + 4], "big")
+        out.append(at)
+    return out[:0:-1]
+
+
+def keys_in_run(run: str) -> list[tuple[int, int, int]]:
+    """(start, index of kind, end) of the keys in lines of base64. A key starts with a line and ends with one, not always the
+    run's first and last: lines of other text may be joined to it."""
+    lines = [(m.start(), m.end()) for m in re.finditer(r"[^\r\n]+", run)]
+    flat = re.sub(r"[\r\n=]", "", run)
+    at, where = [0], {}
+    for i, (a, b) in enumerate(lines):
+        at.append(at[-1] + len(run[a:b].rstrip("=")))
+        where[at[-1]] = i
+    out, i = [], 0
+    while i < len(lines):
+        a, c, after = lines[i][0], at[i], i + 1
+        if run.startswith("b3BlbnNzaC1rZXktdjE", a):
+            if is_ssh(decoded(flat[c : c + 24])):
+                out.append((a, 4, len(run)))
+                break
+        elif run[a] in "MA":
+            for size in key_sizes(decoded(flat[c : c + 16]), lambda c=c: decoded(flat[c : len(flat) - ((len(flat) - c) % 4 == 1)])):
+                last = where.get(c + (size * 4 + 2) // 3, -1)
+                if last >= i:
+                    data = decoded(flat[c : at[last + 1]])
+                    kind = 3 if is_key(data) else 4 if is_ssh(data) else -1
+                    if kind > 0:
+                        out.append((a, kind, lines[last][1]))
+                        after = last + 1
+                        break
+        i = after
+    return out
+
+
 def token_header(token: str) -> bool:
     """Is the first part of a dotted token a JSON object that names its algorithm, and the second JSON too?"""
     try:
@@ -118,17 +164,11 @@ def confirm(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int,
     out = []
     if "eyJ" in text:
         out += [(m.start(), 5, m.end()) for m in JWT.finditer(text) if token_header(m.group())]
-    for start, kind, end in base:
-        if kind == 2 and is_key(bytes.fromhex(text[start : end - (end - start) % 2])):
+    for start, end in sorted({(a, b) for a, kind, b in base if kind == 2} | {m.span() for m in ANY_HEX.finditer(text)}):
+        if text.startswith("30", start) and (start, 3) not in (x[:2] for x in out) and is_key(bytes.fromhex(text[start : end - (end - start) % 2])):
             out.append((start, 3, end))
     for m in BASE64.finditer(text):
-        run = m.group()
-        if run[0] in "MA" or run.startswith("b3BlbnNzaC1rZXktdjE"):
-            data = decoded(run)
-            if is_key(data):
-                out.append((m.start(), 3, m.end()))
-            elif is_ssh(data):
-                out.append((m.start(), 4, m.end()))
+        out += [(m.start() + a, kind, m.start() + b) for a, kind, b in keys_in_run(m.group())]
     return out
 
 

@@ -194,6 +194,25 @@ def test_secrets(docs, rows, empty):
     assert [k for _, k, _ in sorted(secrets.confirm(text, secrets.find_base(text)))] == [3, 5]
 
 
+def test_secrets_beside_words_and_in_upper_case():
+    import base64
+
+    found = lambda text: sorted(secrets.confirm(text, secrets.find_base(text)))
+    der = lambda size: bytes([0x30, size + 14, 2, 1, 0, 0x30, 5, 6, 3, 0x2B, 0x65, 0x70, 4, size + 2, 4, size, *range(size)])
+    ssh = b"".join(len(x).to_bytes(4, "big") + x for x in (b"ssh-ed25519", bytes(range(32))))
+    for data, kind in ((der(32), 3), (der(33), 3), (der(34), 3), (der(80), 3), (ssh, 4)):
+        key = base64.b64encode(data).decode()
+        bare = key.rstrip("=")
+        for lines in (key, bare, "\n".join(key[i : i + 32] for i in range(0, len(key), 32)), "\r\n".join(bare[i : i + 64] for i in range(0, len(bare), 64))):
+            for before, after in (("", ""), ("", "\nThen more"), ("key: ", "\r\nThen more"), ("A" * 30 + "\n", "\n" + "b" * 30 + "\nend"), ("x" * 25 + "\n", "\nThen")):
+                assert found(before + lines + after) == [(len(before), kind, len(before + lines))]
+    key = base64.b64encode(der(32)).decode()
+    assert len(found(f"{key}\n{key}\nThen")) == 2 and not found(key[:-8] + "\nThen")
+    for text in (der(32).hex(), der(32).hex().upper(), der(32).hex().upper().replace("A", "a")):
+        assert found(f"key {text} end") == [(4, 3, 4 + len(text))]
+    assert found("key " + der(32).hex() + "F") == [(4, 3, 4 + len(der(32).hex()))]
+
+
 def test_personal_data(docs, empty):
     got = {r.doc_id: r for r in pii.find_personal(docs).collect()}
     assert (got[13].n_email, got[13].n_ip, got[13].n_card, got[13].n_phone) == (1, 1, 1, 1)
