@@ -39,12 +39,15 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, id_col: str, text:
 
 
 def hashed(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, feature) of whole words and word beginnings, with repeats."""
+    """(row, feature) of whole words and word beginnings, with repeats. Identity terms have no beginnings, so that a swap of
+    terms changes nothing but the terms' own features."""
     words = Words(data, offs, ALNUM_WORDS)
-    feats, rows = [words.hashes() >> np.uint64(64 - SPACE)], [words.rows]
+    whole = words.hashes()
+    feats, rows = [whole >> np.uint64(64 - SPACE)], [words.rows]
     size = words.ends - words.starts
+    other = ~np.isin(whole, hash_words(list(IDENTITY)))
     for p in PREFIXES:
-        long = size > p
+        long = (size > p) & other
         feats.append(mix(words.hashes(p)[long] + np.uint64(p)) >> np.uint64(64 - SPACE))
         rows.append(words.rows[long])
     return np.concatenate(rows), np.concatenate(feats).astype(np.int64)

@@ -251,6 +251,24 @@ def test_classifiers(spark):
     assert abs(a - b) < 0.05
 
 
+def test_swapped_identity_terms_leave_the_score():
+    terms = [x for x in classify.IDENTITY if x.isascii()]
+    groups = ("immigrants", "muslims", "transgender")
+
+    def features(text):
+        data = np.frombuffer(text.encode(), np.uint8)
+        return np.unique(classify.hashed(data, np.array([0, len(data)]))[1])
+
+    plain = features("the came")
+    assert all(len(np.setdiff1d(features(f"the {t.title()} came"), plain)) == 1 for t in terms)
+    assert len(np.setdiff1d(features("the wonderful came"), plain)) == 1 + len(classify.PREFIXES)
+    rows = [(features(f"w{i % 37}x w{i % 11}y {groups[i % 3] if i % 4 == 0 or i % 16 == 1 else 'people'} {'filth' if i % 8 == 0 else ''}"), int(i % 4 == 0)) for i in range(800)]
+    model = classify.Toxicity.fit(rows)
+    texts = [f"the {t} came".encode() for t in (*groups, "men", "women")]
+    got = [model.scores(np.frombuffer(x, np.uint8), np.array([0, len(x)]))[0] for x in texts]
+    assert max(got) - min(got) < 0.05
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
