@@ -33,11 +33,22 @@ def blocks(total: int, each: int, least: int = 1) -> int:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder in spark.checkpoint.dir; where that is unset (tests), in a local one."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "/tmp/stationlake-checkpoints"
+    """A new folder in the folder that the driver and all executors share. It is named by spark.checkpoint.dir; without that
+    setting only a local session, whose executors are the driver itself, may use a folder of this machine."""
+    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not top:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        top = "/tmp/stationlake-checkpoints"
     return f"{top.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+def deleted(spark: SparkSession, path: str) -> None:
+    """Removes a written table that is no longer needed."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df as a table written to the shared folder: its lineage ends there, and a lost executor costs no recomputation."""
     spark = df.sparkSession

@@ -1,9 +1,10 @@
 """Token ids as canonical length-limited Huffman code, in files of independent blocks with bit-offset checkpoints.
 
 Texts are dealt out by ranges of doc_id and sorted, so files hold ids in ascending order of doc_id (null first; rows of equal
-id by text). A segment is one row of a file: ids and lengths of its documents, the number of ids before it in its file, the
+id by the first characters of their text, then as the table has them). A segment is one row of a file: ids and lengths of its documents, the number of ids before it in its file, the
 bit stream, and the bit offset of each block of BLOCK ids. Any block can be decoded alone; a segment decodes all its blocks
-at once, one table lookup per id. Nulls and empty texts are documents of just the end id.
+at once, one table lookup per id. Nulls and empty texts are documents of just the end id; a text longer than a segment is a
+segment of its own. Other columns are ignored. An empty table gives files without segments.
 """
 
 from __future__ import annotations
@@ -13,20 +14,21 @@ import os
 import re
 import zlib
 from array import array
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import KEPT_CHARS, KEPT_PIECES, byte_letters, default_path, pieces_of
-from .common import blocks, shared_folder, table, text_bytes
+from .bpe import byte_letters, default_path
+from .common import blocks, deleted, shared_folder, table, text_bytes
+from .pieces import Remembered, column_ids
 
 LIMIT = 20  # longest code in bits
 BLOCK = 512  # ids between checkpoints
 SEGMENT = 1 << 20  # ids in a segment, but for a longer document
 PART_BYTES = 16_000_000  # of text in a file
+HEAD_CHARS = 32  # of a text that order rows of equal id
 
 
 # --- code ------------------------------------------------------------------------------------------------------------
@@ -127,59 +129,12 @@ def unpack(stream: bytes, checkpoints: np.ndarray, n: int, tables: tuple[np.ndar
 
 #: Letters below U+0180, in which all versions of Unicode agree.
 _LETTER = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f"
-_SIMPLE = re.compile("[\n!-~\u00c0-\u017f]+")
-_WORD = re.compile(f"([{_LETTER}]+)([!-&(-/:-@[-`{{-~]*)")
+_SIMPLE = re.compile("(?: (?!\n))?[\n!-~\u00c0-\u017f]+")
 _PARTS = re.compile(f"'(?:[sdmt]|ll|ve|re)| ?[{_LETTER}]+| ?[0-9]+| ?[^ \n0-9{_LETTER}]+|\n+(?![^\n])|\n")
 
 
-class Pieces(dict):
-    """Ids of pieces that follow a space, found on first use and remembered in bounded memory.
-
-    A piece of simple characters is cut into pre-tokens here, and the library's model encodes those not yet known; any other
-    goes through the whole library."""
-
-    def __init__(self, t, simple: bool):
-        self.library = lambda text: np.array(t.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u2").tobytes()
-        self.model = t.model.tokenize
-        self.word, self.simple = (_WORD.fullmatch, _SIMPLE.fullmatch) if simple else (lambda piece: None,) * 2
-        self.letters = {b: letter for letter, b in byte_letters().items()}
-        self.pre: dict[str, bytes] = {}
-
-    def _pre(self, pre: str) -> bytes:
-        """Ids of a pre-token not yet known."""
-        if pre.isascii() and "\n" not in pre:  # visible characters stand for themselves
-            text = pre.replace(" ", self.letters[32])
-        else:
-            text = pre.encode().decode("latin-1").translate(self.letters)
-        known = array("H", [x.id for x in self.model(text)]).tobytes()
-        if len(pre) <= KEPT_CHARS:
-            if len(self.pre) >= KEPT_PIECES:
-                self.pre.clear()
-            self.pre[pre] = known
-        return known
-
-    def __missing__(self, piece: str) -> bytes:
-        word, get = self.word(piece), self.pre.get
-        if word:
-            head, tail = word.groups()
-            ids = get(" " + head) or self._pre(" " + head)
-            if tail:
-                ids += get(tail) or self._pre(tail)
-        elif self.simple(piece):
-            ids = b"".join([get(x) or self._pre(x) for x in _PARTS.findall(" " + piece)])
-        else:
-            ids = self.library(" " + piece)
-        if len(piece) <= KEPT_CHARS:
-            if len(self) >= KEPT_PIECES:
-                self.clear()
-            self[piece] = ids
-        return ids
-
-
 class Tokens:
-    """Ids by the tokenizers library; those of short pieces between single spaces are remembered, in bounded memory.
-
-    A space before a character other than white space always starts a new pre-token, so pieces can be encoded apart."""
+    """Ids by the tokenizers library. A piece of simple characters is cut into pre-tokens here, and the library's model encodes those not yet known; any other piece goes through the whole library."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
@@ -188,17 +143,34 @@ class Tokens:
         self.t = Tokenizer.from_file(path)
         self.t.no_padding()
         self.t.no_truncation()
-        self.special = re.compile("|".join(re.escape(x.content) for x in self.t.get_added_tokens_decoder().values()) or r"(?!)")
+        if self.t.get_vocab_size() > 1 << 16:
+            raise ValueError(f"{path}: ids of this module take 16 bits")
+        special = "|".join(re.escape(x.content) for x in self.t.get_added_tokens_decoder().values())
+        self.special = re.compile(special) if special else None
         spec = json.loads(self.t.to_str())
         cut = spec["pre_tokenizer"] or {}
         usual = spec["normalizer"] is None and cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut["add_prefix_space"] and spec["model"]["type"] == "BPE"
-        self.known = Pieces(self.t, usual)
+        self.model, self.simple = self.t.model.tokenize, _SIMPLE.fullmatch if usual else lambda piece: None
+        self.letters = {b: letter for letter, b in byte_letters().items()}
+        self.pieces = Remembered(self._piece)
+
+    def _library(self, text: str) -> bytes:
+        return np.array(self.t.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u2").tobytes()
+
+    def _word(self, pre: bytes) -> bytes:
+        """Ids of one pre-token."""
+        return array("H", [x.id for x in self.model(pre.decode("latin-1").translate(self.letters))]).tobytes()
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [None if self.special.search(text) else pieces_of(text) for text in texts]
-        first = self.t.encode_batch_fast([text if pieces is None else pieces[0] for text, pieces in zip(texts, cut)], add_special_tokens=False)
-        ids = self.known.__getitem__
-        return [np.array(f.ids, "<u2").tobytes() + (b"".join(map(ids, islice(pieces, 1, None))) if pieces else b"") for f, pieces in zip(first, cut)]
+    def _piece(self, piece: bytes) -> bytes:
+        text = piece.decode()
+        if not self.simple(text):
+            return self._library(text)
+        parts = _PARTS.findall(text)
+        return self._word(piece) if len(parts) == 1 else b"".join([self.pieces(x.encode()) for x in parts])
+
+    def column(self, column: pa.Array):
+        """Blocks of (ids, number of each row), as `column_ids` gives them."""
+        return column_ids(column, self.pieces, self.special, self._library)
 
 
 _TOKENS: dict[str, Tokens] = {}
@@ -210,34 +182,66 @@ def tokens_of(path: str) -> Tokens:
     return _TOKENS[path]
 
 
+def with_end(ids: np.ndarray, sizes: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same with an end id after each row's ids."""
+    out = np.full(len(ids) + len(sizes), end_id, np.uint16)
+    ends = np.cumsum(sizes + 1) - 1
+    inner = np.ones(len(out), bool)
+    inner[ends] = False
+    out[inner] = ids
+    return out, sizes + 1
+
+
+def sparse(counts: np.ndarray) -> bytes:
+    """Ids with a count, then their counts, both as 64-bit integers."""
+    at = np.flatnonzero(counts)
+    return np.concatenate((at, counts[at])).astype("<i8").tobytes()
+
+
 def token_segments(docs: DataFrame, id_col: str = "doc_id", text: str = "text", path: str | None = None, end_id: int = 2) -> DataFrame:
-    """Encoded documents in ascending order of id_col: rows (part, before, doc_ids, lens, ids), parts by ranges of id_col."""
+    """Encoded documents in ascending order of id_col: rows (part, before, doc_ids, lens, ids, counts), parts by ranges.
+
+    Rows of one id follow by the first characters of their text, then in the order of the table; ranges are cut by all three,
+    so no id, however common, has to fit in one task."""
     path = path or default_path()
     parts = blocks(text_bytes(docs, text), PART_BYTES)
-    src = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    src = src.repartitionByRange(parts, F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first(), "text")
-    src = src.withColumn("part", F.spark_partition_id())
-    end = np.array([end_id], "<u2").tobytes()
+    order = [F.col("id").asc_nulls_first(), "head", "row"]
+    src = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumns({"head": F.substring("text", 1, HEAD_CHARS), "row": F.monotonically_increasing_id()})
+    src = src.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("id", "text", F.spark_partition_id().alias("part"))
 
     def run(batches):
-        enc, before = tokens_of(path), 0
-        names = ["part", "before", "doc_ids", "lens", "ids"]
+        enc, before, part = tokens_of(path), 0, 0
+        names = ["part", "before", "doc_ids", "lens", "ids", "counts"]
+        held: list = []
+        size = 0
+
+        def segment():
+            ids = np.concatenate([x[2] for x in held])
+            lens = np.concatenate([x[1] for x in held])
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([before], pa.int64()), pa.array([pa.concat_arrays([x[0] for x in held])], pa.list_(pa.int64())), pa.array([lens], pa.list_(pa.int64())), pa.array([ids.tobytes()], pa.binary()), pa.array([sparse(np.bincount(ids, minlength=1 << 16))], pa.binary())], names)
+
         for batch in batches:
-            ids, texts, part = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)[0].as_py() if batch.num_rows else 0
-            at = 0
-            while at < len(texts):
-                held, size, start = [], 0, at
-                while at < len(texts) and (not held or size < SEGMENT):
-                    some = texts[at : at + 64]
-                    got = [x + end for x in enc.encode(some)]
-                    held += got
-                    size += sum(map(len, got)) // 2
-                    at += len(some)
-                lens = [len(x) // 2 for x in held]
-                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([before], pa.int64()), pa.array([ids[start:at]], pa.list_(pa.int64())), pa.array([lens], pa.list_(pa.int64())), pa.array([b"".join(held)], pa.binary())], names)
-                before += size
-
-    return src.mapInArrow(run, "part int, before long, doc_ids array<long>, lens array<long>, ids binary")
+            if not batch.num_rows:
+                continue
+            part, at = batch.column(2)[0].as_py(), 0
+            for ids, sizes in enc.column(batch.column(1)):
+                ids, sizes = with_end(ids, sizes, end_id)
+                ends = np.cumsum(sizes)
+                a = 0
+                while a < len(sizes):  # a row that passes SEGMENT ends its segment
+                    base = ends[a] - sizes[a]
+                    b = min(len(sizes), int(np.searchsorted(ends, base + SEGMENT - size)) + 1)
+                    held.append((batch.column(0).slice(at + a, b - a), sizes[a:b], ids[base : ends[b - 1]]))
+                    size += int(ends[b - 1] - base)
+                    a = b
+                    if size >= SEGMENT:
+                        yield segment()
+                        before, held, size = before + size, [], 0
+                at += len(sizes)
+        if held:
+            yield segment()
+
+    return src.mapInArrow(run, "part int, before long, doc_ids array<long>, lens array<long>, ids binary, counts binary")
 
 
 def count_ids(segments: DataFrame) -> np.ndarray:
@@ -247,12 +251,13 @@ def count_ids(segments: DataFrame) -> np.ndarray:
         total = np.zeros(1 << 16, np.int64)
         for batch in batches:
             for x in batch.column(0):
-                total += np.bincount(np.frombuffer(x.as_buffer(), "<u2"), minlength=1 << 16)
+                at, n = np.frombuffer(x.as_buffer(), "<i8").reshape(2, -1)
+                total[at] += n
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], ["id", "n"])
 
     counts = np.zeros(1 << 16, np.int64)
-    for r in segments.select("ids").mapInArrow(run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
+    for r in segments.select("counts").mapInArrow(run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
         counts[r.id] = r.n
     return counts
 
@@ -264,7 +269,7 @@ def write_files(docs: DataFrame, folder: str, id_col: str = "doc_id", text: str
     """Writes `folder`/code (the code's lengths) and `folder`/data (segments)."""
     spark = docs.sparkSession
     token_segments(docs, id_col, text, path, end_id).write.option("compression", "zstd").parquet(f"{folder}/ids")
-    segments = spark.read.parquet(f"{folder}/ids")
+    segments = spark.read.parquet(f"{folder}/ids")  # counts are read alone, ids without them
     lengths = code_lengths(count_ids(segments))
     spark.createDataFrame([(bytearray(lengths.tobytes()), BLOCK)], "lengths binary, block int").coalesce(1).write.parquet(f"{folder}/code")
 
@@ -278,10 +283,9 @@ def write_files(docs: DataFrame, folder: str, id_col: str = "doc_id", text: str
                 marks.append(m)
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(stream, pa.binary()), pa.array(marks, pa.list_(pa.int64()))], ["part", "before", "doc_ids", "lens", "stream", "checkpoints"])
 
-    coded = segments.mapInArrow(run, "part int, before long, doc_ids array<long>, lens array<long>, stream binary, checkpoints array<long>")
+    coded = segments.drop("counts").mapInArrow(run, "part int, before long, doc_ids array<long>, lens array<long>, stream binary, checkpoints array<long>")
     coded.write.option("compression", "uncompressed").parquet(f"{folder}/data")
-    at = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/ids")
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    deleted(spark, f"{folder}/ids")
 
 
 def read_files(spark: SparkSession, folder: str) -> DataFrame:
