@@ -2,16 +2,20 @@
 
 Encoding rests on two facts about rank-ordered merges. (1) A token sequence is the encoding of its bytes exactly if each token
 encodes itself and each adjacent pair encodes to itself, so the last token of each prefix fixes that prefix's whole encoding.
-(2) When the encodings of all prefixes that end within the longest token's length of the input's end agree on their first
-tokens, no further input can change those tokens. The transducer keeps the last token of each prefix, emits what all live
-prefixes share, and forgets it: its memory is the lookahead that the merge list needs, however long a run of letters is.
-
-Words (pieces that the pre-tokeniser cuts off at single spaces) repeat, so encodings of short pieces are kept in a bounded
-table. Nulls are empty texts; empty texts have no tokens. Rows are independent of each other.
+(2) Further input can only move a boundary through a chain of merges of falling rank that runs from the new bytes back to it,
+and the merge list bounds the bytes that such a chain spans: its sufficient lookahead (`Merges.lookahead`). The transducer
+keeps the last token of each prefix, emits the tokens that end further back than the lookahead, and forgets them: its memory
+is the lookahead and the longest token, however long a run of letters is.
+
+Every pre-token is encoded by the transducer. Pieces between single spaces repeat, so results of short pieces and pre-tokens
+are kept in bounded tables (`pieces`); longer ones go through the transducer each time. Nulls are empty texts; empty texts
+have no tokens. Rows, repeated or not, are independent of each other; columns of the input that clash with those returned are
+replaced or ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import bisect
 import codecs
 import hashlib
 import json
@@ -25,21 +29,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import table
+from .pieces import Remembered, column_ids
 
-#: Characters with the Unicode property White_Space (fixed values).
-WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-_CUT = re.compile(f" (?=[^{WHITE}])")
-#: Pieces up to so many characters are remembered, so many of them at once.
-KEPT_CHARS, KEPT_PIECES, KEPT_PAIRS = 64, 1_000_000, 1_000_000
-
-
-_ODD = re.compile(f" (?:[{WHITE}]|\\Z)")
-
-
-def pieces_of(text: str) -> list[str]:
-    """Pieces between the spaces that come before another kind of character. The first has no space before it."""
-    return _CUT.split(text) if _ODD.search(text) else text.split(" ")
-
+KEPT_PAIRS = 1_000_000
 
 def byte_letters() -> dict[str, int]:
     """The printable letter that stands for each byte in vocabulary files, by the usual rule: visible Latin-1 characters
@@ -65,26 +57,60 @@ class Merges:
         raw = {t: bytes(letters[c] for c in t) for t in spec["model"]["vocab"] if t not in special}
         self.ids = {b: spec["model"]["vocab"][t] for t, b in raw.items()}
         self.bytes = {i: b for b, i in self.ids.items()} | {i: s.encode() for s, i in special.items()}
+        if max(self.bytes) >= 1 << 16:
+            raise ValueError(f"{path}: ids of this module take 16 bits")
         self.ranks: dict[tuple[int, int], tuple[int, int]] = {}
         self.longest = max(map(len, self.ids))
-        reach: dict[int, int] = {}
         self.made: dict[int, tuple[int, int, int]] = {}
         self.edges: tuple[dict, dict] = ({}, {})
         vocab = spec["model"]["vocab"]
-        self.lookahead = self.longest
         for rank, pair in enumerate(spec["model"]["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
             left, right = vocab[a], vocab[b]
             self.ranks[left, right] = (rank, vocab[a + b])
             self.made.setdefault(vocab[a + b], (rank, left, right))
-            # A merge waits only for an earlier-ranked one that wants its right part; the longest such chain, in bytes.
-            chain = len(raw[b]) + reach.get(right, 0)
-            reach[left] = max(reach.get(left, 0), chain)
-            self.lookahead = max(self.lookahead, chain + self.longest)
-        self.heads = {b[:k] for b in self.ids for k in range(1, len(b))}
-        self.pairs: dict[tuple[int, int], bool] = {}
-        self.pieces: dict[str, np.ndarray] = {}
-        self.whole = {i for b, i in self.ids.items() if self.merged([self.ids[bytes([x])] for x in b]) == [i]}
+        self.lookahead = self._lookahead()
+        self.pairs: dict[int, bool] = {}
+        self.tokens = {b: i for b, i in self.ids.items() if self.merged([self.ids[bytes([x])] for x in b]) == [i]}
+        self.matcher = self._matcher()
+
+    def _matcher(self):
+        """Automaton that finds all tokens that end at each byte; a character of its text is a byte."""
+        import ahocorasick
+
+        out = ahocorasick.Automaton()
+        for b, i in self.tokens.items():
+            out.add_word(b.decode("latin-1"), (len(b), i))
+        out.make_automaton()
+        return out
+
+    def _lookahead(self) -> int:
+        """Bytes after a boundary that decide whether it stays.
+
+        Two texts merge alike up to where they first differ, unless a merge (u, v) happens in one of them only, because v is
+        there in one only. Then the boundary where they differ lies inside v, as the place of one of the merges that make v, or
+        at the end of v, where a merge of some right part of v as it was being made took place in the other text. That merge
+        has a lower rank, so the bytes that the merge of rank r may depend on follow from those of lower ranks."""
+        far: dict[int, list[tuple[int, int]]] = {}  # by left part: (rank, most bytes after the boundary up to that rank)
+        reach: dict[tuple[int, int], int] = {}
+        inner: dict[int, int] = {}  # by token: most bytes after its start that merges inside it depend on
+        most = self.longest
+        for (u, v), (rank, made) in self.ranks.items():
+            size = len(self.bytes[v])
+            best = max(size, inner.get(v, 0))
+            for part, gone in self._edge(v, 1):
+                known = far.get(part)
+                if known:
+                    k = bisect.bisect_left(known, (min(rank, gone), 0))
+                    if k:
+                        best = max(best, size + known[k - 1][1])
+            reach[u, v] = best
+            row = far.setdefault(u, [])
+            row.append((rank, max(best, row[-1][1] if row else 0)))
+            left = len(self.bytes[u])
+            inner[made] = max(inner.get(made, 0), inner.get(u, 0), left + max(best, inner.get(v, 0)))
+            most = max(most, best)
+        return most
 
     def merged(self, tokens: list[int]) -> list[int]:
         """Rank-ordered merging of a short sequence until no pair merges."""
@@ -114,7 +140,7 @@ class Merges:
     def fits(self, a: int, b: int) -> bool:
         """Does the pair of tokens encode to itself? It does unless some merge across the boundary comes before the merges
         that take its two parts away from there; of equal ranks the one further left comes first."""
-        known = self.pairs.get((a, b))
+        known = self.pairs.get(a << 16 | b)
         if known is None:
             ranks = self.ranks
             known = True
@@ -125,7 +151,7 @@ class Merges:
                         known = False
             if len(self.pairs) >= KEPT_PAIRS:
                 self.pairs.clear()
-            self.pairs[a, b] = known
+            self.pairs[a << 16 | b] = known
         return known
 
 
@@ -134,42 +160,44 @@ class Transducer:
 
     def __init__(self, merges: Merges):
         self.m = merges
+        self.peak = 0  # bytes ever held
         self.begin()
 
     def begin(self) -> None:
-        self.data = b""
-        self.before = -1  # the last token emitted
-        self.last: list[int] = [-2]  # by prefix length: its last token; -1: no encoding ends there; -2: the start
-        self.peak = 0
+        self.size = 0  # bytes held
+        self.before = -2  # the last token emitted; -2: none yet
+        self.last: list[int] = [-2]  # by prefix length: its last token; -1: no encoding ends there
+        self.found = None
 
     def feed(self, part: bytes, step: int = 256) -> list[int]:
         """Any length: it is taken in steps, so the window stays as small as the lookahead allows."""
         out: list[int] = []
         for at in range(0, len(part), step):
-            self.data += part[at : at + step]
-            self._extend()
-            self.peak = max(self.peak, len(self.data))
-            if len(self.data) > self.m.lookahead:
+            self._extend(part[at : at + step])
+            if self.size > self.peak:
+                self.peak = self.size
+            if self.size > self.m.lookahead + self.m.longest:
                 out += self._settle()
         return out
 
-    def _extend(self) -> None:
-        data, last, ids, whole, fits = self.data, self.last, self.m.ids, self.m.whole, self.m.fits
-        for end in range(len(last), len(data) + 1):
-            found = -1
-            for size in range(min(end, self.m.longest), 0, -1):
-                prior = last[end - size]
-                if prior == -1:
-                    continue
-                t = ids.get(data[end - size : end])
-                if t is None or t not in whole:
-                    continue
-                if prior == -2:
-                    prior = self.before
-                if prior < 0 or fits(prior, t):
-                    found = t
-                    break
-            last.append(found)
+    def _extend(self, part: bytes) -> None:
+        text, pairs, fits = part.decode("latin-1"), self.m.pairs, self.m.fits
+        if self.found is None:
+            self.found = self.m.matcher.iter(text)
+            self.seen = 0
+        else:
+            self.found.set(text)
+        skip = self.size - self.seen  # the automaton counts bytes from the pre-token's start, last from what is held
+        last = self.last + [-1] * len(part)
+        for end, (size, t) in self.found:
+            end += skip + 1
+            if last[end] == -1 and (prior := last[end - size]) != -1:
+                ok = prior == -2 or pairs.get(prior << 16 | t)
+                if ok or (ok is None and fits(prior, t)):
+                    last[end] = t
+        self.last = last
+        self.size += len(part)
+        self.seen += len(part)
 
     def _back(self, end: int) -> list[int]:
         out = []
@@ -180,20 +208,21 @@ class Transducer:
         return out[::-1]
 
     def _settle(self) -> list[int]:
-        n = len(self.data)
-        live = [self._back(q) for q in range(max(1, n - self.m.longest + 1), n + 1) if self.last[q] != -1]
-        keep = 0
-        while all(len(x) > keep and x[keep] == live[0][keep] for x in live):
-            keep += 1
-        out = live[0][:keep]
+        """Tokens that end more than the lookahead before the end of what was fed: no further input can change them."""
+        final, out, size = self.size - self.m.lookahead - 1, [], 0
+        for t in self._back(self.size):
+            if size + len(self.m.bytes[t]) > final:
+                break
+            size += len(self.m.bytes[t])
+            out.append(t)
         if out:
-            size = sum(len(self.m.bytes[t]) for t in out)
             self.before = out[-1]
-            self.data, self.last = self.data[size:], [-2, *self.last[size + 1 :]]
+            self.last = [self.before, *self.last[size + 1 :]]
+            self.size -= size
         return out
 
     def finish(self) -> list[int]:
-        out = self._back(len(self.data))
+        out = self._back(self.size)
         self.begin()
         return out
 
@@ -204,85 +233,31 @@ class Encoder:
     def __init__(self, path: str):
         self.m = Merges(path)
         self.t = Transducer(self.m)
+        self.pieces = Remembered(self._piece)
 
-    def _word(self, pre: str) -> list[int]:
-        """One pre-token. Short ones by longest matches with stepping back, which ends at the same unique encoding."""
-        data = pre.encode()
-        if len(data) > KEPT_CHARS:
-            out = self.t.feed(data)
-            return out + self.t.finish()
-        ids, heads, whole, fits = self.m.ids, self.m.heads, self.m.whole, self.m.fits
-        out: list[int] = []
-        spans = [0]
-        dead: set[int] = set()
-        size = 0  # longest size allowed at this position, 0: any
-        n = len(data)
-        while spans[-1] < n:
-            at = spans[-1]
-            if not size:
-                end = at + 1
-                while end < n and data[at:end] in heads:
-                    end += 1
-                size = end - at
-            t = -1
-            while size:
-                if at + size not in dead:
-                    c = ids.get(data[at : at + size])
-                    if c is not None and c in whole and (not out or fits(out[-1], c)):
-                        t = c
-                        break
-                size -= 1
-            if t >= 0:
-                out.append(t)
-                spans.append(at + size)
-                size = 0
-            else:
-                dead.add(at)  # no encoding of a whole text passes here
-                spans.pop()
-                out.pop()
-                size = at - spans[-1] - 1
-                if not size:
-                    dead.add(spans[-1])
-                    while True:
-                        at = spans.pop()
-                        out.pop()
-                        size = at - spans[-1] - 1
-                        if size:
-                            break
-                        dead.add(spans[-1])
-        return out
+    def _word(self, pre: bytes) -> bytes:
+        """Ids of one pre-token, through the transducer."""
+        return array("H", self.t.feed(pre) + self.t.finish()).tobytes()
 
-    def _piece(self, piece: str) -> bytes:
-        """Ids of a piece that follows a space; remembered."""
-        known = self._ids(" " + piece)
-        if len(piece) <= KEPT_CHARS:
-            if len(self.m.pieces) >= KEPT_PIECES:
-                self.m.pieces.clear()
-            self.m.pieces[piece] = known
-        return known
-
-    def _ids(self, piece: str) -> bytes:
-        ids: list[int] = []
-        for pre in self.m.pattern.findall(piece):
-            ids += self._word(pre)
-        return array("H", ids).tobytes()
-
-    def _plain(self, text: str) -> bytes:
-        first, *rest = pieces_of(text)
-        get, piece = self.m.pieces.get, self._piece
-        return self._ids(first) + b"".join([get(p) or piece(p) for p in rest])
+    def _piece(self, piece: bytes) -> bytes:
+        pres = self.m.pattern.findall(piece.decode())
+        return self._word(piece) if len(pres) == 1 else b"".join([self.pieces(pre.encode()) for pre in pres])
 
     def encode(self, text: str) -> bytes:
         """Ids of the text as little-endian 16-bit integers."""
-        if not text:
-            return b""
-        if self.m.cut_special is None or not self.m.cut_special.search(text):
-            return self._plain(text)
+        return b"".join([ids.tobytes() for ids, _ in self.column(pa.array([text]))])
+
+    def _around(self, text: str) -> bytes:
+        """Ids of a text that holds special tokens: what lies between them is encoded apart."""
         out, last = [], 0
         for hit in self.m.cut_special.finditer(text):
-            out += [self._plain(text[last : hit.start()]) if hit.start() > last else b"", np.array([self.m.special[hit.group()]], "<u2").tobytes()]
+            out += [self.encode(text[last : hit.start()]), array("H", [self.m.special[hit.group()]]).tobytes()]
             last = hit.end()
-        return b"".join([*out, self._plain(text[last:]) if last < len(text) else b""])
+        return b"".join([*out, self.encode(text[last:])])
+
+    def column(self, column: pa.Array):
+        """Blocks of (ids, number of each row), as `column_ids` gives them."""
+        return column_ids(column, self.pieces, self.m.cut_special, self._around)
 
 
 class Decoder:
@@ -327,7 +302,7 @@ def encoded(docs: DataFrame, text: str = "text", path: str | None = None) -> Dat
     def run(batches):
         enc = encoder(path)
         for batch in batches:
-            ids = [enc.encode(t or "") for t in batch.column(at).to_pylist()]
+            ids = [x.tobytes() for flat, n in enc.column(batch.column(at)) for x in np.split(flat, np.cumsum(n)[:-1])] if batch.num_rows else []
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.binary()), pa.array([len(x) // 2 for x in ids], pa.int64())], [*names, "ids", "n_tokens"])
 
     return src.mapInArrow(run, T.StructType([*src.schema.fields, T.StructField("ids", T.BinaryType()), T.StructField("n_tokens", T.LongType())]))
@@ -342,18 +317,21 @@ def round_trip(docs: DataFrame, text: str = "text", id_col: str = "doc_id", path
         enc = encoder(path)
         dec = Decoder(enc.m)
         for batch in batches:
-            n, a, b, same = [], [], [], []
-            for value in batch.column(1).to_pylist():
-                ids = np.frombuffer(enc.encode(value or ""), "<u2")
-                digest, back = hashlib.sha256(), []
-                for at in range(0, len(ids), part):
-                    back.append(dec.feed(ids[at : at + part].tolist()))
-                back = "".join([*back, dec.finish()])
-                digest.update(back.encode())
-                n.append(len(ids))
-                a.append(hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest())
-                b.append(digest.hexdigest())
-                same.append(back == (value or ""))
+            n, a, b = [], [], []
+            for flat, sizes in enc.column(batch.column(1)):
+                end = 0
+                for size in sizes.tolist():
+                    ids, end = flat[end : end + size], end + size
+                    digest, sha = hashlib.sha256(), hashlib.sha256()
+                    for at in range(0, size, part):
+                        some = ids[at : at + part]
+                        sha.update(some.astype("<u4").tobytes())
+                        digest.update(dec.feed(some.tolist()).encode())
+                    digest.update(dec.finish().encode())
+                    n.append(size)
+                    a.append(sha.hexdigest())
+                    b.append(digest.hexdigest())
+            same = [hashlib.sha256((x or "").encode()).hexdigest() == y for x, y in zip(batch.column(1).to_pylist(), b)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array(same, pa.bool_())], [id_col, "n_tokens", "ids_sha256", "decoded_sha256", "exact"])
 
     kind = src.schema[id_col].dataType.simpleString()
