@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .fixtures import view, with_views
-from .operators import audit, clusters, flow, frames, graph, inequality, resampling, service, spatial
+from .functions import exprs
+from .operators import audit, clusters, flow, frames, graph, inequality, kernels, resampling, service, spatial
 from .plans.components import shared_path
 from .sources import feeds, lake
 
@@ -71,23 +72,22 @@ def _addx(name: str, build: Callable, views: str, extra: str, body: str) -> None
 _addx("net_flow", lambda p: flow.net_flow(p).select("system_id", "station_id", "fetched_at", "net_flow"), "v_panel", NF, f"select {K}, {US('fetched_at')} as fetched_at, nf as net_flow from f")
 _addx("turnover", lambda p: flow.turnover(p), "v_panel", NF, f"select {K}, {US(chr(39).join(['date_trunc(', 'day', ', fetched_at)']))} as period, cast(sum(abs(nf)) as bigint) as turnover from f where nf is not null group by 1, 2, 3")
 _addx("turnover_by_capacity", lambda p: flow.turnover(p, normalize="capacity"), "v_panel", NF, f"select {K}, {US(chr(39).join(['date_trunc(', 'day', ', fetched_at)']))} as period, {R('sum(abs(nf)) / case when max(capacity) > 0 then max(capacity) end', 'turnover')} from f where nf is not null group by 1, 2, 3")
-_addx("flow_balance", lambda p: flow.flow_balance(p).select("system_id", "station_id", "inflow", "outflow", "net"), "v_panel", NF, f"select {K}, cast(coalesce(sum(nf) filter (nf > 0), 0) as bigint) as inflow, cast(coalesce(-sum(nf) filter (nf < 0), 0) as bigint) as outflow, cast(coalesce(sum(nf), 0) as bigint) as net from f group by 1, 2")
+_addx("flow_balance", flow.flow_balance, "v_panel", NF, f"select {K}, i as inflow, o as outflow, i - o as net, round_even(o / case when i > 0 then i end, 3) as balance from (select {K}, cast(coalesce(sum(nf) filter (nf > 0), 0) as bigint) as i, cast(coalesce(-sum(nf) filter (nf < 0), 0) as bigint) as o from f group by 1, 2)")
 _addx("flow_asymmetry", lambda p: flow.flow_asymmetry(p, eps=1.0), "v_panel", NF, f"select {K}, {R('coalesce(sum(nf) filter (nf > 0), 0) / (coalesce(-sum(nf) filter (nf < 0), 0) + 1.0)', 'flow_asymmetry')} from f group by 1, 2")
 _addx("cumulative_imbalance", lambda p: flow.cumulative_imbalance(p).select("system_id", "station_id", "fetched_at", "cumulative_imbalance"), "v_panel", NF, f"select {K}, {US('fetched_at')} as fetched_at, cast(sum(coalesce(nf, 0)) over (partition by {K}, date_trunc('day', fetched_at) order by fetched_at) as bigint) as cumulative_imbalance from f")
 _addx("aliasing_vulnerability", flow.aliasing_vulnerability, "v_panel", NF + f", s as (select *, lag(sign(nf)) over {W} as p from f where nf <> 0)", f"select n.system_id, n.station_id, n.n_intervals, r.reversal_share from (select {K}, count(*) as n_intervals from f where nf is not null group by 1, 2) n left join (select {K}, {R('avg(case when sign(nf) <> p then 1 else 0 end)', 'reversal_share')} from s where p is not null group by 1, 2) r using (system_id, station_id)")
 _addx("fleet_turnover", flow.fleet_turnover, "v_panel", NF, f"select m.system_id, {US('m.period')} as period, {R('m.moved / case when g.fleet > 0 then g.fleet end', 'fleet_turnover')} from (select system_id, date_trunc('day', fetched_at) as period, coalesce(sum(abs(nf)), 0) / 2.0 as moved from f group by 1, 2) m join (select system_id, date_trunc('day', fetched_at) as period, max(b) as fleet from (select system_id, fetched_at, sum(num_bikes_available) as b from v_panel group by 1, 2) group by 1, 2) g using (system_id, period)")
 _addx("docking_pressure", lambda p: flow.docking_pressure(p).select("system_id", "station_id", "fetched_at", "docking_pressure"), "v_panel", NF, f"select {K}, {US('fetched_at')} as fetched_at, {R('coalesce(avg(nf) filter (nf > 0) over (partition by system_id, station_id), 0) / case when num_docks_available > 0 then num_docks_available end', 'docking_pressure')} from f")
 _EP = f", e as (select {K}, fetched_at, 'empty' as kind, coalesce(num_bikes_available <= 0, false) as flag from v_panel union all select {K}, fetched_at, 'full', coalesce(num_docks_available <= 0, false) from v_panel), r as (select *, row_number() over (partition by {K}, kind order by fetched_at) - row_number() over (partition by {K}, kind, flag order by fetched_at) as run from e), ep as (select {K}, kind, min(fetched_at) as a, max(fetched_at) as b, count(*) as n_obs from r where flag group by {K}, kind, run)"
-_addx("stockout_episodes", lambda p: flow.stockout_episodes(p).drop("duration_minutes"), "v_panel", _EP, f"select {K}, kind, {US('a')} as \"start\", {US('b')} as \"end\", n_obs from ep")
+_addx("stockout_episodes", flow.stockout_episodes, "v_panel", _EP, f"select {K}, kind, {US('a')} as \"start\", {US('b')} as \"end\", n_obs, round_even((epoch_us(b) - epoch_us(a)) / 60e6, 1) as duration_minutes from ep")
 _addx("outage_survival", lambda p: flow.outage_survival(flow.stockout_episodes(p).withColumn("duration_minutes", F.floor((F.unix_micros(F.col("end").cast("timestamp")) - F.unix_micros(F.col("start").cast("timestamp"))) / 3.6e9)), by=("kind",)), "v_panel", _EP + ", d as (select kind, cast(floor((epoch_us(b) - epoch_us(a)) / 3.6e9) as bigint) as duration_minutes from ep), c as (select kind, duration_minutes, count(*) as h from d group by 1, 2), t as (select kind, count(*) as n, quantile_cont(duration_minutes, 0.5) as median, quantile_cont(duration_minutes, 0.9) as p90 from d group by 1)", f"select c.kind, c.duration_minutes, cast(sum(h) over (partition by c.kind order by duration_minutes desc) as bigint) as at_risk, n, {R('median', 'median')}, {R('p90', 'p90')}, {R('(sum(h) over (partition by c.kind order by duration_minutes desc) - h) / n', 'survival')} from c join t using (kind)")
-_add("frozen_stations", lambda p: flow.frozen_stations(p), "v_panel")
-_add("resample", lambda p: flow.resample(p, "6h"), "v_panel")
-_addx("resample_grid", lambda p: flow.resample(p, "6h").groupBy("system_id", "station_id").agg(F.count("*").alias("n"), F.min("fetched_at").alias("a"), F.max("fetched_at").alias("b")), "v_panel", "", f"select {K}, cast((floor(epoch(max(fetched_at)) / 21600) - floor(epoch(min(fetched_at)) / 21600)) + 1 as bigint) as n, cast(floor(epoch(min(fetched_at)) / 21600) * 21600 * 1000000 as bigint) as a, cast(floor(epoch(max(fetched_at)) / 21600) * 21600 * 1000000 as bigint) as b from v_panel group by 1, 2")
+_addx("frozen_stations", flow.frozen_stations, "v_panel", f", q as (select {K}, fetched_at, num_bikes_available as v, lag(num_bikes_available) over {W} as p from v_panel where hour(fetched_at) between 6 and 22), s as (select *, sum(case when v = p then 0 else 1 end) over {W} as run from q), u as (select {K}, run, (epoch_us(max(fetched_at)) - epoch_us(min(fetched_at))) / 3.6e9 as h, any_value(v) as v from s group by {K}, run)", f"select {K}, {R('max(h)', 'num_bikes_available_run_hours')}, first(v order by h desc, run) as num_bikes_available_run_value, max(h) >= 6 as frozen from u group by 1, 2")
+_addx("resample", lambda p: flow.resample(p, "6h"), "v_panel", f", g as (select {K}, unnest(generate_series(lo, hi, 21600000000)) as t from (select {K}, epoch_us(min(fetched_at)) // 21600000000 * 21600000000 as lo, epoch_us(max(fetched_at)) // 21600000000 * 21600000000 as hi from v_panel group by 1, 2)), o as (select {K}, epoch_us(fetched_at) as u, num_bikes_available, num_docks_available from v_panel)", "select g.system_id, g.station_id, g.t as fetched_at, o.num_bikes_available, o.num_docks_available from g asof left join o on g.system_id = o.system_id and g.station_id = o.station_id and g.t >= o.u")
 _addx("explicit_gaps", lambda p: flow.explicit_gaps(p.select("system_id", "station_id", "fetched_at", "num_bikes_available"), tolerance="12h"), "v_panel", f", g as (select *, lag(fetched_at) over {W} as p from v_panel)", f"select {K}, {US('fetched_at')} as fetched_at, num_bikes_available from v_panel union all select {K}, (epoch_us(fetched_at) + epoch_us(p)) // 2, null from g where epoch_us(fetched_at) - epoch_us(p) > 43200000000")
 _addx("snapshot_asof", lambda p: flow.snapshot_asof(p, "2024-01-15 12:00:00", tolerance="1D").select("system_id", "station_id", "fetched_at", "num_bikes_available"), "v_panel", "", f"select {K}, {US('fetched_at')} as fetched_at, num_bikes_available from v_panel where fetched_at between timestamp '2024-01-14 12:00:00' and timestamp '2024-01-15 12:00:00' qualify row_number() over (partition by {K} order by fetched_at desc) = 1")
 _addx("dedup_last", lambda p: flow.dedup_last(p.withColumn("last_reported", F.date_trunc("day", "fetched_at"))).select("system_id", "station_id", "fetched_at"), "v_panel", "", f"select {K}, {US('fetched_at')} as fetched_at from v_panel qualify row_number() over (partition by {K}, date_trunc('day', fetched_at) order by fetched_at desc) = 1")
-_addx("coverage_stations", lambda p: flow.coverage_stations(p, expected_freq="1h").select("system_id", "station_id", "actual", "longest_gap_min", "expected"), "v_panel", f", g as (select {K}, epoch_us(fetched_at) as t, epoch_us(fetched_at) - lag(epoch_us(fetched_at)) over {W} as gap from (select distinct {K}, fetched_at from v_panel))", f"select {K}, actual, {R('longest', 'longest_gap_min')}, expected from (select {K}, count(*) as actual, max(gap) / 60e6 as longest from g group by 1, 2) join (select system_id, cast(floor((max(t) - min(t)) / 3600000000) + 1 as bigint) as expected from g group by 1) using (system_id)")
-_addx("coverage_systems", lambda p: flow.coverage_systems(p, expected_freq="1h").drop("yield_pct"), "v_panel", ", t as (select distinct system_id, epoch_us(fetched_at) as t from v_panel), d as (select system_id, t, (t - lag(t) over (partition by system_id order by t)) / 60e6 as d from t), m as (select system_id, median(d) as med, count(*) as n, cast(floor((max(t) - min(t)) / 3600000000) + 1 as bigint) as expected from d group by 1)", f"select m.system_id, {R('med', 'cadence_min')}, n as n_snapshots, expected, {R('j', 'jitter_min')}, n_stations from m join (select d.system_id, median(abs(d - med)) as j from d join m using (system_id) group by 1) x on m.system_id = x.system_id join (select system_id, count(distinct station_id) as n_stations from v_panel group by 1) s on s.system_id = m.system_id")
+_addx("coverage_stations", lambda p: flow.coverage_stations(p, expected_freq="1h"), "v_panel", f", g as (select {K}, epoch_us(fetched_at) as t, epoch_us(fetched_at) - lag(epoch_us(fetched_at)) over {W} as gap from (select distinct {K}, fetched_at from v_panel))", f"select {K}, actual, {R('longest', 'longest_gap_min')}, expected, round_even(least(1.0, actual / expected) * 100, 1) as uptime_pct from (select {K}, count(*) as actual, max(gap) / 60e6 as longest from g group by 1, 2) join (select system_id, cast(floor((max(t) - min(t)) / 3600000000) + 1 as bigint) as expected from g group by 1) using (system_id)")
+_addx("coverage_systems", lambda p: flow.coverage_systems(p, expected_freq="1h"), "v_panel", ", t as (select distinct system_id, epoch_us(fetched_at) as t from v_panel), d as (select system_id, t, (t - lag(t) over (partition by system_id order by t)) / 60e6 as d from t), m as (select system_id, median(d) as med, count(*) as n, cast(floor((max(t) - min(t)) / 3600000000) + 1 as bigint) as expected from d group by 1)", f"select m.system_id, {R('med', 'cadence_min')}, n as n_snapshots, expected, {R('j', 'jitter_min')}, n_stations, round_even(least(1.0, n_pairs / (expected * n_stations)) * 100, 1) as yield_pct from m join (select d.system_id, median(abs(d - med)) as j from d join m using (system_id) group by 1) x on m.system_id = x.system_id join (select system_id, count(distinct station_id) as n_stations, count(distinct (station_id, fetched_at)) as n_pairs from v_panel group by 1) s on s.system_id = m.system_id")
 
 # --- service ---------------------------------------------------------------------------------------------------------
 
@@ -96,21 +96,29 @@ _add("service_reliability", service.service_reliability, "v_panel", f"select {K}
 _add("outage_rates", service.outage_rates, "v_panel", f"select {K}, {R('avg(cast(num_bikes_available = 0 as int))', 'empty_rate')}, {R('avg(cast(num_docks_available = 0 as int))', 'full_rate')}, count(*) as n_obs from v_panel group by 1, 2")
 _add("boundary_stress", service.boundary_stress, "v_panel", f"select {K}, {R('avg(cast(num_bikes_available <= 2 as int))', 'near_empty')}, {R('case when not bool_or(is_virtual_station) and coalesce(max(cast(capacity <= 0 as int)), 0) = 0 then avg(cast(num_docks_available <= 2 as int)) end', 'near_full')}, count(*) as n_obs from v_panel group by 1, 2")
 _OCC = "case when num_bikes_available + num_docks_available > 0 then num_bikes_available / cast(num_bikes_available + num_docks_available as double) end"
-_addx("availability_stats", lambda p: service.availability_stats(p).drop("peak_hour"), "v_panel", f", h as (select {K}, hour(fetched_at) as h, avg({_OCC}) as o from v_panel group by 1, 2, 3), c as (select {K}, max(o) - min(o) as amp from h where o is not null group by 1, 2)", f"select b.*, {R('amp', 'diurnal_amplitude')} from (select {K}, count(*) as n, {R('avg(num_bikes_available)', 'mean_bikes')}, {R('median(num_bikes_available)', 'median_bikes')}, {R(f'avg({_OCC})', 'mean_occupancy')}, {R('avg(cast(num_bikes_available <= 0 as int))', 'empty')}, {R('avg(cast(num_docks_available <= 0 as int))', 'full')}, {R('stddev_samp(num_bikes_available)', 'std_bikes')} from v_panel group by 1, 2) b left join c using (system_id, station_id)")
+_addx("availability_stats", service.availability_stats, "v_panel", f", h as (select {K}, hour(fetched_at) as h, avg({_OCC}) as o from v_panel group by 1, 2, 3), c as (select {K}, max(o) - min(o) as amp, first(h order by round(o, 9) desc, h) as peak_hour from h where o is not null group by 1, 2)", f"select b.*, {R('amp', 'diurnal_amplitude')}, cast(peak_hour as bigint) as peak_hour from (select {K}, count(*) as n, {R('avg(num_bikes_available)', 'mean_bikes')}, {R('median(num_bikes_available)', 'median_bikes')}, {R(f'avg({_OCC})', 'mean_occupancy')}, {R('avg(cast(num_bikes_available <= 0 as int))', 'empty')}, {R('avg(cast(num_docks_available <= 0 as int))', 'full')}, {R('stddev_samp(num_bikes_available)', 'std_bikes')} from v_panel group by 1, 2) b left join c using (system_id, station_id)")
 _add("diurnal_summary", service.diurnal_summary, "v_panel", f"select cast(hour(fetched_at) as bigint) as hour, {R('avg(num_bikes_available)', 'mean')}, {R('quantile_cont(num_bikes_available, 0.05)', 'p05')}, {R('median(num_bikes_available)', 'median')}, {R('quantile_cont(num_bikes_available, 0.95)', 'p95')}, count(*) as n from v_panel group by 1")
-_add("diurnal_profiles", service.diurnal_profiles, "v_panel")
-_add("diurnal_typology", lambda p: service.diurnal_typology(service.diurnal_profiles(p)).select("system_id", "station_id", "typology"), "v_panel")
+_FILL = "case when capacity > 0 then num_bikes_available / cast(capacity as double) when num_bikes_available + num_docks_available > 0 then num_bikes_available / cast(num_bikes_available + num_docks_available as double) else num_bikes_available end"
+_HOURS = [f"h{h:02d}" for h in range(24)]
+_PROFILE = f", fl as (select {K}, hour(fetched_at) as h, least(greatest({_FILL}, 0.0), 1.0) as fill from v_panel where {_FILL} is not null), pw as (select {K}, {', '.join(f'avg(fill) filter (h = {i}) as {c}' for i, c in enumerate(_HOURS))} from fl group by 1, 2 having count(*) >= 12), pf as (select {K}, {', '.join(f'coalesce({c}, list_avg([{chr(44).join(_HOURS)}])) as {c}' for c in _HOURS)} from pw)"
+_mean_of = lambda a, b: "(" + " + ".join(_HOURS[a:b]) + f") / {b - a}"
+_addx("diurnal_profiles", service.diurnal_profiles, "v_panel", _PROFILE, f"select {K}, {', '.join(R(c, c) for c in _HOURS)} from pf")
+_addx("diurnal_profiles_by_weekday", lambda p: service.diurnal_profiles(p, split_weekday=True, min_obs=24), "v_panel", f", fl as (select {K}, isodow(fetched_at) >= 6 as we, hour(fetched_at) as h, least(greatest({_FILL}, 0.0), 1.0) as fill from v_panel where {_FILL} is not null), pw as (select {K}, {', '.join(f'avg(fill) filter (h = {i} and {s} we) as {c}' for p, s in (('wd_', 'not'), ('we_', '')) for i, c in enumerate(p + x for x in _HOURS))} from fl group by 1, 2 having count(*) >= 24)", f"select {K}, " + ", ".join(R(f"coalesce({p + c}, list_avg([{', '.join(q + x for q in ('wd_', 'we_') for x in _HOURS)}]))", p + c) for p in ("wd_", "we_") for c in _HOURS) + " from pw")
+_addx("diurnal_typology", lambda p: service.diurnal_typology(service.diurnal_profiles(p)).select("system_id", "station_id", "typology"), "v_panel", _PROFILE + f", mt as (select {K}, {_mean_of(0, 5)} as night, {_mean_of(7, 11)} as morning, {_mean_of(11, 16)} as midday, {_mean_of(17, 21)} as evening, {_mean_of(0, 24)} as dayly from pf)", f"select {K}, case when dayly < 0.1 then 'mostly_empty' when dayly > 0.9 then 'mostly_full' when morning - night <= -0.15 then 'morning_origin' when morning - night >= 0.15 then 'morning_destination' when evening - midday <= -0.15 then 'evening_origin' when midday - (night + evening) / 2 >= 0.15 then 'recreational' else 'stable' end as typology from mt")
 _BIN = f", b as (select {K}, cast(floor(epoch(fetched_at) / 3600) as bigint) as b, avg(num_bikes_available) as x from v_panel group by 1, 2, 3), z as (select {K}, count(*) as bins from b group by 1, 2)"
-_addx("autocorrelation", lambda p: service.autocorrelation(p, lags=(1, 24)).select("system_id", "station_id", "lag", "n_pairs"), "v_panel", _BIN, " union all ".join(f"select z.system_id, z.station_id, cast({lag} as bigint) as lag, coalesce(n, 0) as n_pairs from z left join (select a.system_id, a.station_id, count(*) as n from b a join b c on a.system_id = c.system_id and a.station_id = c.station_id and c.b = a.b + {lag} group by 1, 2) q using (system_id, station_id)" for lag in (1, 24)))
-_addx("synchrony", lambda p: service.synchrony(p, min_overlap=3).select("station_a", "station_b", "n_overlap"), "v_panel", ", b as (select station_id, cast(floor(epoch(fetched_at) / 3600) as bigint) as b, avg(num_bikes_available) as x from v_panel group by 1, 2)", "select a.station_id as station_a, c.station_id as station_b, count(*) as n_overlap from b a join b c on a.b = c.b and a.station_id < c.station_id group by 1, 2 having count(*) >= 3 and stddev_pop(a.x) * stddev_pop(c.x) > 0")
-_add("bimodality", lambda p: service.bimodality(p).select("station_id", "n"), "v_panel", "select station_id, count(distinct hour(fetched_at)) as n from v_panel group by 1")
+_CORR = "covar_pop({0}, {1}) / nullif(stddev_pop({0}) * stddev_pop({1}), 0)"
+_addx("autocorrelation", lambda p: service.autocorrelation(p, lags=(1, 24)), "v_panel", _BIN, " union all ".join(f"select z.system_id, z.station_id, cast({lag} as bigint) as lag, {R(f'case when bins > {lag} + 1 then c end', 'acf')}, coalesce(n, 0) as n_pairs from z left join (select a.system_id, a.station_id, count(*) as n, {_CORR.format('a.x', 'c.x')} as c from b a join b c on a.system_id = c.system_id and a.station_id = c.station_id and c.b = a.b + {lag} group by 1, 2) q using (system_id, station_id)" for lag in (1, 24)))
+_addx("synchrony", lambda p: service.synchrony(p, min_overlap=3), "v_panel", ", b as (select station_id, cast(floor(epoch(fetched_at) / 3600) as bigint) as b, avg(num_bikes_available) as x from v_panel group by 1, 2)", f"select a.station_id as station_a, c.station_id as station_b, {R(_CORR.format('a.x', 'c.x'), 'corr')}, count(*) as n_overlap from b a join b c on a.b = c.b and a.station_id < c.station_id group by 1, 2 having count(*) >= 3 and stddev_pop(a.x) * stddev_pop(c.x) > 0")
+_addx("synchrony_by_rank", lambda p: service.synchrony(p, min_overlap=3, method="spearman", threshold=0.5), "v_panel", ", b as (select station_id, cast(floor(epoch(fetched_at) / 3600) as bigint) as b, avg(num_bikes_available) as x from v_panel group by 1, 2), q as (select a.station_id as station_a, c.station_id as station_b, a.x as x, c.x as y from b a join b c on a.b = c.b and a.station_id < c.station_id), rk as (select station_a, station_b, rank() over (partition by station_a, station_b order by x) + (count(*) over (partition by station_a, station_b, x) - 1) / 2.0 as x, rank() over (partition by station_a, station_b order by y) + (count(*) over (partition by station_a, station_b, y) - 1) / 2.0 as y from q)", f"select station_a, station_b, {R(_CORR.format('x', 'y'), 'corr')}, count(*) as n_overlap from rk group by 1, 2 having count(*) >= 3 and stddev_pop(x) * stddev_pop(y) > 0 and round(abs({_CORR.format('x', 'y')}), 9) >= 0.5")
+_addx("temporal_concentration", service.temporal_concentration, "v_panel", NF + f", t as (select {K}, cast(hour(fetched_at) * 60 as bigint) as tod, sum(abs(nf)) as v from f where nf is not null group by 1, 2, 3), r as (select *, row_number() over (partition by {K} order by v, tod) as i from t)", f"select {K}, {R('case when sum(v) > 0 then greatest(2.0 * sum(i * v) / (count(*) * sum(v)) - (count(*) + 1.0) / count(*), 0) end', 'temporal_gini')}, {R('max(v) / case when sum(v) > 0 then sum(v) end', 'peak_share')}, case when sum(v) > 0 then first(tod order by v desc, tod) else -1 end as peak_bin from r group by 1, 2")
+_addx("bimodality", service.bimodality, "v_panel", ", h as (select station_id, hour(fetched_at) as h, avg(num_bikes_available) as x from v_panel group by 1, 2), g as (select station_id, count(*) as n, first(h order by round(x, 9) desc, h) as peak_hour, case when count(*) >= 4 and var_pop(x) > 0 then (pow(skewness(x), 2) + 1) / (kurtosis(x) + 3.0 * pow(count(*) - 1, 2) / ((count(*) - 2) * (count(*) - 3))) end as bc from h group by 1)", f"select station_id, n, {R('bc', 'bimodality')}, cast(peak_hour as bigint) as peak_hour, bc > 5.0 / 9 as bimodal from g")
 _add("context_features", lambda p: service.context_features(p).select("system_id", "station_id", "fetched_at", "is_weekend", "time_block"), "v_panel", f"select {K}, {US('fetched_at')} as fetched_at, isodow(fetched_at) >= 6 as is_weekend, case when hour(fetched_at) < 7 then 'night' when hour(fetched_at) < 10 then 'am_peak' when hour(fetched_at) < 16 then 'midday' when hour(fetched_at) < 19 then 'pm_peak' else 'evening' end as time_block from v_panel")
 _add("reconcile_fleet", service.reconcile_fleet, "v_panel v_vehicles", "select * from (select cast(sum(num_bikes_available) as bigint) as station_bikes, count(*) as n_stations from v_panel), (select count(*) as free_floating, count(*) filter (is_disabled) as disabled, count(*) filter (is_reserved and not is_disabled) as reserved, count(*) filter (not is_reserved and not is_disabled) as available from v_vehicles where station_id is null)")
 _d0 = _hav("la", "lo", "lat", "lon")
-_addx("ghost_vehicles", lambda v: service.ghost_vehicles(v, idle_days=1, move_threshold_m=130).select("system_id", "vehicle_id", "n_obs", "is_ghost"), "v_vehicles", ", f as (select *, first_value(lat) over (partition by system_id, vehicle_id order by fetched_at) as la, first_value(lon) over (partition by system_id, vehicle_id order by fetched_at) as lo from v_vehicles)", f"select system_id, vehicle_id, count(*) as n_obs, round(max({_d0}), 1) <= 130 and round((epoch_us(max(fetched_at)) - epoch_us(min(fetched_at))) / 86400e6, 2) >= 1 as is_ghost from f group by 1, 2")
+_addx("ghost_vehicles", lambda v: service.ghost_vehicles(v, idle_days=1, move_threshold_m=130), "v_vehicles", ", f as (select *, first_value(lat) over (partition by system_id, vehicle_id order by fetched_at) as la, first_value(lon) over (partition by system_id, vehicle_id order by fetched_at) as lo from v_vehicles)", f"select *, max_displacement_m <= 130 and observed_days >= 1 as is_ghost from (select system_id, vehicle_id, round_even(max({_d0}), 1) as max_displacement_m, round_even((epoch_us(max(fetched_at)) - epoch_us(min(fetched_at))) / 86400e6, 2) as observed_days, count(*) as n_obs from f group by 1, 2)")
 _d1 = _hav("la", "lo", "lat", "lon")
 _addx("idle_share", lambda v: service.idle_share(v, threshold_hours=12), "v_vehicles", f", l as (select *, lag(lat) over w as la, lag(lon) over w as lo from v_vehicles window w as (partition by system_id, vehicle_id order by fetched_at)), m as (select *, case when coalesce({_d1} > 50, true) then fetched_at end as mv from l), s as (select *, max(mv) over (partition by system_id, vehicle_id order by fetched_at) as since from m)", f"select system_id, {US('fetched_at')} as fetched_at, count(*) as n_vehicles, count(*) filter (epoch_us(fetched_at) - epoch_us(since) >= 43200000000) as n_idle, {R('avg(cast(epoch_us(fetched_at) - epoch_us(since) >= 43200000000 as int))', 'idle_share')} from s group by 1, 2")
-_add("id_persistence", lambda v: service.id_persistence(v.withColumn("fetched_at", F.date_trunc("hour", "fetched_at")), lags=("12h", "24h")), "v_vehicles")
+_addx("id_persistence", lambda v: service.id_persistence(v.withColumn("fetched_at", F.date_trunc("hour", "fetched_at")), lags=("12h", "24h")), "v_vehicles", ", ids as (select distinct system_id, vehicle_id, epoch_us(date_trunc('hour', fetched_at)) as t from v_vehicles where vehicle_id is not null), tm as (select system_id, t, count(*) as n from ids group by 1, 2)", " union all ".join(f"select system_id, {R('avg(i / (na + nb - i))', 'jaccard')}, count(*) as n_pairs, '{h}h' as lag from (select m.system_id, m.a, na, nb, (select count(*) from ids x join ids y on x.system_id = y.system_id and x.vehicle_id = y.vehicle_id where x.system_id = m.system_id and x.t = m.a and y.t = m.b) as i from (select a.system_id, a.t as a, a.n as na, b.t as b, b.n as nb from tm a join tm b on a.system_id = b.system_id and a.t <> b.t and abs(b.t - a.t - {h * 3600000000}) <= {h * 1800000000} qualify row_number() over (partition by a.system_id, a.t order by abs(b.t - a.t - {h * 3600000000}), b.t desc) = 1) m) group by 1" for h in (12, 24)))
 
 # --- frames ----------------------------------------------------------------------------------------------------------
 
@@ -120,23 +128,52 @@ _add("join_pricing", lambda v, t: frames.join_pricing(v, t).groupBy("plan_id", "
 _add("ebikes", lambda v, t: frames.ebikes(v, t).groupBy("system_id").agg(F.count("*").alias("n")), "v_vehicles v_vehicle_types", "select system_id, count(*) as n from v_vehicles join v_vehicle_types using (vehicle_type_id) where propulsion_type like '%electric%' group by 1")
 _add("filter_bbox", lambda i: frames.filter_bbox(i, (2.3, 48.85, 2.4, 48.95)).select("station_id", "lat", "lon"), "v_info", f"select station_id, {R('lat', 'lat')}, {R('lon', 'lon')} from v_info where lat between 48.85 and 48.95 and lon between 2.3 and 2.4")
 _addx("join_exogenous", lambda p, w: frames.join_exogenous(p, w, tolerance="1h").select("system_id", "station_id", "fetched_at", "observed_at", "n_events"), "v_panel v_weather", f", c as (select p.system_id, p.station_id, p.fetched_at, w.observed_at, w.n_events, row_number() over (partition by p.system_id, p.station_id, p.fetched_at order by abs(epoch_us(w.observed_at) - epoch_us(p.fetched_at)), w.observed_at) as rn from v_panel p left join v_weather w on epoch_us(w.observed_at) between epoch_us(p.fetched_at) - 3600000000 and epoch_us(p.fetched_at) + 3600000000)", f"select {K}, {US('fetched_at')} as fetched_at, {US('observed_at')} as observed_at, n_events from c where rn = 1")
-_addx("network_changes", lambda a, b: frames.network_changes(a, b).select("system_id", "station_id", "change"), "v_info v_info_new", "", f"select coalesce(a.system_id, b.system_id) as system_id, coalesce(a.station_id, b.station_id) as station_id, unnest(list_filter([case when a.station_id is null then 'added' end, case when b.station_id is null then 'removed' end, case when a.station_id is not null and b.station_id is not null and a.capacity is distinct from b.capacity then 'recapacitated' end, case when {_hav('a.lat', 'a.lon', 'b.lat', 'b.lon')} > 50 then 'moved' end], lambda x: x is not null)) as change from v_info a full join v_info_new b on a.system_id = b.system_id and a.station_id = b.station_id")
+_addx("network_changes", frames.network_changes, "v_info v_info_new", f", j as (select coalesce(a.system_id, b.system_id) as system_id, coalesce(a.station_id, b.station_id) as station_id, a.station_id is not null as o, b.station_id is not null as n, cast(a.capacity as bigint) as old_capacity, cast(b.capacity as bigint) as new_capacity, round_even({_hav('a.lat', 'a.lon', 'b.lat', 'b.lon')}, 1) as d from v_info a full join v_info_new b on a.system_id = b.system_id and a.station_id = b.station_id)", " union all ".join(f"select {K}, '{c}' as change, old_capacity, new_capacity, {'d' if c == 'moved' else 'cast(null as double)'} as distance_m from j where {w}" for c, w in (("added", "not o"), ("removed", "not n"), ("recapacitated", "o and n and old_capacity is distinct from new_capacity"), ("moved", "o and n and d > 50"))))
 _add("capacity_utilization", lambda p: frames.capacity_utilization(p).select("system_id", "station_id", "fetched_at", "utilization"), "v_panel", f"select {K}, {US('fetched_at')} as fetched_at, {R('num_bikes_available / cast(case when capacity > 0 then capacity end as double)', 'utilization')} from v_panel")
-_add("system_profile", lambda p: frames.system_profile(p).select("system_id", "n_stations", "total_bikes", "total_capacity"), "v_panel", "select system_id, count(*) as n_stations, cast(sum(num_bikes_available) as bigint) as total_bikes, cast(coalesce(sum(capacity), 0) as bigint) as total_capacity from v_panel group by 1")
+_STATE = "case when not is_renting and not is_returning then 'disabled' when is_virtual_station or not coalesce(capacity > 0, false) then 'virtual' when num_bikes_available <= 0 then 'empty' when num_docks_available <= 0 then 'full' else 'normal' end"
+_add("system_profile", lambda p: frames.system_profile(p.withColumn("last_reported", F.date_trunc("day", "fetched_at"))), "v_panel", f"select system_id, count(*) as n_stations, cast(sum(num_bikes_available) as bigint) as total_bikes, cast(coalesce(sum(capacity), 0) as bigint) as total_capacity, round_even(avg({_OCC}), 4) as mean_occupancy, " + ", ".join(f"round_even(count(*) filter ({_STATE} = '{s}') / count(*) * 100, 2) as pct_{s}" for s in ("disabled", "virtual", "empty", "full", "normal")) + ", round_even(median((epoch_us(fetched_at) - epoch_us(date_trunc('day', fetched_at))) / 60e6), 1) as median_staleness_min from v_panel group by 1")
+_add("station_state", lambda p: p.select("system_id", "station_id", "fetched_at", exprs.station_state(F.col("num_bikes_available"), F.col("num_docks_available"), F.col("is_renting"), F.col("is_returning"), F.col("is_virtual_station"), F.col("capacity")).alias("state"), exprs.occupancy(F.col("num_bikes_available"), F.col("num_docks_available")).alias("occupancy")), "v_panel", f"select {K}, {US('fetched_at')} as fetched_at, {_STATE} as state, {R(_OCC, 'occupancy')} from v_panel")
 
 # --- audit -----------------------------------------------------------------------------------------------------------
 
 _DOCK = "station_type = 'docked_bike' and not is_virtual_station"
-_addx("audit_systems", lambda i: audit.audit_systems(i).drop("A5"), "v_info_bad", "", f"select system_id, coalesce(min(capacity) filter ({_DOCK}) = max(capacity) filter ({_DOCK}) and min(capacity) filter ({_DOCK}) > 0 and count(capacity) filter ({_DOCK}) >= 20, false) as \"A2\", coalesce(count(*) filter ({_DOCK}) >= 20 and count(*) filter ({_DOCK} and capacity = 0) / count(*) filter ({_DOCK}) >= 0.01, false) as \"A6\", coalesce(count(*) filter ({_DOCK}) >= 20 and count(*) filter ({_DOCK} and capacity is null) / count(*) filter ({_DOCK}) >= 0.5, false) as \"A7\" from v_info_bad group by 1")
+_RAD = "(pi() / 180)"
+_A_SYS = f", arcs as (select system_id, 360 - greatest(coalesce(max(gap), 0), 360 - (max(m) - min(m))) as arc from (select system_id, m, lead(m) over (partition by system_id order by m) - m as gap from (select system_id, lon - 360 * floor(lon / 360) as m from v_info_bad where lat is not null and lon is not null)) group by 1), sy as (select system_id, coalesce(min(capacity) filter ({_DOCK}) = max(capacity) filter ({_DOCK}) and min(capacity) filter ({_DOCK}) > 0 and count(capacity) filter ({_DOCK}) >= 20, false) as \"A2\", coalesce(count(lat) >= 2 and (max(lat) - min(lat)) * {_RAD} * 6371000.0 * any_value(arc) * {_RAD} * 6371000.0 * cos(radians(avg(lat))) / 1e6 > 50000, false) as \"A5\", coalesce(count(*) filter ({_DOCK}) >= 20 and count(*) filter ({_DOCK} and capacity = 0) / count(*) filter ({_DOCK}) >= 0.01, false) as \"A6\", coalesce(count(*) filter ({_DOCK}) >= 20 and count(*) filter ({_DOCK} and capacity is null) / count(*) filter ({_DOCK}) >= 0.5, false) as \"A7\" from v_info_bad left join arcs using (system_id) group by 1)"
+_addx("audit_systems", audit.audit_systems, "v_info_bad", _A_SYS, "select * from sy")
 _d4 = _hav("a.lat", "a.lon", "b.lat", "b.lon")
-_addx("audit_spatial_outliers", lambda i: audit.spatial_outliers(i), "v_info_bad", f", nn as (select a.system_id, a.station_id, min({_d4}) as d from v_info_bad a join v_info_bad b on a.system_id = b.system_id and a.station_id <> b.station_id group by 1, 2), m as (select system_id, median(d) as med, count(*) as n from nn group by 1), q as (select nn.system_id, median(abs(d - med)) * 1.4826 as mad from nn join m using (system_id) group by 1)", "select nn.system_id, nn.station_id from nn join m using (system_id) join q using (system_id) where n >= 5 and d > greatest(case when mad > 0 then med + 3 * mad else 10 * med end, 1000)")
-_add("audit_static", lambda i: audit.audit_static(i).groupBy("system_id").agg(*(F.count_if(f).alias(f) for f in audit.FLAGS), F.count_if("flagged").alias("flagged")), "v_info_bad")
-_add("drop_flagged", lambda i: audit.drop_flagged(i), "v_info_bad")
+_A_OUT = f", nn as (select a.system_id, a.station_id, min({_d4}) as d from v_info_bad a join v_info_bad b on a.system_id = b.system_id and a.station_id <> b.station_id group by 1, 2), md as (select system_id, median(d) as med, count(*) as n from nn group by 1), mq as (select nn.system_id, median(abs(d - med)) * 1.4826 as mad from nn join md using (system_id) group by 1)"
+_A_FAR = "select nn.system_id, nn.station_id from nn join md using (system_id) join mq using (system_id) where n >= 5 and d > greatest(case when mad > 0 then med + {sigma} * mad else 10 * med end, 1000)"
+_addx("audit_spatial_outliers", lambda i: audit.spatial_outliers(i), "v_info_bad", _A_OUT, _A_FAR.format(sigma=3))
+_A_ALL = _A_SYS + _A_OUT + f", far as ({_A_FAR.format(sigma=3)}), vd as (select i.*, station_type = 'carsharing' as \"A1\", sy.A2 and {_DOCK} as \"A2\", station_type = 'free_floating' as \"A3\", far.station_id is not null as \"A4\", sy.A5, sy.A6 and {_DOCK} as \"A6\", sy.A7 and {_DOCK} as \"A7\" from v_info_bad i join sy using (system_id) left join far on far.system_id = i.system_id and far.station_id = i.station_id), vr as (select *, A1 or A2 or A3 or A4 or A5 or A6 or A7 as flagged, concat_ws(', ', {', '.join(f"case when {f} then '{n}' end" for f, n in zip(audit.FLAGS, audit.NAMES))}) as reason from vd)"
+_addx("audit_static", lambda i: audit.audit_static(i).select("system_id", "station_id", *audit.FLAGS, "flagged", "reason"), "v_info_bad", _A_ALL, f"select {K}, A1, A2, A3, A4, A5, A6, A7, flagged, reason from vr")
+_addx("drop_flagged", lambda i: audit.drop_flagged(i).select("system_id", "station_id", "lat", "lon", "capacity", "station_type"), "v_info_bad", _A_ALL, f"select {K}, {R('lat', 'lat')}, {R('lon', 'lon')}, cast(capacity as bigint) as capacity, station_type from vr where not flagged")
 _add("overcapacity_ratio", audit.overcapacity_ratio, "v_info_bad", f"select system_id, {R('case when count(*) >= 20 and sum(coalesce(capacity, 0)) > 0 then avg(capacity) filter (capacity > 0) / (sum(coalesce(capacity, 0)) / count(*)) end', 'overcapacity_ratio')} from v_info_bad group by 1")
-_add("capacity_convention", audit.capacity_convention, "v_info_bad")
-_add("classify_virtual", lambda i: audit.classify_virtual(i).groupBy("station_type").agg(F.count("*").alias("n")), "v_info", "select case when is_virtual_station then 'free_floating' else station_type end as station_type, count(*) as n from v_info group by 1")
-_add("reclassify_overcapacity", lambda i: audit.reclassify_overcapacity(i, a3_ratio=1.05).groupBy("system_id", "station_type").agg(F.count("*").alias("n")), "v_info_bad")
-_add("audit_sensitivity", audit.audit_sensitivity, "v_info_bad")
+_RATIO = "case when count(*) >= 20 and sum(coalesce(capacity, 0)) > 0 then avg(capacity) filter (capacity > 0) / (sum(coalesce(capacity, 0)) / count(*)) end"
+_add("capacity_convention", audit.capacity_convention, "v_info_bad", f"select system_id, case when avg(cast(capacity is null as int)) >= 0.5 then 'null' when count(capacity) >= 20 and min(capacity) > 0 and min(capacity) = max(capacity) then 'placeholder' when {_RATIO} > 5 then 'conditional_profile' when median(capacity) filter (capacity > 0) <= 2 then 'per_vehicle' else 'physical' end as convention from v_info_bad group by 1")
+_add("classify_virtual", lambda i: audit.classify_virtual(i).select("system_id", "station_id", "station_type"), "v_info", f"select {K}, case when is_virtual_station then 'free_floating' else station_type end as station_type from v_info")
+_addx("reclassify_overcapacity", lambda i: audit.reclassify_overcapacity(i, a3_ratio=1.05).select("system_id", "station_id", "station_type"), "v_info_bad", f", ra as (select system_id, {_RATIO} as ratio from v_info_bad group by 1)", f"select {K}, case when ratio > 1.05 then 'free_floating' else station_type end as station_type from v_info_bad join ra using (system_id)")
+_GRID = {"a4_sigma": (2.0, 3.0, 4.0), "a6_tau": (0.005, 0.01, 0.05), "a7_tau": (0.3, 0.5, 0.7), "a5_area_km2": (1e4, 5e4, 1e7), "n_min": (10.0, 20.0, 500.0)}
+
+
+def _sensitivity_sql() -> str:
+    """Sets of flagged systems under each threshold, against those under the defaults."""
+    dock = f"coalesce({_DOCK}, false)"
+    stats = f", st as (select system_id, max(cast({dock} as int)) as any_dock, max(cast(station_type = 'carsharing' as int)) as c1, max(cast(station_type = 'free_floating' as int)) as c3, count(*) filter ({_DOCK}) as nd, count(capacity) filter ({_DOCK}) as nk, coalesce(min(capacity) filter ({_DOCK}) = max(capacity) filter ({_DOCK}) and min(capacity) filter ({_DOCK}) > 0, false) as same, count(*) filter ({_DOCK} and capacity = 0) / nullif(count(*) filter ({_DOCK}), 0) as r6, count(*) filter ({_DOCK} and capacity is null) / nullif(count(*) filter ({_DOCK}), 0) as r7, case when count(lat) >= 2 then (max(lat) - min(lat)) * {_RAD} * 6371000.0 * any_value(arc) * {_RAD} * 6371000.0 * cos(radians(avg(lat))) / 1e6 end as area from v_info_bad left join arcs using (system_id) group by 1)"
+    base = {"a4_sigma": 3.0, "a6_tau": 0.01, "a7_tau": 0.5, "a5_area_km2": 5e4, "n_min": 20.0}
+    cells = [(p, v, base | {p: v}) for p, vs in _GRID.items() for v in vs] + [("base", 0.0, base)]
+    sets = []
+    for p, v, o in cells:
+        rules = {"A1": "c1 = 1", "A2": f"same and nk >= {o['n_min']}", "A3": "c3 = 1", "A5": f"area > {o['a5_area_km2']}", "A6": f"nd >= {o['n_min']} and r6 >= {o['a6_tau']}", "A7": f"nd >= {o['n_min']} and r7 >= {o['a7_tau']}"}
+        sets += [f"select '{p}' as param, cast({v} as double) as value, '{c}' as class, system_id from st where {w}" for c, w in rules.items()]
+        sets.append(f"select '{p}', cast({v} as double), 'A4', system_id from ({_A_FAR.format(sigma=o['a4_sigma'])})")
+    grid = " union all ".join(f"select '{p}' as param, cast({v} as double) as value, '{c}' as class" for p, vs in _GRID.items() for v in vs for c in audit.FLAGS)
+    return _sql(_A_SYS + _A_OUT + stats + f", fs as (select distinct * from ({' union all '.join(sets)})), gr as ({grid})", "select gr.param, gr.value, gr.class, (select count(*) from fs where fs.param = gr.param and fs.value = gr.value and fs.class = gr.class) as systems_flagged, coalesce(round_even((select count(*) from fs join fs b on b.param = 'base' and b.class = fs.class and b.system_id = fs.system_id where fs.param = gr.param and fs.value = gr.value and fs.class = gr.class) / nullif((select count(distinct system_id) from fs where fs.class = gr.class and (fs.param = 'base' or (fs.param = gr.param and fs.value = gr.value))), 0), 4), 1.0) as jaccard_vs_baseline from gr")
+
+
+_add("audit_sensitivity", lambda i: audit.audit_sensitivity(i, _GRID), "v_info_bad")
+_SQL["audit_sensitivity"] = _sensitivity_sql()
+_addx("flag_rates", lambda i: audit.flag_rate_ci(audit.audit_static(i), n_boot=200).select("class", "systems_flagged", "rate"), "v_info_bad", _A_ALL, " union all ".join(f"select '{f}' as class, cast(count(*) filter (x) as bigint) as systems_flagged, round_even(avg(cast(x as int)), 4) as rate from (select system_id, bool_or({f}) as x from vr group by 1)" for f in audit.FLAGS))
+_add("flag_rate_ci", lambda i: audit.flag_rate_ci(audit.audit_static(i)), "v_info_bad")
 _add("sentinel_coordinates", lambda i: audit.sentinel_coordinates(i).select("station_id", "sentinel"), "v_info", "select station_id, abs(lat) < 1e-6 and abs(lon) < 1e-6 as sentinel from v_info")
 _add("audit_dynamic", lambda p: audit.audit_dynamic(p.withColumn("last_reported", F.date_trunc("day", "fetched_at"))).select("system_id", "station_id", "fetched_at", "D1", "D2", "D3"), "v_panel", f"select {K}, {US('fetched_at')} as fetched_at, num_bikes_available < 0 or num_docks_available < 0 as \"D1\", coalesce(num_bikes_available + num_docks_available > capacity and capacity > 0, false) as \"D2\", epoch_us(fetched_at) - epoch_us(date_trunc('day', fetched_at)) > 3600000000 as \"D3\" from v_panel")
 
@@ -148,7 +185,7 @@ _addx("theil", lambda i: inequality.theil(i, "capacity", groups="system_id"), "v
 _RK = ", r as (select system_id, capacity as x, row_number() over (partition by system_id order by capacity, station_id) as i, count(*) over (partition by system_id) as n from v_info where capacity is not null)"
 _addx("palma", lambda i: inequality.palma(i, "capacity", by=("system_id",)), "v_info", _RK, f"select system_id, {R('sum(x) filter (i > ceil(n * 0.9)) / case when sum(x) filter (i <= floor(n * 0.4)) > 0 then sum(x) filter (i <= floor(n * 0.4)) end', 'palma')} from r group by 1")
 _addx("lorenz", lambda i: inequality.lorenz(i, "capacity", by=("system_id",)), "v_info", _RK, f"select system_id, {R('i / n', 'population')}, {R('sum(x) over (partition by system_id order by i) / sum(x) over (partition by system_id)', 'share')} from r union all select distinct system_id, 0.0, 0.0 from r")
-_addx("concentration", lambda i: inequality.concentration(i).drop("gini"), "v_info", ", r as (select system_id, capacity as x, row_number() over (partition by system_id order by capacity) as i, count(*) over (partition by system_id) as n from v_info where capacity > 0)", f"select system_id, count(*) as n_positive, cast(sum(x) as bigint) as total, {R('sum(x) filter (i > n - ceil(n / 10.0)) / sum(x)', 'top_decile_share')} from r group by 1")
+_addx("concentration", inequality.concentration, "v_info", ", r as (select system_id, capacity as x, row_number() over (partition by system_id order by capacity) as i, count(*) over (partition by system_id) as n from v_info where capacity > 0)", f"select system_id, count(*) as n_positive, cast(sum(x) as bigint) as total, round_even(sum(x) filter (i > n - ceil(n / 10.0)) / sum(x), 4) as top_decile_share, round_even(greatest(2.0 * sum(i * x) / (count(*) * sum(x)) - (count(*) + 1.0) / count(*), 0), 4) as gini, round_even(sum(x * ln(x)) / sum(x) - ln(sum(x) / count(*)), 4) as theil from r group by 1")
 _QUERIES["cohen_kappa"] = lambda s, d: _plain(inequality.cohen_kappa(s.read.parquet(f"{d}/labels.parquet"), "quality", "toxic"))
 _SQL["cohen_kappa"] = f"with l as (select quality as a, toxic as b from labels where quality is not null and toxic is not null), t as (select count(*) as n, count(*) filter (a = b) as same from l), e as (select sum(x.c * y.c) as pe from (select a, count(*) as c from l group by 1) x join (select b, count(*) as c from l group by 1) y on x.a = y.b) select {R('(same / n - pe / (n * n)) / (1 - pe / (n * n))', 'kappa')} from t, e"
 _QUERIES["krippendorff_alpha"] = lambda s, d: _plain(inequality.krippendorff_alpha(s.read.parquet(f"{d}/labels.parquet").select(F.col("doc_id").alias("unit"), F.explode(F.array("quality", "toxic")).alias("label"))))
@@ -158,12 +195,14 @@ _SQL["krippendorff_alpha"] = f"with r as (select doc_id as u, unnest([quality, t
 
 _P = _hav("a.lat", "a.lon", "b.lat", "b.lon")
 _add("nearest_stations", lambda i: spatial.nearest_stations(i, 48.9, 2.4, k=10).select("station_id", "distance_m"), "v_info", f"select station_id, {R(_hav('48.9', '2.4', 'lat', 'lon'), 'distance_m')} from v_info order by distance_m, station_id limit 10")
-_add("features_within", lambda i, p: spatial.features_within(i.select("station_id", "lat", "lon"), p, point_id="station_id", feature_id="poi_id", radius_m=900, category="category").select("station_id", "n_total", F.round("nearest_m", 3).alias("nearest_m")), "v_info v_poi", f"select a.station_id, count(*) filter ({_P} <= 900) as n_total, round(min({_P}), 3) as nearest_m from v_info a, v_poi b group by 1")
-_add("link_transit", lambda i, p: spatial.link_transit(i.select("station_id", "lat", "lon"), p, stop_id="poi_id", radius_m=400).select("station_id", "n_total", "is_feeder"), "v_info v_poi", f"select a.station_id, count(*) filter ({_P} <= 400) as n_total, min({_P}) <= 400 as is_feeder from v_info a, v_poi b group by 1")
+_addx("features_within", lambda i, p: spatial.features_within(i.select("station_id", "lat", "lon"), p, point_id="station_id", feature_id="poi_id", radius_m=900, category="category").drop("lat", "lon"), "v_info v_poi", f", q as (select a.station_id, b.poi_id, b.category, {_P} as d from v_info a, v_poi b)", f"select station_id, count(*) filter (d <= 900) as n_total, {', '.join(f'count(*) filter (d <= 900 and category = {chr(39)}{c}{chr(39)}) as n_{c}' for c in ('cafe', 'school', 'station'))}, first(poi_id order by d, poi_id) as nearest_poi_id, {R('min(d)', 'nearest_m')} from q group by 1")
+_addx("link_transit", lambda i, p: spatial.link_transit(i.select("station_id", "lat", "lon"), p, stop_id="poi_id", radius_m=400).drop("lat", "lon"), "v_info v_poi", f", q as (select a.station_id, b.poi_id, {_P} as d from v_info a, v_poi b)", f"select station_id, count(*) filter (d <= 400) as n_total, first(poi_id order by d, poi_id) as nearest_poi_id, {R('min(d)', 'nearest_m')}, min(d) <= 400 as is_feeder from q group by 1")
+_addx("stations_near", lambda i, p: spatial.stations_near(p, i, point_id="poi_id", radius_m=900).select("poi_id", "n_stations_within", "nearest_station_id", "nearest_station_dist_m"), "v_info v_poi", f", q as (select b.poi_id, a.station_id, {_P} as d from v_info a, v_poi b)", f"select poi_id, count(*) filter (d <= 900) as n_stations_within, first(station_id order by d, station_id) as nearest_station_id, {R('min(d)', 'nearest_station_dist_m')} from q group by 1")
+_addx("station_surroundings", lambda i, p: spatial.station_surroundings(i.select("station_id", "lat", "lon"), transit=p.where("category = 'station'"), features=p, feature_id="poi_id", radius_m=900, transit_radius_m=400, category="category").drop("lat", "lon"), "v_info v_poi", f", q as (select a.station_id, b.category, {_P} as d from v_info a, v_poi b)", f"select station_id, {R('min(d) filter (category = ' + chr(39) + 'station' + chr(39) + ')', 'nearest_stop_dist_m')}, count(*) filter (d <= 400 and category = 'station') as n_transit_within, coalesce(min(d) filter (category = 'station') <= 400, false) as is_transit_feeder, count(*) filter (d <= 900) as osm_within, {', '.join(f'count(*) filter (d <= 900 and category = {chr(39)}{c}{chr(39)}) as osm_{c}' for c in ('cafe', 'school', 'station'))} from q group by 1")
 _addx("two_step_fca", lambda i, d: spatial.two_step_fca(i, d).select("demand_id", "accessibility"), "v_info v_demand", f", q as (select b.demand_id, a.station_id, coalesce(a.capacity, 0) as s, b.population as d, exp(-pow({_P} / (800 / 3.0), 2) / 2) as w from v_info a, v_demand b where {_P} <= 800), l as (select station_id, sum(d * w) as load from q group by 1)", f"select d.demand_id, {R('coalesce(x, 0)', 'accessibility')} from v_demand d left join (select demand_id, sum(s / load * w) as x from q join l using (station_id) where load > 0 group by 1) using (demand_id)")
-_addx("ripley_k", lambda i: spatial.ripley_k(i, [250, 500, 1000], area_km2=480.0).select("radius_m", "pairs"), "v_info", f", q as (select {_P} as d from v_info a, v_info b where a.station_id < b.station_id)", " union all ".join(f"select cast({r} as double) as radius_m, count(*) filter (d <= {r}) as pairs from q" for r in (250, 500, 1000)))
-_addx("neighbour_stats", lambda i: spatial.neighbour_stats(i, area_km2=480.0).select("n"), "v_info", "", "select count(*) as n from v_info")
-_add("spatial_entropy", lambda v: spatial.spatial_entropy(v.withColumn("fetched_at", F.date_trunc("day", "fetched_at"))).select("fetched_at", "n"), "v_vehicles", f"select {US(chr(39).join(['date_trunc(', 'day', ', fetched_at)']))} as fetched_at, count(*) as n from v_vehicles group by 1")
+_addx("ripley_k", lambda i: spatial.ripley_k(i, [250, 500, 1000], area_km2=480.0), "v_info", f", q as (select {_P} as d from v_info a, v_info b where a.station_id < b.station_id), nn as (select cast(count(*) as double) as n from v_info)", " union all ".join(f"select cast({r} as double) as radius_m, c as pairs, {R('480e6 * 2 * c / (n * (n - 1))', 'k')}, {R(f'sqrt(480e6 * 2 * c / (n * (n - 1)) / pi()) - {r}', 'l')} from nn, (select count(*) filter (d <= {r}) as c from q)" for r in (250, 500, 1000)))
+_addx("neighbour_stats", lambda i: spatial.neighbour_stats(i, area_km2=480.0), "v_info", f", nn as (select a.station_id, min({_P}) as d from v_info a join v_info b on a.station_id <> b.station_id group by 1), m as (select count(*) as n, round_even(avg(d), 1) as mean_nn_m, round_even(median(d), 1) as median_nn_m from nn)", f"select n, mean_nn_m, median_nn_m, {R('n / 480.0', 'density_km2')}, round_even(mean_nn_m * 2 * sqrt(n / 480e6), 3) as clark_evans from m")
+_addx("spatial_entropy", lambda v: spatial.spatial_entropy(v.withColumn("fetched_at", F.date_trunc("day", "fetched_at"))), "v_vehicles", f", c as (select date_trunc('day', fetched_at) as t, floor(lat * {_RAD} * 6371000.0 / 200) as y, floor(lon * {_RAD} * 6371000.0 * cos(radians((select avg(lat) from v_vehicles))) / 200) as x, count(*) as c from v_vehicles group by 1, 2, 3), s as (select t, cast(sum(c) as bigint) as n, count(*) as cells, ln(sum(c)) - sum(c * ln(c)) / sum(c) as h from c group by 1)", f"select {US('t')} as fetched_at, n, cells, {R('h', 'entropy')}, {R('case when cells > 1 then h / ln(cells) else 0 end', 'evenness')} from s")
 _add("center_of_mass", lambda p: spatial.center_of_mass(p, freq="1D"), "v_panel", f"select {US(chr(39).join(['date_trunc(', 'day', ', fetched_at)']))} as period, {R('sum(num_bikes_available * lat) / case when sum(num_bikes_available) > 0 then sum(num_bikes_available) end', 'lat')}, {R('sum(num_bikes_available * lon) / case when sum(num_bikes_available) > 0 then sum(num_bikes_available) end', 'lon')}, {R('sum(num_bikes_available)', 'weight')} from v_panel group by 1")
 _addx("outage_redundancy", lambda p: spatial.outage_redundancy(p, radius_m=2000), "v_snap", f", o as (select station_id, fetched_at, max(num_bikes_available) as v from v_snap group by 1, 2), g as (select station_id, min(lat) as lat, min(lon) as lon from v_snap group by 1), e as (select a.station_id, b.station_id as nbr from g a, g b where a.station_id <> b.station_id and {_P} <= 2000), x as (select o.station_id, o.fetched_at, count(n.v) as seen, coalesce(bool_or(n.v > 0), false) as any_bike from o join e using (station_id) join o n on n.station_id = e.nbr and n.fetched_at = o.fetched_at where o.v = 0 group by 1, 2), s as (select station_id, count(*) as sys from x where seen > 0 and not any_bike group by 1)", f"select b.station_id, b.local_outage, {R('coalesce(sys, 0) / n', 'systemic_outage')}, coalesce(k, 0) as n_neighbors from (select station_id, {R('avg(cast(v = 0 as int))', 'local_outage')}, count(v) as n from o group by 1) b left join s using (station_id) left join (select station_id, count(*) as k from e group by 1) c using (station_id)")
 _addx("core_points", lambda i: spatial.core_points(i, eps_m=600), "v_info", "", f"select a.station_id, count(*) as n_within, count(*) >= 3 as is_core from v_info a, v_info b where {_P} <= 600 group by 1")
@@ -171,10 +210,12 @@ _addx("core_points", lambda i: spatial.core_points(i, eps_m=600), "v_info", "",
 _NEAR = ", z as (select station_id, lat, lon, cast(capacity as double) as v{z} from v_info{where}), nb as (select * from (select a.station_id as i, b.station_id as j, {p} as d, row_number() over (partition by a.station_id order by {p}, b.station_id) as rk from z a, z b where a.station_id <> b.station_id) q where rk <= 4)"
 _KNOWN = _NEAR.format(z=", capacity - avg(capacity) over () as z, var_samp(capacity) over () as m2", where=" where capacity is not null", p=_P)
 _ALL = _NEAR.format(z="", where="", p=_P)
-_addx("morans_i", lambda i: spatial.morans_i(i, "capacity", k=4).select("n", "i", "z"), "v_info", _KNOWN + """, e as (select i, j, 0.25 as w from nb), c as (select sum(e.w * a.z * b.z) as c, cast(sum(e.w) as double) as s0 from e join z a on e.i = a.station_id join z b on e.j = b.station_id),
+_SF = "({t} * (0.254829592 + {t} * (-0.284496736 + {t} * (1.421413741 + {t} * (-1.453152027 + {t} * 1.061405429))))) * exp(-{z} * {z} / 2) / 2".replace("{t}", "(1 / (1 + 0.3275911 * {z} / sqrt(2)))")
+_addx("morans_i", lambda i: spatial.morans_i(i, "capacity", k=4), "v_info", _KNOWN + """, e as (select i, j, 0.25 as w from nb), c as (select sum(e.w * a.z * b.z) as c, cast(sum(e.w) as double) as s0 from e join z a on e.i = a.station_id join z b on e.j = b.station_id),
  s1 as (select sum(pow(coalesce(e.w, 0) + coalesce(f.w, 0), 2)) / 2 as s1 from e full join (select j as i, i as j, w from e) f on e.i = f.i and e.j = f.j), s2 as (select sum(pow(1 + coalesce(w, 0), 2)) as s2 from z left join (select j, sum(w) as w from e group by 1) g on z.station_id = g.j),
- q as (select count(*) as n, sum(z * z) as zz from z), m as (select n, n / s0 * c / zz as i, -1.0 / (n - 1) as ex, (n * n * s1 - n * s2 + 3 * s0 * s0) / (s0 * s0 * (n * n - 1.0)) as v from q, c, s1, s2)""", f"select n, {R('i', 'i')}, {R('(i - ex) / sqrt(v - ex * ex)', 'z')} from m")
-_addx("local_moran", lambda i: spatial.local_moran(i, "capacity", k=4), "v_info", _KNOWN + ", l as (select nb.i, avg(b.z) as lag from nb join z b on nb.j = b.station_id group by 1)", f"select station_id, {R('z / m2 * lag', 'local_i')}, concat(case when z >= 0 then 'H' else 'L' end, case when lag >= 0 then 'H' else 'L' end) as quadrant from z join l on z.station_id = l.i")
+ q as (select count(*) as n, sum(z * z) as zz from z), m as (select n, n / s0 * c / zz as i, -1.0 / (n - 1) as ex, (n * n * s1 - n * s2 + 3 * s0 * s0) / (s0 * s0 * (n * n - 1.0)) as v from q, c, s1, s2), sc as (select *, abs((i - ex) / sqrt(v - ex * ex)) as az from m)""", f"select n, {R('i', 'i')}, {R('ex', 'expected')}, {R('(i - ex) / sqrt(v - ex * ex)', 'z')}, {R('2 * ' + _SF.format(z='az'), 'p')} from sc")
+_addx("local_moran", lambda i: spatial.local_moran(i, "capacity", k=4), "v_info", _KNOWN + ", l as (select nb.i, avg(b.z) as lag from nb join z b on nb.j = b.station_id group by 1)", f"select station_id, {R('z / m2 * lag', 'local_i')}, concat(case when z > 0 then 'H' else 'L' end, case when round(lag, 9) > 0 then 'H' else 'L' end) as quadrant from z join l on z.station_id = l.i")
+_add("local_moran_inference", lambda i: kernels.local_moran_inference(i, "capacity", k=4, fdr=True), "v_info")
 _W = ", s as (select median(d) as s from nb), o as (select i as a, j as b, exp(-pow(d, 2) / (2 * pow(s, 2))) as w from nb, s), g as (select a, b, max(w) as w from (select * from o union all select b, a, w from o) u group by 1, 2)"
 _addx("knn_adjacency", lambda i: graph.knn_adjacency(i, k=4), "v_info", _ALL + _W, f"select a as a_id, b as b_id, {R('w', 'weight')} from g")
 _addx("normalized_laplacian", lambda i: graph.normalized_laplacian(graph.knn_adjacency(i, k=4)), "v_info", _ALL + _W + ", dg as (select a as id, sum(w) as d from g group by 1)", f"select a as a_id, b as b_id, {R('-w / sqrt(x.d * y.d)', 'value')} from g join dg x on a = x.id join dg y on b = y.id union all select id, id, 1.0 from dg")

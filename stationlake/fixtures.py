@@ -29,14 +29,14 @@ VIEWS = {
     "v_vehicle_types": """select concat('t', cast(p_partkey as string)) as vehicle_type_id,
  case p_partkey % 4 when 0 then 'bicycle' when 1 then 'scooter' when 2 then 'bicycle' else 'car' end as form_factor,
  case p_partkey % 4 when 0 then 'human' when 1 then 'electric' when 2 then 'electric_assist' else 'combustion' end as propulsion_type,
- cast(p_size * 1000 as double) as max_range_meters from part where p_partkey < 4""",
-    "v_plans": "select concat('p', cast(s_suppkey as string)) as plan_id, s_name as name, 'EUR' as currency, cast(s_nationkey as double) as price from supplier where s_suppkey < 3",
+ cast(p_size * 1000 as double) as max_range_meters from part""",
+    "v_plans": "select concat('p', cast(s_suppkey as string)) as plan_id, s_name as name, 'EUR' as currency, cast(s_nationkey as double) as price from supplier",
     "v_poi": """select cast(s_suppkey as string) as poi_id, cast(48.80 as double) + cast((s_suppkey * 6101) % 2000 as double) / cast(10000 as double) as lat,
  cast(2.25 as double) + cast((s_suppkey * 7369) % 3000 as double) / cast(10000 as double) as lon,
  case s_suppkey % 3 when 0 then 'cafe' when 1 then 'school' else 'station' end as category from supplier""",
     "v_demand": """select p_partkey as demand_id, cast(48.80 as double) + cast((p_partkey * 3571) % 2000 as double) / cast(10000 as double) as lat,
- cast(2.25 as double) + cast((p_partkey * 2213) % 3000 as double) / cast(10000 as double) as lon, cast(p_size as double) as population from part where p_partkey % 10 = 0""",
-    "v_weather": "select cast(date_trunc('hour', ts) as timestamp) as observed_at, count(*) as n_events, min(value) as temp_c from events where event_type = 'view' group by date_trunc('hour', ts)",
+ cast(2.25 as double) + cast((p_partkey * 2213) % 3000 as double) / cast(10000 as double) as lon, cast(p_size as double) as population from part""",
+    "v_weather": "select cast(date_trunc('hour', ts) as timestamp) as observed_at, count(*) as n_events, min(value) as temp_c from events group by date_trunc('hour', ts)",
     "v_info_new": """select system_id, station_id, name, case when cast(station_id as bigint) % 23 = 0 then lat + cast(0.01 as double) else lat end as lat, lon,
  case when cast(station_id as bigint) % 31 = 0 then coalesce(capacity, 0) + 5 else capacity end as capacity, station_type, is_virtual_station, region_id
  from v_info where cast(station_id as bigint) % 37 <> 0 union all

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,13 +47,18 @@ def audit_systems(stations: DataFrame, *, a7_scope: str = "docked", a5_area_km2:
     return s.join(lon_span(stations), "system_id", "left").select("system_id", F.col("a2").alias("A2"), F.coalesce((F.col("n") >= 2) & (area > a5_area_km2), F.lit(False)).alias("A5"), "A6", "A7")
 
 
-def spatial_outliers(stations: DataFrame, *, a4_sigma: float = 3.0) -> DataFrame:
-    """(system_id, station_id) of A4: the nearest neighbour lies beyond the system's threshold."""
+def nearest_distances(stations: DataFrame) -> DataFrame:
+    """Each station's distance to its nearest in the system, with the system's median, scaled median deviation and number."""
     nn = knn(stations, stations, 1, "station_id", "station_id", partition=("system_id",)).select("system_id", F.col("a_id").alias("station_id"), "distance_m")
     med = nn.groupBy("system_id").agg(F.median("distance_m").alias("med"), F.count("*").alias("n"))
     mad = nn.join(med, "system_id").groupBy("system_id").agg((F.median(F.abs(F.col("distance_m") - F.col("med"))) * 1.4826).alias("mad"))
+    return nn.join(med.join(mad, "system_id"), "system_id")
+
+
+def spatial_outliers(stations: DataFrame, *, a4_sigma: float = 3.0) -> DataFrame:
+    """(system_id, station_id) of A4: the nearest neighbour lies beyond the system's threshold."""
     limit = F.greatest(F.when(F.col("mad") > 0, F.col("med") + a4_sigma * F.col("mad")).otherwise(10 * F.col("med")), F.lit(1000.0))
-    return nn.join(med.join(mad, "system_id"), "system_id").where((F.col("n") >= 5) & (F.col("distance_m") > limit)).select("system_id", "station_id")
+    return nearest_distances(stations).where((F.col("n") >= 5) & (F.col("distance_m") > limit)).select("system_id", "station_id")
 
 
 def audit_static(stations: DataFrame, *, a4_sigma: float = 3.0, **systems) -> DataFrame:
@@ -131,12 +138,62 @@ def audit_frames(info: DataFrame, status: DataFrame, **dynamic) -> DataFrame:
     return audit_static(info).select(F.lit("static").alias("layer"), *cols).unionByName(live.select(F.lit("dynamic").alias("layer"), *cols))
 
 
-def audit_sensitivity(stations: DataFrame, *, a7_taus=(0.3, 0.5, 0.7), a6_taus=(0.005, 0.01, 0.05)) -> DataFrame:
-    """Systems that A6 and A7 flag as each threshold moves, and the Jaccard similarity with the default."""
-    dock, cap = docked(), F.col("capacity")
-    s = stations.groupBy("system_id").agg(F.count_if(dock).alias("n"), F.avg(F.when(dock, F.coalesce((cap == 0).cast("double"), F.lit(0.0)))).alias("A6"), F.avg(F.when(dock, cap.isNull().cast("double"))).alias("A7"))
-    grid = F.array(*(F.struct(F.lit(r).alias("rule"), F.lit(float(t)).alias("tau"), F.lit(base).alias("base")) for r, ts, base in (("A6", a6_taus, 0.01), ("A7", a7_taus, 0.5)) for t in ts))
-    rows = s.withColumn("g", F.explode(grid)).withColumn("v", F.when(F.col("g.rule") == "A6", F.col("A6")).otherwise(F.col("A7")))
-    now, base = F.coalesce((F.col("n") >= 20) & (F.col("v") >= F.col("g.tau")), F.lit(False)), F.coalesce((F.col("n") >= 20) & (F.col("v") >= F.col("g.base")), F.lit(False))
-    out = rows.groupBy("g.rule", "g.tau").agg(F.count_if(now).alias("systems_flagged"), F.count_if(now & base).alias("i"), F.count_if(now | base).alias("u"))
-    return out.select("rule", "tau", "systems_flagged", F.bround(F.when(F.col("u") > 0, F.col("i") / F.col("u")).otherwise(1.0), 4).alias("jaccard"))
+#: Thresholds of the static audit that can be moved, and their defaults (fixed values).
+THRESHOLDS = {"a4_sigma": 3.0, "a5_area_km2": 5e4, "a6_tau": 0.01, "a7_tau": 0.5, "n_min": 20.0}
+
+
+def system_statistics(stations: DataFrame, a7_scope: str = "docked") -> DataFrame:
+    """Per system: all that the rules compare with thresholds."""
+    dock, cap = F.coalesce(docked(), F.lit(False)), F.col("capacity")
+    known = F.when(dock, cap)
+    scope = dock if a7_scope == "docked" else F.lit(True)
+    rad = math.pi / 180
+    s = stations.groupBy("system_id").agg(
+        F.max(F.col("station_type") == "carsharing").alias("c1"), F.max(F.col("station_type") == "free_floating").alias("c3"),
+        F.count(known).alias("nk"), (F.coalesce(F.min(known) == F.max(known), F.lit(False)) & (F.min(known) > 0)).alias("same"),
+        F.count_if(dock).alias("n6"), F.avg(F.when(dock, F.coalesce((cap == 0).cast("double"), F.lit(0.0)))).alias("r6"),
+        F.count_if(scope).alias("n7"), F.avg(F.when(scope, cap.isNull().cast("double"))).alias("r7"),
+        F.max("lat").alias("hi"), F.min("lat").alias("lo"), F.avg("lat").alias("mid"), F.count("lat").alias("n"),
+    )
+    far = nearest_distances(stations).groupBy("system_id").agg(F.max("distance_m").alias("d4"), F.first("med").alias("med"), F.first("mad").alias("mad"), F.first("n").alias("n4"))
+    area = (F.col("hi") - F.col("lo")) * rad * EARTH_M * F.col("arc") * rad * EARTH_M * F.cos(F.radians("mid")) / 1e6
+    return s.join(lon_span(stations), "system_id", "left").join(far, "system_id", "left").withColumn("area", F.when(F.col("n") >= 2, area))
+
+
+def audit_sensitivity(stations: DataFrame, grids: dict[str, tuple] | None = None, *, a7_scope: str = "docked", **baseline) -> DataFrame:
+    """Systems that each rule flags as one threshold at a time moves, and the Jaccard similarity with the baseline's (1 if
+    both flag none). Statistics are computed once per system; thresholds meet them as an array of a few rows."""
+    base = THRESHOLDS | {k: float(v) for k, v in baseline.items()}
+    grids = grids or {"a4_sigma": (2, 2.5, 3, 3.5, 4), "a6_tau": (0.005, 0.01, 0.05), "a7_tau": (0.3, 0.5, 0.7)}
+    if unknown := (set(grids) | set(base)) - set(THRESHOLDS):
+        raise ValueError(f"unknown thresholds {sorted(unknown)}")
+
+    def rules(t: dict[str, Column]) -> list[Column]:
+        n = t["n_min"]
+        limit = F.greatest(F.when(F.col("mad") > 0, F.col("med") + t["a4_sigma"] * F.col("mad")).otherwise(10 * F.col("med")), F.lit(1000.0))
+        found = (F.col("c1"), F.col("same") & (F.col("nk") >= n), F.col("c3"), (F.col("n4") >= 5) & (F.col("d4") > limit), F.col("area") > t["a5_area_km2"], (F.col("n6") >= n) & (F.col("r6") >= t["a6_tau"]), (F.col("n7") >= n) & (F.col("r7") >= t["a7_tau"]))
+        return [F.coalesce(c, F.lit(False)) for c in found]
+
+    settings = F.array(*(F.struct(F.lit(p).alias("param"), F.lit(float(v)).alias("value"), *(F.lit(float(v) if k == p else d).alias(k) for k, d in base.items())) for p, vs in grids.items() for v in vs))
+    rows = system_statistics(stations, a7_scope).withColumn("g", F.explode(settings))
+    now, then = rules({k: F.col(f"g.{k}") for k in base}), rules({k: F.lit(v) for k, v in base.items()})
+    cells = rows.select("g.param", "g.value", F.explode(F.array(*(F.struct(F.lit(f).alias("class"), a.alias("a"), b.alias("b")) for f, a, b in zip(FLAGS, now, then)))).alias("c"))
+    out = cells.groupBy("param", "value", "c.class").agg(F.count_if("c.a").alias("systems_flagged"), F.count_if(F.col("c.a") & F.col("c.b")).alias("i"), F.count_if(F.col("c.a") | F.col("c.b")).alias("u"))
+    return out.select("param", "value", "class", "systems_flagged", F.when(F.col("u") > 0, F.bround(F.col("i") / F.col("u"), 4)).otherwise(1.0).alias("jaccard_vs_baseline"))
+
+
+def flag_rate_ci(verdict: DataFrame, *, seed: int = 42, n_boot: int = 10_000, alpha: float = 0.05) -> DataFrame:
+    """Per rule: systems with a flagged station, their share, and its percentile interval when systems are drawn again. One
+    task holds a row of seven flags per system; draws are made a few at a time."""
+    systems = verdict.groupBy("system_id").agg(*(F.max(F.col(f).cast("int")).alias(f) for f in FLAGS))
+
+    def draw(pdf):
+        flags = pdf.sort_values("system_id")[list(FLAGS)].to_numpy()
+        n, rng, means = len(flags), np.random.default_rng(seed), []
+        step = max(1, 2_000_000 // max(1, n))
+        for a in range(0, n_boot, step):
+            means.append(flags[rng.integers(0, n, size=(min(step, n_boot - a), n))].mean(axis=1))
+        lo, hi = np.percentile(np.concatenate(means), [100 * alpha / 2, 100 * (1 - alpha / 2)], axis=0)
+        return pd.DataFrame({"class": FLAGS, "systems_flagged": flags.sum(axis=0), "rate": flags.mean(axis=0).round(4), "ci_lo": lo.round(4), "ci_hi": hi.round(4)})
+
+    return systems.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(draw, "class string, systems_flagged long, rate double, ci_lo double, ci_hi double")

@@ -78,11 +78,13 @@ def capacity_utilization(panel: DataFrame, info: DataFrame | None = None) -> Dat
 
 
 def system_profile(availability: DataFrame, *, by: tuple[str, ...] = ("system_id",)) -> DataFrame:
-    """One row per system: sizes, mean occupancy and shares of states in %."""
+    """One row per system: sizes, mean occupancy, shares of states in %, and median staleness where last_reported is there."""
     from ..functions.exprs import occupancy, station_state
 
     b, d = F.col("num_bikes_available"), F.col("num_docks_available")
     state = station_state(b, d, F.col("is_renting"), F.col("is_returning"), F.col("is_virtual_station"), F.col("capacity"))
     rows = availability.withColumn("__st", state)
     shares = [F.bround(F.count_if(F.col("__st") == s) / F.count("*") * 100, 2).alias(f"pct_{s}") for s in ("disabled", "virtual", "empty", "full", "normal")]
-    return rows.groupBy(*by).agg(F.count("*").alias("n_stations"), F.coalesce(F.sum(b), F.lit(0)).alias("total_bikes"), F.coalesce(F.sum("capacity"), F.lit(0)).alias("total_capacity"), F.bround(F.avg(occupancy(b, d)), 4).alias("mean_occupancy"), *shares)
+    age = (F.unix_micros(F.col(TIME).cast("timestamp")) - F.unix_micros(F.col("last_reported").cast("timestamp"))) / 60e6 if {TIME, "last_reported"} <= set(rows.columns) else None
+    late = [] if age is None else [F.bround(F.median(age), 1).alias("median_staleness_min")]
+    return rows.groupBy(*by).agg(F.count("*").alias("n_stations"), F.coalesce(F.sum(b), F.lit(0)).alias("total_bikes"), F.coalesce(F.sum("capacity"), F.lit(0)).alias("total_capacity"), F.bround(F.avg(occupancy(b, d)), 4).alias("mean_occupancy"), *shares, *late)

@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.components import stored
+from ..plans.ranks import ranked_whole
 from ..plans.rewrites import knn
 
 MAX_NODES = 4000  # of a dense eigenproblem
@@ -14,7 +16,7 @@ MAX_NODES = 4000  # of a dense eigenproblem
 
 def knn_adjacency(info: DataFrame, *, k: int = 10, gaussian: bool = True) -> DataFrame:
     """(a_id, b_id, weight) in both directions: Gaussian of the distance, as wide as the median over all neighbour pairs."""
-    near = knn(info, info, k, "station_id", "station_id").select("a_id", "b_id", "distance_m").persist()
+    near = stored(knn(info, info, k, "station_id", "station_id").select("a_id", "b_id", "distance_m"))
     sigma = near.agg(F.percentile("distance_m", F.lit(0.5)).alias("s")).select(F.when(F.col("s") > 0, F.col("s")).otherwise(1.0).alias("s"))
     w = F.exp(-F.pow("distance_m", F.lit(2)) / (2 * F.pow("s", F.lit(2)))) if gaussian else F.lit(1.0)
     one = near.join(F.broadcast(sigma)).select("a_id", "b_id", w.alias("weight"))  # sigma is one row
@@ -59,18 +61,19 @@ def low_freq_basis(laplacian: DataFrame, d: int) -> DataFrame:
 
 def spectral_r2(signal: DataFrame, basis: DataFrame, *, id_col: str = "id", value: str = "y") -> DataFrame:
     """r2: share of the centred signal's square that the basis carries; 0 for a flat one. NULL values count as the mean."""
-    y = signal.select(F.col(id_col).alias("id"), F.coalesce(F.col(value) - F.avg(value).over(Window.partitionBy()), F.lit(0.0)).alias("y"))
+    mean = signal.agg(F.avg(value).alias("__mean"))
+    y = signal.join(F.broadcast(mean)).select(F.col(id_col).alias("id"), F.coalesce(F.col(value) - F.col("__mean"), F.lit(0.0)).alias("y"))  # one row
     total = y.agg(F.sum(F.pow("y", F.lit(2))).alias("total"))
     c = basis.join(y, "id").groupBy("component").agg(F.sum(F.col("value") * F.col("y")).alias("c")).agg(F.coalesce(F.sum(F.pow("c", F.lit(2))), F.lit(0.0)).alias("part"))
     return total.join(F.broadcast(c)).select(F.when(F.col("total") < 1e-12, 0.0).otherwise(F.col("part") / F.col("total")).alias("r2"))  # one row each
 
 
 def permute_signal(signal: DataFrame, *, value: str = "y", seed: int = 42) -> DataFrame:
-    """The same values dealt to other rows: ranks by hash meet ranks by another hash. Ranks need one order over all rows."""
-    key = [F.coalesce(F.col("id").cast("string"), F.lit(""))]
-    a = signal.drop(value).withColumn("__n", F.row_number().over(Window.orderBy(F.xxhash64(*key, F.lit(seed)), "id")))
-    b = signal.select("id", value).withColumn("__n", F.row_number().over(Window.orderBy(F.xxhash64(*key, F.lit(seed + 1)), "id"))).drop("id")
-    return a.join(b, "__n").drop("__n")
+    """The same values dealt to other rows: ranks by hash meet ranks by another hash. Ranges of hashes are ranked in parallel."""
+    hashed = lambda salt: F.xxhash64(F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit(seed + salt))
+    numbered = lambda df, salt: ranked_whole(df.withColumns({"__h": hashed(salt), "__one": F.lit(1)}), ["__h", "id"], "__one").drop("__h", "__one", "__n", "__cum", "__sum")
+    a, b = numbered(signal.drop(value), 0), numbered(signal.select("id", value), 1).drop("id")
+    return a.join(b, "__i").drop("__i")
 
 
 def band_limited_signal(laplacian: DataFrame, *, r2_target: float = 0.8, n_low: int = 16, seed: int = 42) -> DataFrame:

@@ -7,6 +7,8 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.ranks import ranked_whole, step_up
+
 
 def gini(df: DataFrame, value: str, *, by: tuple[str, ...] = ()) -> DataFrame:
     """Gini coefficient of each group by ranks; NULL for an empty group or a zero total. Equal values are counted together,
@@ -37,8 +39,13 @@ def theil(df: DataFrame, value: str, *, groups: str | None = None) -> DataFrame:
 
 
 def ranked(df: DataFrame, value: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """Rows with a value, their rank `i`, the number `n` of the group and the sum `cum` up to the rank. Without `by` ranges of
+    values are ranked in parallel, and what lies before each range is added."""
+    rows = df.where(F.col(value).isNotNull())
+    if not by:
+        return ranked_whole(rows, [value], value).withColumnsRenamed({"__i": "i", "__n": "n", "__cum": "cum", "__sum": "total"})
     w = Window.partitionBy(*by).orderBy(value)
-    return df.where(F.col(value).isNotNull()).withColumns({"i": F.row_number().over(w), "n": F.count("*").over(Window.partitionBy(*by))})
+    return rows.withColumns({"i": F.row_number().over(w), "n": F.count("*").over(Window.partitionBy(*by))}).withColumns({"cum": F.sum(value).over(Window.partitionBy(*by).orderBy("i").rowsBetween(Window.unboundedPreceding, 0)), "total": F.sum(value).over(Window.partitionBy(*by))})
 
 
 def palma(df: DataFrame, value: str, *, by: tuple[str, ...] = ()) -> DataFrame:
@@ -51,18 +58,18 @@ def palma(df: DataFrame, value: str, *, by: tuple[str, ...] = ()) -> DataFrame:
 def lorenz(df: DataFrame, value: str, *, by: tuple[str, ...] = ()) -> DataFrame:
     """Cumulative shares of population and value, from the origin on."""
     r = ranked(df, value, by)
-    part = Window.partitionBy(*by)
-    cum = F.sum(value).over(part.orderBy("i").rowsBetween(Window.unboundedPreceding, 0))
-    rows = r.select(*by, (F.col("i") / F.col("n")).alias("population"), (cum / F.nullif(F.sum(value).over(part), F.lit(0))).alias("share"))
+    rows = r.select(*by, (F.col("i") / F.col("n")).alias("population"), (F.col("cum") / F.nullif(F.col("total"), F.lit(0))).alias("share"))
     return rows.unionByName(r.select(*by).distinct().withColumns({"population": F.lit(0.0), "share": F.lit(0.0)}))
 
 
 def concentration(info: DataFrame, *, value: str = "capacity", by: tuple[str, ...] = ("system_id",)) -> DataFrame:
-    """n, total, Gini and share of the top tenth of the positive values."""
+    """n, total, share of the top tenth, Gini and Theil (4 digits) of the positive values."""
     pos = info.where(F.col(value) > 0)
     r = ranked(pos, value, by)
-    top = r.groupBy(*by).agg(F.count("*").alias("n_positive"), F.sum(value).alias("total"), (F.sum(F.when(F.col("i") > F.col("n") - F.ceil(F.col("n") / 10), F.col(value))) / F.sum(value)).alias("top_decile_share"))
-    return top.join(gini(pos, value, by=by), list(by)) if by else top.join(F.broadcast(gini(pos, value)))
+    x = F.col(value).cast("double")
+    top = r.groupBy(*by).agg(F.count("*").alias("n_positive"), F.sum(value).alias("total"), F.bround(F.sum(F.when(F.col("i") > F.col("n") - F.ceil(F.col("n") / 10), F.col(value))) / F.sum(value), 4).alias("top_decile_share"), F.bround(F.sum(x * F.log(x)) / F.sum(x) - F.log(F.sum(x) / F.count("*")), 4).alias("theil"))
+    out = top.join(gini(pos, value, by=by), list(by)) if by else top.join(F.broadcast(gini(pos, value)))  # one row without `by`
+    return out.withColumn("gini", F.bround("gini", 4))
 
 
 def cohen_kappa(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -92,11 +99,14 @@ def fdr_adjust(df: DataFrame, p: str, *, method: str = "bh", by: tuple[str, ...]
     if method not in ("bh", "by"):
         raise ValueError(method)
     keep = df.where(F.col(p).isNotNull())
-    part = Window.partitionBy(*by)
-    n = F.count("*").over(part)
-    c = F.lit(1.0) if method == "bh" else F.aggregate(F.sequence(F.lit(1), n.cast("int")), F.lit(0.0), lambda s, i: s + 1.0 / i)
-    r = keep.withColumn("__q", F.col(p) * n * c / F.row_number().over(part.orderBy(p)))
-    out = r.withColumn("p_adjusted", F.least(F.lit(1.0), F.min("__q").over(part.orderBy(F.col(p).desc()).rangeBetween(Window.unboundedPreceding, 0)))).drop("__q")
+    harmonic = lambda n: F.lit(1.0) if method == "bh" else F.aggregate(F.sequence(F.lit(1), n.cast("int")), F.lit(0.0), lambda s, i: s + 1.0 / i)
+    if by:
+        part = Window.partitionBy(*by)
+        n = F.count("*").over(part)
+        r = keep.withColumn("__q", F.col(p) * n * harmonic(n) / F.row_number().over(part.orderBy(p)))
+        out = r.withColumn("p_adjusted", F.least(F.lit(1.0), F.min("__q").over(part.orderBy(F.col(p).desc()).rangeBetween(Window.unboundedPreceding, 0)))).drop("__q")
+    else:
+        out = step_up(keep, p, harmonic)
     return out.unionByName(df.where(F.col(p).isNull()).withColumn("p_adjusted", F.lit(None).cast("double")))
 
 

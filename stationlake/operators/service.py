@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.exprs import floor_time, haversine_m, occupancy, safe_corr, time_of_day_minutes
 from ..functions.freq import seconds
 from ..schemas import KEYS
-from .flow import BIKES, DOCKS, TIME, shares
+from .flow import BIKES, DOCKS, TIME, net_flow, shares
+from .kernels import pair_correlations
 
 def censored_time_ratio(panel: DataFrame) -> DataFrame:
     """Shares of polls with both counts at which a station is empty, full or either."""
@@ -32,11 +33,11 @@ def boundary_stress(panel: DataFrame, *, bikes_le: int = 2, docks_le: int = 2) -
 
 
 def availability_stats(panel: DataFrame) -> DataFrame:
-    """Per station: counts, means, spread, and the daily course of occupancy."""
+    """Per station: counts, means, spread, and the daily course of occupancy. Means equal to nine digits tie for the peak."""
     occ = occupancy(F.col(BIKES), F.col(DOCKS))
     base = panel.groupBy(*KEYS).agg(F.count("*").alias("n"), F.avg(F.col(BIKES)).alias("mean_bikes"), F.median(F.col(BIKES)).alias("median_bikes"), F.avg(occ).alias("mean_occupancy"), shares(F.col(BIKES) <= 0).alias("empty"), shares(F.col(DOCKS) <= 0).alias("full"), F.stddev_samp(F.col(BIKES)).alias("std_bikes"))
     hours = panel.groupBy(*KEYS, F.hour(TIME).alias("h")).agg(F.avg(occ).alias("o")).where("o is not null")
-    course = hours.groupBy(*KEYS).agg((F.max("o") - F.min("o")).alias("diurnal_amplitude"), F.max_by("h", F.struct("o", -F.col("h"))).alias("peak_hour"))
+    course = hours.groupBy(*KEYS).agg((F.max("o") - F.min("o")).alias("diurnal_amplitude"), F.max_by("h", F.struct(F.round("o", 9), -F.col("h"))).alias("peak_hour"))
     return base.join(course, list(KEYS), "left")
 
 
@@ -49,16 +50,18 @@ def capacity_fill(panel: DataFrame) -> DataFrame:
     """panel with `fill` in 0..1: bikes over capacity, else over bikes and docks."""
     c = F.col("capacity")
     fill = F.when(c > 0, F.col(BIKES) / c).when(F.col(BIKES) + F.col(DOCKS) > 0, F.col(BIKES) / (F.col(BIKES) + F.col(DOCKS))).otherwise(F.col(BIKES).cast("double"))
-    return panel.withColumn("fill", F.least(F.greatest(fill, F.lit(0.0)), F.lit(1.0)))
+    return panel.withColumn("fill", F.when(fill.isNotNull(), F.least(F.greatest(fill, F.lit(0.0)), F.lit(1.0))))
 
 
-def diurnal_profiles(panel: DataFrame, *, min_obs: int = 12) -> DataFrame:
-    """24 columns h00..h23 of the mean fill; hours without polls take the mean of the station's hours."""
-    rows = capacity_fill(panel).where("fill is not null").withColumn("h", F.hour(TIME))
-    wide = rows.groupBy(*KEYS).pivot("h", list(range(24))).agg(F.avg("fill"))
-    n = rows.groupBy(*KEYS).agg(F.count("*").alias("n")).where(F.col("n") >= min_obs)
-    mean = F.aggregate(F.filter(F.array(*(F.col(str(h)) for h in range(24))), lambda x: x.isNotNull()), F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("n")), lambda a, x: F.struct((a.s + x).alias("s"), (a.n + 1).alias("n")), lambda a: a.s / a.n)
-    return wide.join(n, list(KEYS)).withColumn("m", mean).select(*KEYS, *(F.coalesce(F.col(str(h)), F.col("m")).alias(f"h{h:02d}") for h in range(24)))
+def diurnal_profiles(panel: DataFrame, *, min_obs: int = 12, split_weekday: bool = False) -> DataFrame:
+    """24 columns h00..h23 of the mean fill, or 48 (wd_ for weekdays, we_ for weekends); hours without polls take the mean of
+    the station's hours."""
+    rows = capacity_fill(panel).where("fill is not null").withColumn("h", F.hour(TIME) + (F.when(F.weekday(TIME) >= 5, 24).otherwise(0) if split_weekday else F.lit(0)))
+    names = [f"{p}h{h:02d}" for p in (("wd_", "we_") if split_weekday else ("",)) for h in range(24)]
+    wide = rows.groupBy(*KEYS).agg(*(F.avg(F.when(F.col("h") == i, F.col("fill"))).alias(c) for i, c in enumerate(names)), F.count("*").alias("n")).where(F.col("n") >= min_obs)
+    known = F.filter(F.array(*names), lambda x: x.isNotNull())
+    mean = F.aggregate(known, F.lit(0.0), lambda a, x: a + x) / F.size(known)
+    return wide.withColumn("m", mean).select(*KEYS, *(F.coalesce(F.col(c), F.col("m")).alias(c) for c in names))
 
 
 def diurnal_typology(profiles: DataFrame, *, amplitude: float = 0.15) -> DataFrame:
@@ -84,19 +87,30 @@ def autocorrelation(panel: DataFrame, *, lags=(1, 24, 168), freq: str = "1h", va
     return out
 
 
-def synchrony(panel: DataFrame, *, value: str = BIKES, freq: str = "1h", min_overlap: int = 24, by: tuple[str, ...] = ()) -> DataFrame:
-    """Correlation of all pairs of stations over shared bins: what is asked for is all pairs, so bins are the join key."""
+def synchrony(panel: DataFrame, *, value: str = BIKES, freq: str = "1h", min_overlap: int = 24, method: str = "pearson", threshold: float | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+    """Correlation of all pairs of stations over shared bins. Stations meet in pairs of blocks, a task each, which turn their
+    readings into matrices; so no bin, however many stations it has, is one task's work. threshold: least absolute
+    value, which nine digits decide."""
     step = seconds(freq)
     bins = panel.groupBy(*by, "station_id", F.floor(F.unix_seconds(F.col(TIME).cast("timestamp")) / step).alias("b")).agg(F.avg(value).alias("x")).where("x is not null")
-    other = bins.select(*by, F.col("station_id").alias("station_b"), "b", F.col("x").alias("y"))
-    pairs = bins.withColumnRenamed("station_id", "station_a").join(other, [*by, "b"]).where("station_a < station_b")
-    return pairs.groupBy(*by, "station_a", "station_b").agg(safe_corr(F.col("x"), F.col("y")).alias("corr"), F.count("*").alias("n_overlap")).where((F.col("n_overlap") >= min_overlap) & F.col("corr").isNotNull())
+    out = pair_correlations(bins, method, min_overlap, by)
+    return out if threshold is None else out.where(F.round(F.abs("corr"), 9) >= threshold)
+
+
+def temporal_concentration(panel: DataFrame, *, freq: str = "1h") -> DataFrame:
+    """Per station: Gini of the absolute flows over the times of day that have any poll, share and first largest of them
+    (minutes; -1 without flows)."""
+    bins = net_flow(panel).where("net_flow is not null").groupBy(*KEYS, time_of_day_minutes(F.col(TIME), freq).alias("tod")).agg(F.sum(F.abs("net_flow")).alias("v"))
+    r = bins.withColumn("i", F.row_number().over(Window.partitionBy(*KEYS).orderBy("v", "tod")))
+    s = r.groupBy(*KEYS).agg(F.count("*").alias("n"), F.sum("v").alias("t"), F.sum(F.col("i") * F.col("v")).alias("r"), F.max("v").alias("m"), F.max_by("tod", F.struct("v", -F.col("tod"))).alias("peak"))
+    some = F.when(F.col("t") > 0, F.col("t"))
+    return s.select(*KEYS, F.when(F.col("t") > 0, F.greatest(2 * F.col("r") / (F.col("n") * some) - (F.col("n") + 1) / F.col("n"), F.lit(0.0))).alias("temporal_gini"), (F.col("m") / some).alias("peak_share"), F.when(F.col("t") > 0, F.col("peak")).otherwise(-1).alias("peak_bin"))
 
 
 def bimodality(panel: DataFrame, *, value: str = BIKES) -> DataFrame:
     """Bimodality coefficient of each station's hourly means, and its first largest hour."""
     hours = panel.groupBy("station_id", F.hour(TIME).alias("h")).agg(F.avg(value).alias("x")).where("x is not null")
-    g = hours.groupBy("station_id").agg(F.count("*").alias("n"), F.skewness("x").alias("g1"), F.kurtosis("x").alias("g2"), F.max_by("h", F.struct("x", -F.col("h"))).alias("peak_hour"))
+    g = hours.groupBy("station_id").agg(F.count("*").alias("n"), F.skewness("x").alias("g1"), F.kurtosis("x").alias("g2"), F.max_by("h", F.struct(F.round("x", 9), -F.col("h"))).alias("peak_hour"))
     n = F.col("n").cast("double")
     s = F.col("g1") * F.sqrt(n * (n - 1)) / F.when(n > 2, n - 2)
     k = (n - 1) / F.when(n > 3, (n - 2) * (n - 3)) * ((n + 1) * F.col("g2") + 6)

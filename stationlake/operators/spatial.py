@@ -11,6 +11,7 @@ from ..functions.exprs import EARTH_M, decay_weight, haversine_m
 from ..plans.rewrites import knn, range_join
 from .flow import TIME
 from .inequality import normal_sf
+from .kernels import hull_of_parts
 
 
 def nearest_stations(info: DataFrame, lat: float, lon: float, *, k: int = 1, max_radius_m: float | None = None) -> DataFrame:
@@ -36,6 +37,37 @@ def link_transit(info: DataFrame, stops: DataFrame, *, stop_id: str, radius_m: f
     return out.withColumn("is_feeder", F.coalesce(F.col("nearest_m") <= radius_m, F.lit(False)))
 
 
+def stations_near(points: DataFrame, info: DataFrame, *, point_id: str, radius_m: float = 300) -> DataFrame:
+    """points with the number of stations within the radius and the nearest station at any distance."""
+    out = features_within(points, info, point_id=point_id, feature_id="station_id", radius_m=radius_m)
+    return out.withColumnsRenamed({"n_total": "n_stations_within", "nearest_m": "nearest_station_dist_m"})
+
+
+#: Tag columns of map features, the first that is there gives the category (fixed values).
+FEATURE_TAGS = ("amenity", "shop", "leisure", "highway", "railway", "public_transport")
+
+
+def enrich_with_features(info: DataFrame, features: DataFrame, *, feature_id: str, radius_m: float = 300, category: str | None = None, prefix: str = "osm_") -> DataFrame:
+    """info with the number of map features within the radius, by category too. features: lat and lon, or `ring`, of which the
+    mean of the corners counts; category: else the first tag column that is there."""
+    if "lat" not in features.columns:
+        mean = lambda part: F.aggregate(F.slice("ring", 1, F.size("ring") - 1), F.lit(0.0), lambda s, p: s + p[part]) / (F.size("ring") - 1)  # noqa: E731  the last corner repeats the first
+        features = features.withColumns({"lat": mean("lat"), "lon": mean("lon")})
+    category = category or next((c for c in FEATURE_TAGS if c in features.columns), None)
+    out = features_within(info.select("station_id", "lat", "lon"), features, point_id="station_id", feature_id=feature_id, radius_m=radius_m, category=category)
+    named = {c: f"{prefix}{c.removeprefix('n_')}" for c in out.columns if c.startswith("n_") and c != "n_total"} | {"n_total": f"{prefix}within"}
+    return info.join(out.withColumnsRenamed(named).drop("lat", "lon", f"nearest_{feature_id}", "nearest_m"), "station_id", "left")
+
+
+def station_surroundings(info: DataFrame, *, transit: DataFrame | None = None, features: DataFrame | None = None, feature_id: str = "feature_id", radius_m: float = 300, transit_radius_m: float | None = None, category: str | None = None) -> DataFrame:
+    """info with its transit stops (nearest, number within, feeder or not) and map features around; what is not given is left out."""
+    out = info
+    if transit is not None:
+        near = link_transit(info.select("station_id", "lat", "lon"), transit, stop_id=feature_id, radius_m=transit_radius_m or radius_m)
+        out = out.join(near.select("station_id", F.col("nearest_m").alias("nearest_stop_dist_m"), F.col("n_total").alias("n_transit_within"), F.col("is_feeder").alias("is_transit_feeder")), "station_id", "left")
+    return out if features is None else enrich_with_features(out, features, feature_id=feature_id, radius_m=radius_m, category=category)
+
+
 def two_step_fca(info: DataFrame, demand: DataFrame, *, max_distance_m: float = 800, decay: str = "gaussian", supply: str = "capacity", demand_col: str = "population") -> DataFrame:
     """Two-step floating catchment accessibility of each demand point; one range join feeds both steps."""
     pairs = range_join(info.select("station_id", F.coalesce(supply, F.lit(0)).alias("s"), "lat", "lon"), demand.select("demand_id", F.coalesce(demand_col, F.lit(0.0)).alias("d"), "lat", "lon"), max_distance_m)
@@ -81,12 +113,12 @@ def morans_i(info: DataFrame, value: str, *, k: int = 8) -> DataFrame:
 
 
 def local_moran(info: DataFrame, value: str, *, k: int = 8) -> DataFrame:
-    """The local statistic and quadrant of each station (no permutation p-values)."""
+    """The local statistic and quadrant of each station; `kernels.local_moran_inference` adds p-values."""
     rows = info.where(F.col(value).isNotNull() & F.col("lat").isNotNull()).select("station_id", "lat", "lon", F.col(value).cast("double").alias("v"))
     s = rows.agg(F.avg("v").alias("m"), F.var_samp("v").alias("m2"))
     z = rows.join(F.broadcast(s)).select("station_id", (F.col("v") - F.col("m")).alias("z"), "m2")
     lag = knn(rows, rows, k, "station_id", "station_id").join(z.select(F.col("station_id").alias("b_id"), "z"), "b_id").groupBy(F.col("a_id").alias("station_id")).agg(F.avg("z").alias("lag"))
-    q = F.concat(F.when(F.col("z") >= 0, "H").otherwise("L"), F.when(F.col("lag") >= 0, "H").otherwise("L"))
+    q = F.concat(F.when(F.col("z") > 0, "H").otherwise("L"), F.when(F.round("lag", 9) > 0, "H").otherwise("L"))
     return z.join(lag, "station_id").select("station_id", (F.col("z") / F.nullif(F.col("m2"), F.lit(0.0)) * F.col("lag")).alias("local_i"), q.alias("quadrant"))
 
 
@@ -97,6 +129,51 @@ def neighbour_stats(info: DataFrame, *, area_km2: float) -> DataFrame:
     return nn.select("n", "mean_nn_m", "median_nn_m", (F.col("n") / area_km2).alias("density_km2"), F.bround(F.col("mean_nn_m") * 2 * F.sqrt(density), 3).alias("clark_evans"))
 
 
+def coverage_stats(info: DataFrame, zones: DataFrame | None = None) -> DataFrame:
+    """One row: stations, distances to the nearest, area (of the zones, else of the convex hull), density and Clark-Evans
+    ratio. NULL where too few stations leave a figure without meaning."""
+    n = info.where("lat is not null and lon is not null").agg(F.count("*").alias("n_stations"))
+    nn = knn(info, info, 1, "station_id", "station_id").agg(F.bround(F.avg("distance_m"), 1).alias("mean_nearest_neighbor_m"), F.bround(F.median("distance_m"), 1).alias("median_nearest_neighbor_m"))
+    name = "hull_area_km2" if zones is None else "service_area_km2"
+    area = hull_area(info).withColumnRenamed("area_km2", "a") if zones is None else zones.agg(F.sum(zone_area_km2()).alias("a"))
+    row = n.join(F.broadcast(nn)).join(F.broadcast(area))  # one row each
+    some = F.when(F.col("a") > 0, F.col("a"))
+    ratio = F.col("mean_nearest_neighbor_m") * 2 * F.sqrt(F.col("n_stations") / (some * 1e6))
+    return row.select("n_stations", "mean_nearest_neighbor_m", "median_nearest_neighbor_m", F.bround("a", 3).alias(name), F.bround(F.col("n_stations") / some, 3).alias("stations_per_km2"), F.bround(ratio, 3).alias("clark_evans_index"))
+
+
+def projected(info: DataFrame) -> DataFrame:
+    """info with x_m and y_m: equirectangular metres about the mean latitude of all rows."""
+    mid = info.agg(F.avg("lat").alias("__mid"))
+    return info.join(F.broadcast(mid)).withColumns({"x_m": F.radians("lon") * EARTH_M * F.cos(F.radians("__mid")), "y_m": F.radians("lat") * EARTH_M}).drop("__mid")  # one row
+
+
+def hull_area(info: DataFrame) -> DataFrame:
+    """One row area_km2: convex hull of all points in equirectangular metres; NULL where they lie on a line.
+
+    Each partition sends the corners of its own hull, and one task takes the hull of these."""
+    pts = projected(info.where("lat is not null and lon is not null").select("lat", "lon")).select("x_m", "y_m").distinct()
+    return hull_of_parts(pts)
+
+
+def zone_area_km2(ring: str = "ring", holes: str | None = None) -> Column:
+    """Area of a closed ring of (lon, lat) structs on the ellipsoid by the cylindrical equal-area projection and the shoelace
+    formula; holes: a column of rings to take away."""
+    a, f = 6_378_137.0, 1 / 298.257223563
+    e2 = f * (2 - f)
+    e = math.sqrt(e2)
+
+    def height(lat: Column) -> Column:  # authalic height, times a
+        s = F.sin(F.radians(lat))
+        return (1 - e2) * (s / (1 - e2 * s * s) + F.log((1 + e * s) / (1 - e * s)) / (2 * e)) * (a / 2)
+
+    def area(r: Column) -> Column:
+        return F.abs(F.aggregate(F.sequence(F.lit(0), F.size(r) - 2), F.lit(0.0), lambda s, i: s + (F.radians(F.get(r, i).lon) * height(F.get(r, i + 1).lat) - F.radians(F.get(r, i + 1).lon) * height(F.get(r, i).lat)) * a / 2)) / 1e6
+
+    own = area(F.col(ring))
+    return own if holes is None else own - F.aggregate(F.coalesce(F.col(holes), F.array().cast("array<array<struct<lon:double,lat:double>>>")), F.lit(0.0), lambda s, h: s + area(h))
+
+
 def spatial_entropy(vehicles: DataFrame, *, grid_m: float = 200) -> DataFrame:
     """Entropy and evenness of vehicles over square cells, per snapshot."""
     rows = vehicles.where("lat is not null and lon is not null")

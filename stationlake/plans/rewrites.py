@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import EARTH_M, haversine_m
+from .components import stored
 
 
 def _cells(lat: Column, lon: Column, radius_m: float, reach: int = 0) -> Column:
@@ -35,37 +36,45 @@ def range_join(a: DataFrame, b: DataFrame, radius_m: float, a_lat: str = "lat",
     return left.join(right, "__cell").drop("__cell").withColumn("distance_m", d).where(F.col("distance_m") <= radius_m)
 
 
-def knn(a: DataFrame, b: DataFrame, k: int, a_id: str, b_id: str, lat: str = "lat", lon: str = "lon", exclude_self: bool = True, start_m: float = 500.0, partition: tuple[str, ...] = ()) -> DataFrame:
-    """The k nearest rows of b for each row of a: (a_id, b_id, distance_m, rank). Radii double from start_m; a point is done
-    once k neighbours lie within the radius, so distances are exact. Self is left out by id, ties go to the smaller id.
-    partition: columns that must be equal on both sides. Points with fewer than k partners get all of them."""
+def first_radius(points: DataFrame, k: int, lat: str, lon: str) -> float:
+    """Metres within which about half the points have k others, by how many lie in a typical cell of a hundredth of a degree."""
+    cells = points.groupBy(F.floor(F.col(lat) * 100), F.floor(F.col(lon) * 100)).count()
+    here = cells.agg(F.percentile_approx("count", 0.5)).first()[0] or 1
+    return max(50.0, 1500.0 * math.sqrt(k / (math.pi * here)))
+
+
+def knn(a: DataFrame, b: DataFrame, k: int, a_id: str, b_id: str, lat: str = "lat", lon: str = "lon", exclude_self: bool = True, start_m: float | None = None, partition: tuple[str, ...] = ()) -> DataFrame:
+    """The k nearest rows of b for each row of a: (a_id, b_id, distance_m, rank). Radii grow from start_m, else from what the
+    density of b suggests; a point is done once k neighbours lie within the radius, so distances are exact. What a round
+    found and the points that it left are stored, so no round is computed twice. Self is left out by id, ties go to the
+    smaller id. partition: columns that must be equal on both sides. Points with fewer than k partners get all of them."""
     a = a.select(*partition, F.col(a_id).alias("a_id"), lat, lon).where(F.col(lat).isNotNull() & F.col(lon).isNotNull())
     b = b.select(*partition, F.col(b_id).alias("b_id"), lat, lon).where(F.col(lat).isNotNull() & F.col(lon).isNotNull())
     same = [F.col(f"a_{p}").eqNullSafe(F.col(f"b_{p}")) for p in partition]
     keys = [*(f"a_{p}" for p in partition), "a_a_id"]
     w = Window.partitionBy(*keys).orderBy("distance_m", "b_b_id")
-    out, radius = None, start_m
+    out, radius = None, start_m or first_radius(b, k, lat, lon)
     left = a
-    while radius < 2 * math.pi * EARTH_M:
+    while True:
+        last = radius > math.pi * EARTH_M
         pairs = range_join(left, b, radius, lat, lon, lat, lon)
         for c in same:
             pairs = pairs.where(c)
         if exclude_self:
             pairs = pairs.where("a_a_id <> b_b_id")
-        found = pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(*keys, "b_b_id", "distance_m", "rank").cache()
+        found = stored(pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(*keys, "b_b_id", "distance_m", "rank"))
         full = found.where(F.col("rank") == k).select(*keys)
-        last = radius > math.pi * EARTH_M
         take = found if last else found.join(full, keys, "left_semi")
         out = take if out is None else out.union(take)
+        if last:
+            break
         cond = F.col("a_id") == F.col("a_a_id")
         for p in partition:
             cond = cond & F.col(p).eqNullSafe(F.col(f"a_{p}"))
-        left = left.join(full, cond, "left_anti")
-        if last or left.limit(1).count() == 0:
+        left = stored(left.join(full, cond, "left_anti"))
+        if left.isEmpty():
             break
-        radius *= 8
-        if radius > 2_000_000:
-            radius = 1.01 * math.pi * EARTH_M
+        radius = radius * 8 if radius < 250_000 else 1.01 * math.pi * EARTH_M
     return out.toDF(*partition, "a_id", "b_id", "distance_m", "rank")
 
 
