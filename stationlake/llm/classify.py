@@ -1,12 +1,15 @@
 """Two document classifiers: counterfactually regularised toxicity, and quality by Bradley-Terry pairwise ranking.
 
 Both learn on the driver from at most SAMPLE labelled rows (those with the smallest hash of their id; a documented bound) and
-score every whole text on the executors with a model of fixed size. Labels, language, source and id are no features. Null and
-empty texts get the score of no features. Without usable labels all scores are 0.5. Repeated rows and labels count each time.
+score every whole text on the executors, in blocks of bounded size, with a model of fixed size. Labels, language, source and
+id are no features, nor are other columns. Null and empty texts get the score of no features; they count as texts to learn
+from too. Without usable labels (none, or of one kind only) all scores are 0.5. Rows of one id and text count once for
+learning however often they are repeated; all are scored. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import re
 import zlib
 
 import numpy as np
@@ -29,23 +32,46 @@ IDENTITY = (
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, id_col: str, text: str, sample: int) -> DataFrame:
-    """(text, y) of the labelled rows to learn from."""
-    use = labels.select(F.col(id_col).alias("__id"), F.col(label).cast("int").alias("y")).where(F.col("y").isin(0, 1) & F.col("__id").isNotNull() & (remainder(F.col("__id"), 5) != 0))
+    """(text, y, id, h) of the labelled rows of `sample` ids at most, rows equal in id and text once."""
+    use = labels.select(F.col(id_col).alias("__id"), F.col(label).cast("int").alias("y")).where(F.col("y").isin(0, 1) & F.col("__id").isNotNull() & (remainder(F.col("__id"), 5) != 0)).distinct()
     use = use.orderBy(F.xxhash64(F.col("__id")), "__id", "y").limit(sample)
-    return docs.join(F.broadcast(use), F.col(id_col) == F.col("__id")).select(F.col(text).alias("text"), "y")
+    found = docs.select(F.col(id_col).alias("__key"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(use), F.col("__key") == F.col("__id"))
+    return found.groupBy(F.col("__id").cast("string").alias("id"), "y", F.xxhash64("text").alias("h")).agg(F.first("text").alias("text")).select("text", "y", "id", "h")
+
+
+def gathered(features: DataFrame, sample: int) -> pa.Table:
+    """Features of `sample` rows at most, in an order that does not depend on how they were dealt out; only these reach the
+    driver, however many texts an id has."""
+    return features.orderBy(F.xxhash64("id"), "id", "y", "h").limit(sample).toArrow()
 
 
 # --- toxicity --------------------------------------------------------------------------------------------------------
 
 
+_TERM = re.compile("(?i)(?<![0-9A-Za-z\x80-\U0010ffff])(?:" + "|".join(sorted(IDENTITY, key=len, reverse=True)) + ")(?![0-9A-Za-z\x80-\U0010ffff])")
+
+
+def swapped(text: str) -> str:
+    """The counterfactual text: each identity term replaced by another one, which the term, its turn and the text's length
+    choose; a text without any starts with one."""
+    seed = zlib.crc32(str(len(text)).encode())
+    other = lambda word, turn: IDENTITY[(IDENTITY.index(word) + 1 + zlib.crc32(f"{seed} {word} {turn}".encode()) % (len(IDENTITY) - 1)) % len(IDENTITY)]
+    parts, last = [], 0
+    for turn, hit in enumerate(_TERM.finditer(text)):
+        word = hit.group().lower()
+        parts += [text[last : hit.start()], other(word, turn) if word in IDENTITY else hit.group()]
+        last = hit.end()
+    return "".join([*parts, text[last:]]) if parts else f"{IDENTITY[seed % len(IDENTITY)]} {text}"
+
+
 def hashed(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, feature) of whole words and word beginnings, with repeats. Identity terms have no beginnings, so that a swap of
-    terms changes nothing but the terms' own features."""
+    """(row, feature) of whole words and word beginnings, with repeats. Identity terms have no beginnings, so that all that a
+    term adds to a score is one weight."""
     words = Words(data, offs, ALNUM_WORDS)
     whole = words.hashes()
     feats, rows = [whole >> np.uint64(64 - SPACE)], [words.rows]
     size = words.ends - words.starts
-    other = ~np.isin(whole, hash_words(list(IDENTITY)))
+    other = ~np.isin(whole, hash_words(IDENTITY))
     for p in PREFIXES:
         long = (size > p) & other
         feats.append(mix(words.hashes(p)[long] + np.uint64(p)) >> np.uint64(64 - SPACE))
@@ -53,45 +79,66 @@ def hashed(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(feats).astype(np.int64)
 
 
+def feature_lists(texts: pa.Array) -> list[np.ndarray]:
+    """Distinct features of each text."""
+    out = []
+    for a, b, data, offs in row_blocks(texts):
+        row, feat = hashed(data, offs)
+        both = np.unique(row << SPACE | feat)
+        ends = np.searchsorted(both >> SPACE, np.arange(b - a + 1))
+        out += [both[x:y] & ((1 << SPACE) - 1) for x, y in zip(ends[:-1], ends[1:])]
+    return out
+
+
+def exchanged(features: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """Features with each identity term's exchanged for another one's; one is added where there are none."""
+    own = np.intersect1d(features, group)
+    shift = 1 + (len(features) * 7919 + int(features.sum() if len(features) else 0)) % (len(group) - 1)
+    new = group[(np.searchsorted(group, own) + shift) % len(group)] if len(own) else group[[shift]]
+    return np.union1d(np.setdiff1d(features, own), new)
+
+
 class Toxicity:
-    """Sparse logistic model; counterfactual pairs differ in the identity terms that they mention."""
+    """Sparse logistic model. Each text comes with its counterfactual, and what the swap changes in the score is penalised."""
 
     def __init__(self, weights: np.ndarray, bias: float):
         self.weights, self.bias = weights, bias
 
     @classmethod
-    def fit(cls, rows: list[tuple[np.ndarray, int]], penalty: float = 5.0, ridge: float = 0.3, rounds: int = 400) -> Toxicity:
+    def fit(cls, rows: list[tuple[np.ndarray, int]], others: list[np.ndarray] | None = None, penalty: float = 20.0, ridge: float = 0.3, rounds: int = 400) -> Toxicity:
+        """rows: features of a text and its label; others: features of each counterfactual text. Without these, features of
+        identity terms are exchanged for other ones."""
         dim = 1 << SPACE
+        group = np.unique((hash_words(IDENTITY) >> np.uint64(64 - SPACE)).astype(np.int64))
+        others = [exchanged(x, group) for x, _ in rows] if others is None else others
         y = np.array([r[1] for r in rows], float)
         if not len(y) or y.min() == y.max():
             return cls(np.zeros(dim, np.float32), 0.0)
-        row = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
-        feat = np.concatenate([r[0] for r in rows])
+        n, share = len(y), y.mean()
+
+        def flat(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+            return np.repeat(np.arange(n), [len(x) for x in lists]), np.concatenate(lists)
+
+        (row, feat), (other_row, other_feat) = flat([x for x, _ in rows]), flat(others)
         total = np.bincount(feat, minlength=dim)
         pos = np.bincount(feat, y[row], minlength=dim)
-        share = y.mean()
         z = (pos - total * share) / np.sqrt(total * share * (1 - share) + 1)
-        group = np.unique((hash_words(list(IDENTITY)) >> np.uint64(64 - SPACE)).astype(np.int64))
+        # Features that a swap changes are all in the model, so nothing that it changes escapes the penalty.
         keep = np.union1d(np.flatnonzero((total >= 4) & (z >= 3.5)), group)
-        at = np.minimum(np.searchsorted(keep, feat), len(keep) - 1)
-        use = keep[at] == feat
-        row, col = row[use], at[use]
-        is_group = np.isin(keep, group)
-        # A counterfactual text has other identity terms: each mention is swapped for another term, texts without any get one.
-        places = np.flatnonzero(is_group)
-        mention = is_group[col]
-        rng = np.random.default_rng(11)
-        bare = np.setdiff1d(np.arange(len(y)), row[mention])
-        swap_from = np.concatenate((col[mention], np.full(len(bare), -1)))
-        swap_to = rng.choice(places, len(swap_from))
+
+        def kept(r: np.ndarray, f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            at = np.minimum(np.searchsorted(keep, f), len(keep) - 1)
+            use = keep[at] == f
+            return r[use], at[use]
+
+        (row, col), (other_row, other_col) = kept(row, feat), kept(other_row, other_feat)
         w, b = np.zeros(len(keep)), float(np.log(share / (1 - share)))
         g2, b2 = np.full(len(keep), 1e-8), 1e-8
-        n = len(y)
         for _ in range(rounds):
-            p = 1 / (1 + np.exp(-np.clip(np.bincount(row, w[col], minlength=n) + b, -30, 30)))
-            grad = np.bincount(col, (p - y)[row], minlength=len(keep)) + ridge * w
-            change = w[swap_to] - np.where(swap_from >= 0, w[swap_from], 0.0)
-            grad += penalty * (np.bincount(swap_to, change, minlength=len(keep)) - np.bincount(swap_from[swap_from >= 0], change[swap_from >= 0], minlength=len(keep)))
+            own = np.bincount(row, w[col], minlength=n)
+            change = np.bincount(other_row, w[other_col], minlength=n) - own
+            p = 1 / (1 + np.exp(-np.clip(own + b, -30, 30)))
+            grad = np.bincount(col, (p - y - penalty * change)[row], minlength=len(keep)) + np.bincount(other_col, (penalty * change)[other_row], minlength=len(keep)) + ridge * w
             g2 += grad**2
             w -= 0.3 * grad / np.sqrt(g2)
             gb = (p - y).sum()
@@ -109,25 +156,16 @@ class Toxicity:
         return 1 / (1 + np.exp(-np.clip(sums + self.bias, -30, 30)))
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> Toxicity:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", sample: int = SAMPLE, penalty: float = 20.0) -> Toxicity:
     def run(batches):
+        packed = lambda texts: pa.array([x.astype("<i4").tobytes() for x in feature_lists(texts)], pa.binary())
         for batch in batches:
-            lists = []
-            for a, b, data, offs in row_blocks(batch.column(0)):
-                row, feat = hashed(data, offs)
-                both = np.unique(row << SPACE | feat)
-                ends = np.searchsorted(both >> SPACE, np.arange(b - a + 1))
-                lists += [(both[x:y] & ((1 << SPACE) - 1)).astype("<i4").tobytes() for x, y in zip(ends[:-1], ends[1:])]
-            yield pa.RecordBatch.from_arrays([pa.array(lists, pa.binary()), batch.column(1)], ["x", "y"])
-
-    rows = labelled(docs, labels, "toxic", id_col, text, sample).mapInArrow(run, "x binary, y int").toArrow()
-    return Toxicity.fit(sorted_rows(rows))
-
+            other = pa.array([swapped(t) for t in batch.column(0).to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([packed(batch.column(0)), packed(other), *batch.columns[1:]], ["x", "other", "y", "id", "h"])
 
-def sorted_rows(t: pa.Table) -> list[tuple[np.ndarray, int]]:
-    """Rows in an order that does not depend on how they were dealt out."""
-    got = sorted(zip(t.column(0).to_pylist(), t.column(1).to_pylist()))
-    return [(np.frombuffer(x, "<i4").astype(np.int64), y) for x, y in got]
+    rows = gathered(labelled(docs, labels, "toxic", id_col, text, sample).mapInArrow(run, "x binary, other binary, y int, id string, h long"), sample)
+    lists = [[np.frombuffer(x, "<i4").astype(np.int64) for x in c.to_pylist()] for c in rows.columns[:2]]
+    return Toxicity.fit(list(zip(lists[0], rows.column(2).to_pylist())), lists[1], penalty)
 
 
 # --- quality ---------------------------------------------------------------------------------------------------------
@@ -221,9 +259,9 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
         for batch in batches:
             x = [measures(data, offs) for _, _, data, offs in row_blocks(batch.column(0))]
             x = np.concatenate(x) if x else np.zeros((0, 1))
-            yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float64())), batch.column(1)], ["x", "y"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float64())), *batch.columns[1:]], ["x", "y", "id", "h"])
 
-    t = labelled(docs, labels, "quality", id_col, text, sample).mapInArrow(run, "x array<double>, y int").toArrow()
+    t = gathered(labelled(docs, labels, "quality", id_col, text, sample).mapInArrow(run, "x array<double>, y int, id string, h long"), sample)
     width = measures(np.zeros(0, np.uint8), np.zeros(2, np.int64)).shape[1]
     return Quality.fit(np.array(t.column(0).to_pylist(), float).reshape(-1, width), t.column(1).to_numpy().astype(int))
 
@@ -233,7 +271,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
 
 def scored(docs: DataFrame, model, column: str, text: str = "text") -> DataFrame:
     """docs with the model's score in `column`, which replaces one of that name."""
-    src = docs.drop(column)
+    src = docs.drop(column) if column != text else docs
     names = src.columns
     at = names.index(text)
     sent = docs.sparkSession.sparkContext.broadcast(model)
