@@ -49,9 +49,34 @@ def deleted(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df as a table written to the shared folder: its lineage ends there, and a lost executor costs no recomputation."""
+def stored(df: DataFrame, name: str, kept: list[str] | None = None) -> DataFrame:
+    """df as a table written to the shared folder: its lineage ends there, and a lost executor costs no recomputation. Its
+    path is added to `kept`, so that it can be deleted when nothing needs it any more."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}"
     df.write.parquet(path)
+    if kept is not None:
+        kept.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, or others like them that no column of df has."""
+    out = []
+    for name in names:
+        while name.lower() in (c.lower() for c in (*df.columns, *out)):
+            name += "_"
+        out.append(name)
+    return out
+
+
+HOT_SHARE = 1000  # a key with more than one in so many rows is hot; there are at most so many hot keys
+
+
+def spread_join(many: DataFrame, one: DataFrame, key: str, n: str, total: int) -> DataFrame:
+    """many joined with `one`, which has one row per key and in column n the number of the key's rows in `many`, of `total`.
+    Rows of hot keys, at most HOT_SHARE keys, meet theirs by broadcast where they lie, so no key is one task's work; all
+    others are shuffled."""
+    hot = F.coalesce(F.col(n) * HOT_SHARE > total, F.lit(False))
+    rest = many.join(F.broadcast(one.where(hot).select(key)), key, "left_anti").join(one.where(~hot), key)
+    return rest.unionByName(many.join(F.broadcast(one.where(hot)), key))

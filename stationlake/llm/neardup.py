@@ -12,8 +12,11 @@ other document holds: two texts have at most the lesser of their shared weights
 heavily edited copies unseen. A leader is the member with the least unshared weight. So no link between candidates is lost and a group of n copies
 costs about n comparisons per band. A pair of similarity 0.8 is a candidate with probability 0.9994, of 0.9 with 1 - 1e-9.
 
-Texts without words (null, empty) are in no group, each its own class; so are single documents. Ties and repeated rows: rows
-of one id and text are copies of each other; the class id is the smallest doc_id. Extra columns are ignored.
+Null and empty texts are in no group, each its own class; so are single documents. Texts of signs only are alike if equal. Ties
+and repeated rows: rows of one id and text are copies of each other; the class id is the smallest doc_id, and of the rows
+with it the first in the table stays. Texts are shingled whole, however long. Other columns are ignored, and kept as they
+are, whatever their names, by `drop_near_duplicates`. An empty table gives no rows. Joins on texts, buckets and classes meet
+hot keys by broadcast (`spread_join`). Shingles are told apart by hashes, of 32 bits in the comparison of two texts.
 """
 
 from __future__ import annotations
@@ -23,10 +26,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, stored, table
+from .common import HOT_SHARE, blocks, deleted, spread_join, stored, table
 from .components import components
 from .elias import pack_sorted, unpack_sorted
-from .pull import FRAGMENT_BYTES, answer, answered, by_hash, exchange, fragmented, large, requests, small
+from .pull import FRAGMENT_BYTES, answered, counting, exchange, fragmented, large, request_table, requests, small
 from .textkit import ALNUM_WORDS, Words, mix, row_blocks
 
 SIZE = 5
@@ -34,7 +37,6 @@ THRESHOLD = 0.8
 BANDS, ROWS = 14, 4
 DAMP = 0.25
 GRID = 64
-BROADCAST_ROWS = 2_000_000
 _TABLE = 14
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -73,26 +75,37 @@ class Sampler:
         self.r = rng.gamma(2.0, 1.0, n).astype(np.float32)
         self.c = np.log(rng.gamma(2.0, 1.0, n)).astype(np.float32)
         self.b = rng.random(n).astype(np.float32)
+        self.over = np.float32(1) / self.r
+        self.rest = self.c + self.r * (self.b - np.float32(1))  # of c - r * (t - b + 1), what does not depend on t
         self.odd = (rng.integers(0, 1 << 63, k, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 
     def samples(self, rows: np.ndarray, hashes: np.ndarray, weights: np.ndarray, n_rows: int) -> np.ndarray:
-        """(rows, k) sample keys; rows without shingles get 0."""
+        """(rows, k) sample keys; rows without shingles get 0. Arrays are used again for every sample."""
         out = np.zeros((n_rows, len(self.odd)), np.uint64)
-        if not len(rows):
+        n = len(rows)
+        if not n:
             return out
         heads = np.flatnonzero(np.concatenate(([True], rows[1:] != rows[:-1])))
-        sizes = np.diff(np.concatenate((heads, [len(rows)])))
         own = rows[heads]
+        of = np.repeat(np.arange(len(heads)), np.diff(np.concatenate((heads, [n]))))
         log_w = np.log(weights).astype(np.float32)
+        at, t, a, x = np.empty(n, np.uint64), np.empty(n, np.float32), np.empty(n, np.float32), np.empty(n, np.float32)
+        place, low, hit = at.view(np.int64), np.empty(n, np.float32), np.empty(n, bool)
         for k, odd in enumerate(self.odd):
-            at = (hashes * odd) >> np.uint64(64 - _TABLE)
-            r, b = self.r[at], self.b[at]
-            t = np.floor(log_w / r + b)
-            a = self.c[at] - r * (t - b + np.float32(1))
+            np.multiply(hashes, odd, out=at)
+            at >>= np.uint64(64 - _TABLE)
+            np.take(self.over, place, out=t, mode="clip")
+            t *= log_w
+            t += np.take(self.b, place, out=x, mode="clip")
+            np.floor(t, out=t)
+            np.take(self.r, place, out=x, mode="clip")
+            x *= t
+            np.subtract(np.take(self.rest, place, out=a, mode="clip"), x, out=a)
             best = np.minimum.reduceat(a, heads)
-            hit = np.flatnonzero(a == np.repeat(best, sizes))
-            row = rows[hit]
-            first = hit[np.concatenate(([True], row[1:] != row[:-1]))]
+            np.equal(a, np.take(best, of, out=low, mode="clip"), out=hit)
+            found = np.flatnonzero(hit)
+            group = of[found]
+            first = found[np.concatenate(([True], group[1:] != group[:-1]))]
             out[own, k] = mix(hashes[first] + t[first].astype(np.int64).astype(np.uint64) * _ODD + np.uint64(k))
         return out
 
@@ -126,7 +139,7 @@ def packed_set(hashes: np.ndarray, weights: np.ndarray) -> bytes:
     return np.array([len(head)], "<u4").tobytes() + head + small(total)
 
 
-def sketches(docs: DataFrame, id_col: str, text: str) -> DataFrame:
+def sketches(docs: DataFrame, id_col: str, text: str, kept: list[str]) -> DataFrame:
     """Stored rows (id, key, uid, bands, weight, shared, shingles) of all documents; shared: weight of shingles that other
     documents hold too."""
     size = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).alias("bytes"), F.count("*").alias("n")).first()
@@ -135,12 +148,12 @@ def sketches(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     bits = min(56, max(40, (size["bytes"] // 4).bit_length() + 16))
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    parts = fragmented(rows, n, ["id", "t", F.md5("t").alias("key")], by_hash(["id", "t"], n))
+    parts = fragmented(rows, ["id", "t", F.md5("t").alias("key")], n)
     short = np.uint64(64 - bits)
 
     def ask(t: pa.Table) -> pa.Table:
         keys, counts = np.unique(np.concatenate([np.zeros(0, np.uint64), *(h >> short for _, _, h, _ in shingles(t.column("t")))]), return_counts=True)
-        return requests(t.column("frag")[0].as_py(), 1, 1, keys, counts, bits, log_buckets)
+        return request_table(requests(t.column("frag")[0].as_py(), 1, 1, keys, counts, bits, log_buckets))
 
     def sketch(key, t: pa.Table, a: pa.Table) -> pa.Table:
         got = list(shingles(t.column("t")))
@@ -161,17 +174,12 @@ def sketches(docs: DataFrame, id_col: str, text: str) -> DataFrame:
         lists = pa.ListArray.from_arrays(pa.array(np.arange(len(flat) + 1) * BANDS, pa.int32()), pa.array(flat.ravel()))
         return pa.table([t.column("id"), t.column("key"), pa.chunked_array([lists]), pa.array(np.concatenate([np.zeros(0, np.int64), *weight])), pa.array(np.concatenate([np.zeros(0, np.int64), *shared])), pa.array(sets, pa.binary())], ["id", "key", "bands", "weight", "shared", "shingles"])
 
-    sent = exchange(parts, n, ask, answer({}, {1: bits - log_buckets}), 1 << log_buckets)
+    sent = exchange(parts, ask, counting, {1: bits}, log_buckets)
     out = parts.groupBy("frag").cogroup(sent.groupBy("frag")).applyInArrow(sketch, f"id {kind}, key string, bands array<long>, weight long, shared long, shingles binary")
-    return stored(out.withColumn("uid", F.monotonically_increasing_id()), "sketches")
+    return stored(out.withColumn("uid", F.monotonically_increasing_id()), "sketches", kept)
 
 
-def only(df: DataFrame, ids: DataFrame, on: str, n: int, how: str = "left_semi") -> DataFrame:
-    """Rows whose id is (not) in ids; the n ids are broadcast up to BROADCAST_ROWS, else both sides are shuffled."""
-    return df.join(F.broadcast(ids) if n <= BROADCAST_ROWS else ids, on, how)
-
-
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, sets: DataFrame, kept: list[str]) -> DataFrame:
     """Pairs (a, b) of weighted Jaccard THRESHOLD at least, stored."""
 
     def run(batches):
@@ -180,7 +188,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(good), batch.column(1).filter(good)], ["a", "b"])
 
     both = pairs.join(sets.select(F.col("uid").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("uid").alias("b"), F.col("shingles").alias("y")), "b")
-    return stored(both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "links")
+    return stored(both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "links", kept)
 
 
 def reach(a: str, b: str) -> Column:
@@ -191,45 +199,58 @@ def reach(a: str, b: str) -> Column:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: id, key (md5 of the text), class_id, class_size, keep (one document of each class)."""
-    s = sketches(docs, id_col, text)
-    texts = stored(s.groupBy("key").agg(F.min("uid").alias("uid"), F.first("bands").alias("bands"), F.first("weight").alias("weight"), F.first("shared").alias("shared")), "texts")
+    kept: list[str] = []  # tables that the result does not need
+    s = sketches(docs, id_col, text, kept)
+    texts = stored(s.groupBy("key").agg(F.min("uid").alias("uid"), F.first("bands").alias("bands"), F.first("weight").alias("weight"), F.first("shared").alias("shared"), F.count("*").alias("copies")), "texts", kept)
     able = texts.where("weight > 0").where(F.col("shared") >= THRESHOLD * F.col("weight"))  # both <= shared, and both >= 0.8 * (weight + rest of the other)
     lists = able.select("uid", "weight", "shared", "bands", F.explode("bands").alias("bucket"))
     first = F.struct(F.round((F.col("weight") - F.col("shared")) / F.col("weight"), 2), F.xxhash64("uid", "bucket"), "uid", "weight", "shared")
-    heads = lists.groupBy("bucket").agg(F.count("*").alias("n"), F.min(first).alias("l")).where("n > 1").select("bucket", "l.uid", "l.weight", "l.shared").toDF("bucket", "leader", "l_weight", "l_shared")
-    members = stored(lists.join(heads, "bucket"), "members")
+    heads = lists.groupBy("bucket").agg(F.count("*").alias("n"), F.min(first).alias("l")).where("n > 1").select("bucket", "n", "l.uid", "l.weight", "l.shared").toDF("bucket", "n", "leader", "l_weight", "l_shared")
+    members = stored(spread_join(lists, stored(heads, "heads", kept), "bucket", "n", texts.count() * BANDS).drop("n"), "members", kept)
     pairs = members.where("uid <> leader").where(reach("", "l_")).select(F.least("uid", "leader").alias("a"), F.greatest("uid", "leader").alias("b")).distinct()
-    touched = stored(members.select("uid").distinct(), "touched")
-    sets = stored(only(s.select("uid", "shingles"), touched, "uid", touched.count()), "sets")
-    links = verified(pairs, sets)
+    touched = stored(members.select("uid").distinct(), "touched", kept)
+    sets = stored(s.select("uid", "shingles").join(touched, "uid", "left_semi"), "sets", kept)
+    links = verified(pairs, sets, kept)
     roots = components(links)
     tagged = members.join(roots.withColumnRenamed("id", "uid"), "uid", "left").select("bucket", "uid", "weight", "shared", "bands", F.coalesce("root", "uid").alias("root"))
-    mixed = tagged.groupBy("bucket", "root").count().groupBy("bucket").agg(F.count("*").alias("n"), F.max_by("root", F.struct("count", "root")).alias("main")).where("n > 1").select("bucket", "main")
-    inside = stored(tagged.join(mixed, "bucket"), "mixed")
-    few, all_ = inside.where("root <> main").alias("m"), inside.alias("x")
+    n = members.count()
+    mixed = tagged.groupBy("bucket", "root").count().groupBy("bucket").agg(F.count("*").alias("n"), F.sum("count").alias("rows"), F.max_by("root", F.struct("count", "root")).alias("main")).where("n > 1").select("bucket", "rows", "main")
+    inside = stored(spread_join(tagged, mixed, "bucket", "rows", n), "mixed", kept)
+    salts = F.ceil(F.col("rows") * HOT_SHARE / n).cast("int")  # a hot bucket's members are dealt out, and each part meets all the few
+    few = inside.where("root <> main").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).alias("m")
+    all_ = inside.withColumn("salt", F.pmod(F.hash("uid"), salts)).alias("x")
     fits = reach("m.", "x.") & (F.col("m.root") != F.col("x.root")) & ((F.col("x.root") == F.col("x.main")) | (F.col("x.uid") > F.col("m.uid")))
     once = F.col("m.bucket") == F.array_min(F.array_intersect("m.bands", "x.bands"))  # in one of the buckets that both are in
-    rest = few.join(all_, (F.col("m.bucket") == F.col("x.bucket")) & fits & once).select(F.least("m.uid", "x.uid").alias("a"), F.greatest("m.uid", "x.uid").alias("b")).distinct()
-    more = verified(rest, sets)
+    rest = few.join(all_, (F.col("m.bucket") == F.col("x.bucket")) & (F.col("m.salt") == F.col("x.salt")) & fits & once).select(F.least("m.uid", "x.uid").alias("a"), F.greatest("m.uid", "x.uid").alias("b")).distinct()
+    more = verified(rest, sets, kept)
     roots = components(links.union(more))
-    named = s.select("id", "key", F.col("uid").alias("row")).join(texts.select("key", "uid"), "key").join(roots.withColumnRenamed("id", "uid"), "uid", "left").select("id", "key", "row", F.when(F.col("key") == "d41d8cd98f00b204e9800998ecf8427e", F.col("row")).otherwise(F.coalesce("root", "uid")).alias("root"))
-    named = stored(named, "named")
+    # Per distinct text its class; a class's figures are summed over texts first, so neither many copies nor a large class is
+    # one task's work.
+    of_text = stored(texts.join(roots.withColumnRenamed("id", "uid"), "uid", "left").select("key", "copies", F.coalesce("root", "uid").alias("root")), "roots", kept)
+    total = s.count()
+    rows = s.select("id", "key", F.col("uid").alias("row"))
+    empty = F.col("key") == F.md5(F.lit(""))
+    alone = rows.where(empty).select("id", "key", "row", F.col("row").alias("root"))
+    named = stored(spread_join(rows.where(~empty), of_text, "key", "copies", total).select("id", "key", "row", "root").unionByName(alone), "named")
+    for path in kept:
+        deleted(docs.sparkSession, path)
     classes = named.groupBy("root").agg(F.min("id").alias("class_id"), F.count("*").alias("class_size"), F.min_by("row", F.struct(F.col("id").isNull(), "id", "row")).alias("kept"))
-    return named.join(classes, "root").select(F.col("id").alias(id_col), "key", "class_id", "class_size", (F.col("row") == F.col("kept")).alias("keep"))
+    return spread_join(named, classes, "root", "class_size", total).select(F.col("id").alias(id_col), "key", "class_id", "class_size", (F.col("row") == F.col("kept")).alias("keep"))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with one row of each class."""
-    found = stored(near_duplicates(docs, id_col, text).select(id_col, "key", "keep"), "classes")
-    by_row = found.groupBy(id_col, "key").agg(F.max("keep").alias("keep"), F.count("*").alias("n"))
-    gone = by_row.where(~F.col("keep")).select(F.col(id_col).alias("__id"), F.col("key").alias("__key"))
-    rows = docs.withColumn("__own", F.md5(F.coalesce(F.col(text), F.lit(""))))
-    n = gone.count()
-    rows = rows.join(F.broadcast(gone) if n <= BROADCAST_ROWS else gone, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__key")), "left_anti")
-    if by_row.where("keep and n > 1").limit(1).count():  # rows of one id and text: any of them
-        empty = F.md5(F.lit(""))
-        rows = rows.where(F.col("__own") != empty).dropDuplicates([id_col, "__own"]).union(rows.where(F.col("__own") == empty))
-    return rows.drop("__own")
+    """docs with one row of each class. Which rows go is joined by id and text, since rows have no other name; of rows equal
+    in both any one stays."""
+    found = stored(near_duplicates(docs, id_col, text).select(F.col(id_col).alias("__id"), F.col("key").alias("__key"), "keep"), "classes")
+    by_row = stored(found.groupBy("__id", "__key").agg(F.max("keep").alias("keep"), F.count("*").alias("n")), "rows")
+    gone = by_row.where(~F.col("keep")).select("__id", "__key")
+    names = docs.columns
+    src = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("__row"), F.col(f"`{id_col}`").alias("__own_id"), F.md5(F.coalesce(F.col(f"`{text}`"), F.lit(""))).alias("__own"))
+    rows = src.join(gone, F.col("__own_id").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__key")), "left_anti")
+    if by_row.where("keep and n > 1").limit(1).count():
+        empty = F.md5(F.lit(""))  # empty texts are each their own class
+        rows = rows.where(F.col("__own") != empty).dropDuplicates(["__own_id", "__own"]).unionByName(rows.where(F.col("__own") == empty))
+    return rows.select(*(F.col("__row").getField(c).alias(c) for c in names))
 
 
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
