@@ -3,13 +3,15 @@
 Components become the integers floor(64 * x). Vectors are dealt out by ranges of descending length. The second moments of
 all vectors give a rotation; in the rotated frame a product is the sum over the leading HEAD coordinates plus a rest that
 Cauchy-Schwarz bounds by the lengths of the two remainders. A query's threshold, its k-th best score so far, starts from
-the longest vectors; parts and blocks whose length bound stays under it are not even sent, pairs whose bound stays under it
-are not computed. What survives is computed exactly in integers. Queries meet vectors in a grid of (part, query block)
-groups of bounded size.
-
-Vectors that are null, or hold null or non-finite components (or one beyond 2**62 / 64), and null ids take no part; shorter
-vectors count as if zeros followed. Rows of equal id are different vectors; ties go to the smaller id, then to the row stored
-first. An empty table gives no rows.
+the longest vectors; its length and threshold bound the lengths that can still matter, so it asks for a prefix of the parts.
+Queries are dealt out by how far their prefixes reach, so a part is sent only to the few blocks that reach it, and a block
+reads no part that none of its queries asks for. Inside a part, pairs whose bound stays under the threshold are not
+computed; what survives is computed exactly in integers. Groups (part, query block) have bounded size.
+
+Vectors that are null, or hold null or non-finite components, and null ids take no part; shorter vectors count as if zeros
+followed. Components beyond 2**62 / 64 or products that 64 bits can't hold raise an error. Rows of equal id are different
+vectors, however many there are: parts and blocks are cut by row too; ties go to the smaller id, then to the row stored
+first. Other columns are ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,6 +29,7 @@ PART_ROWS = 8192
 QUERY_ROWS = 2048
 FIRST_ROWS = 2048
 STEP = 1024
+MERGED = 16  # parts whose results are merged first
 
 
 def quantised(vectors: DataFrame, id_col: str, column: str) -> DataFrame:
@@ -39,7 +42,9 @@ def quantised(vectors: DataFrame, id_col: str, column: str) -> DataFrame:
             n = np.asarray(v.value_lengths().to_numpy(zero_copy_only=False), np.int64)
             flat = v.flatten().to_numpy(zero_copy_only=False).astype(float)
             scaled = np.floor(flat * SCALE)
-            fine = np.isfinite(scaled) & (np.abs(np.where(np.isfinite(scaled), scaled, 0)) < 2.0**62)
+            fine = np.isfinite(scaled)
+            if (np.abs(scaled[fine]) >= 2.0**62).any():
+                raise ValueError("components beyond 2**62 / 64")
             row = np.repeat(np.arange(len(n)), n)
             good = np.bincount(row[~fine], minlength=len(n)) == 0
             ints = scaled[fine & good[row]].astype(np.int64)
@@ -81,6 +86,8 @@ def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     most = np.sqrt((a.astype(float) ** 2).sum(1).max(initial=0) * (b.astype(float) ** 2).sum(1).max(initial=0))
     if most < 2.0**52:
         return (a.astype(float) @ b.astype(float).T).astype(np.int64)
+    if most >= 2.0**63:
+        raise ValueError("products beyond 64 bits")
     return a @ b.T
 
 
@@ -139,16 +146,17 @@ def top_products(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str =
     dim = max(1, size.d)
     turn = rotation(rows, dim)
     parts = blocks(size.n, PART_ROWS)
-    sorted_rows = stored(rows.repartitionByRange(parts, F.col("norm").desc()).sortWithinPartitions(F.col("norm").desc()).withColumn("part", F.spark_partition_id()), "sorted")
-    longest = {r.part: r.norm for r in sorted_rows.groupBy("part").agg(F.max("norm").alias("norm")).collect()}
-    first = sorted_rows.orderBy(F.col("norm").desc()).limit(FIRST_ROWS).select("v", "uid").toArrow()
+    order = [F.col("norm").desc(), F.col("uid")]
+    sorted_rows = stored(rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()), "sorted")
+    longest = {r.part: r.norm for r in sorted_rows.groupBy("part").agg(F.max("norm").alias("norm")).collect()}  # one row per part
+    first = sorted_rows.orderBy(*order).limit(FIRST_ROWS).select("v", "uid").toArrow()
     lead = spark.sparkContext.broadcast((matrix(first.column("v").combine_chunks(), dim) if first.num_rows else np.zeros((0, dim), np.int64), first.column("uid").to_numpy(), turn, longest))
-    n_blocks = blocks(rows.where(F.col("id") % every == 0).count(), QUERY_ROWS)
 
-    def ask(batches):
-        top, top_uid, turn, longest = lead.value
-        part = np.array(sorted(longest), np.int64)
-        norms = np.array([longest[p] for p in part.tolist()])
+    def reach(batches):
+        """Queries with their thresholds and the number of the last part that can hold a better vector."""
+        top, top_uid, _, longest = lead.value
+        numbers = np.array(sorted(longest), np.int64)
+        norms = np.array([longest[p] for p in numbers.tolist()])
         for batch in batches:
             q = matrix(batch.column(1), dim)
             uid = batch.column(2).to_numpy()
@@ -159,13 +167,26 @@ def top_products(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str =
                 if s.shape[1] >= k:
                     floor[a : a + 256] = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k]
             norm = np.linalg.norm(q.astype(float), axis=1)
-            go = np.outer(norm, norms) * (1 + 1e-9) + 1e-6 >= floor[:, None]
-            r, p = np.nonzero(go)
-            take = pa.array(r)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), batch.column(2).take(take), pa.array(uid[r] % n_blocks, pa.int64()), pa.array(floor[r]), pa.array(part[p], pa.int32())], ["id", "v", "uid", "qb", "floor", "part"])
-
-    asked = sorted_rows.where(F.col("id") % every == 0).select("id", "v", "uid").mapInArrow(ask, "id long, v array<long>, uid long, qb long, floor double, part int")
-    given = sorted_rows.select("id", "v", "uid", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))).alias("qb"), "norm", "part")
+            # Lengths fall from part to part, so the parts that may matter are the first ones.
+            least = np.where(norm > 0, (floor - 1e-6) / np.maximum(norm, 1e-300) / (1 + 1e-9), np.where(floor > 0, np.inf, -np.inf))
+            count = np.searchsorted(-norms, -least, "right")
+            keep = count > 0
+            last = numbers[np.maximum(count - 1, 0)]
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep)) for c in batch.columns[:3]] + [pa.array(floor[keep]), pa.array(last[keep], pa.int32())], ["id", "v", "uid", "floor", "last"])
+
+    queries = sorted_rows.where(F.col("id") % every == 0).select("id", "v", "uid").mapInArrow(reach, "id long, v array<long>, uid long, floor double, last int")
+    found_reach = stored(queries, "queries")
+    # Blocks in order of falling reach, of about QUERY_ROWS queries; many of one reach are dealt over several blocks.
+    wide, at = [], 0.0
+    for r in found_reach.groupBy("last").agg(F.count("*").alias("n")).orderBy(F.col("last").desc()).collect():  # one row per part at most
+        wide.append((r["last"], int(at // QUERY_ROWS), max(1, -(-r.n // QUERY_ROWS))))
+        at = at + r.n if r.n < QUERY_ROWS else (at // QUERY_ROWS + wide[-1][2]) * QUERY_ROWS
+    dealt = F.broadcast(spark.createDataFrame(wide, "last int, first int, width int"))
+    asking = found_reach.join(dealt, "last").withColumn("qb", (F.col("first") + F.pmod(F.xxhash64("uid"), F.col("width"))).cast("int"))
+    lasts, ends = np.array([x[0] for x in wide], np.int64), np.maximum.accumulate(np.array([0, *(x[1] + x[2] for x in wide)], np.int64))
+    wanted = spark.createDataFrame([(p, int(ends[np.searchsorted(-lasts, -p, "right")])) for p in longest], "part int, n int")
+    asked = asking.select("id", "v", "uid", "floor", "qb", F.explode(F.sequence(F.lit(0), "last")).alias("part"))
+    given = sorted_rows.join(wanted.where("n > 0"), "part").select("id", "v", "uid", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("qb"), "norm", "part")
 
     def meet(a: pa.Table, b: pa.Table) -> pa.Table:
         rows: list[np.ndarray] = []
@@ -176,11 +197,15 @@ def top_products(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str =
             q_id, q_uid = a.column("id").to_numpy(), a.column("uid").to_numpy()
             rows = [np.column_stack((np.full(len(x), q_id[i]), np.full(len(x), q_uid[i]), x)) for i, x in enumerate(best.found) if len(x)]
         flat = np.concatenate(rows) if rows else np.zeros((0, 5), np.int64)
-        return pa.table({c: pa.array(flat[:, i], pa.int64()) for i, c in enumerate(("query_id", "query_uid", "score", "vec_id", "uid"))})
-
-    found = asked.groupBy("part", "qb").cogroup(given.groupBy("part", "qb")).applyInArrow(meet, "query_id long, query_uid long, score long, vec_id long, uid long")
-    w = Window.partitionBy("query_uid").orderBy(F.col("score").desc(), "vec_id", "uid")
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(*(c.split()[0] for c in out.split(", ")))
+        near = b.column("part")[0].as_py() // MERGED if b.num_rows else 0
+        return pa.table({c: pa.array(flat[:, i], pa.int64()) for i, c in enumerate(("query_id", "query_uid", "score", "vec_id", "uid"))} | {"near": pa.array(np.full(len(flat), near), pa.int32())})
+
+    found = asked.groupBy("part", "qb").cogroup(given.groupBy("part", "qb")).applyInArrow(meet, "query_id long, query_uid long, score long, vec_id long, uid long, near int")
+    best = [F.col("score").desc(), F.col("vec_id"), F.col("uid")]
+    # A query that reaches very many parts has its best of every MERGED of them chosen first.
+    for keys in (["query_uid", "near"], ["query_uid"]):
+        found = found.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*best))).where(F.col("rank") <= k)
+    return found.select(*(c.split()[0] for c in out.split(", ")))
 
 
 def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
