@@ -1,11 +1,12 @@
 """Secret scan with structural confirmation.
 
 Plain patterns give the base spans. Beyond them a candidate is reported only after it has been decoded and its inner
-structure parsed: ASN.1 key encodings whose nested lengths add up, length-prefixed SSH blobs, and signed tokens whose header
-is a JSON object that names an algorithm.
+structure parsed: ASN.1 encodings of private keys (certificates and public keys are none) whose nested lengths add up, SSH
+key blobs and private key files whose length-prefixed fields fill them, and signed tokens whose header is a JSON object that
+names an algorithm. Hex of either case and base64 in one line or many are decoded.
 
-Nulls and empty texts have no spans. Rows are independent, so repeated rows, ties and hot sources need no care; extra columns
-are ignored.
+Nulls and empty texts have no spans. Texts are scanned whole, however long. Rows are independent, so repeated rows, ties and
+hot sources need no care; other columns are ignored by the scan and kept as they are by `redact`. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -59,30 +60,78 @@ def der_lengths(data: bytes, at: int, end: int, depth: int = 0) -> int:
     return found
 
 
+def elements(data: bytes) -> list[tuple[int, bytes]]:
+    """Tags and contents of the elements in a run of ASN.1 that der_lengths has found sound."""
+    out, at = [], 0
+    while at < len(data):
+        tag, size = data[at], data[at + 1]
+        at += 2
+        if size & 0x80:
+            n = size & 0x7F
+            size, at = int.from_bytes(data[at : at + n], "big"), at + n
+        out.append((tag, data[at : at + size]))
+        at += size
+    return out
+
+
+INTEGER, OCTETS, OID, SEQUENCE = 0x02, 0x04, 0x06, 0x30
+
+
 def is_key(data: bytes) -> bool:
-    """One ASN.1 SEQUENCE that fills the data and starts with a version number or an algorithm SEQUENCE: a key encoding."""
-    return len(data) >= 16 and data[0] == 0x30 and (der_lengths(data, 0, len(data)) >= 3) and der_top(data) == 1
+    """One ASN.1 SEQUENCE that fills the data and holds a private key: a version, then an algorithm and octets, or octets, or
+    at least five further numbers; or, encrypted, an algorithm and octets."""
+    if len(data) < 16 or data[0] != SEQUENCE or der_lengths(data, 0, len(data)) < 3:
+        return False
+    top = elements(data)
+    if len(top) != 1:
+        return False
+    inner = elements(top[0][1])
+    tags = [tag for tag, _ in inner]
+    if tags[0] == INTEGER and len(inner[0][1]) == 1:
+        return tags[1:3] == [SEQUENCE, OCTETS] or tags[1:2] == [OCTETS] or (len(tags) >= 6 and set(tags[1:6]) == {INTEGER})
+    return tags == [SEQUENCE, OCTETS] and inner[0][1][:1] == bytes([OID])
+
+
+MAGIC = b"openssh-key-v1\0"
 
 
-def der_top(data: bytes) -> int:
-    size, at = data[1], 2
-    if size & 0x80:
-        n = size & 0x7F
-        size, at = int.from_bytes(data[2 : 2 + n], "big"), 2 + n
-    return int(at + size == len(data) and data[at] in (0x02, 0x30))
+def prefixed(data: bytes, at: int) -> int:
+    """End of the length-prefixed field at this place, -1 if it reaches beyond the data."""
+    end = at + 4 + int.from_bytes(data[at : at + 4], "big")
+    return end if at + 4 <= len(data) and end <= len(data) else -1
+
+
+def file_size(data: bytes) -> int:
+    """Bytes of the private key file that the data starts with: three names, a number of keys, each public key with fields of
+    its own, and the private part; -1 if its lengths don't fit."""
+    at = len(MAGIC)
+    for _ in range(3):
+        at = prefixed(data, at)
+        if at < 0:
+            return -1
+    n = int.from_bytes(data[at : at + 4], "big")
+    at += 4
+    if not 1 <= n <= 16:
+        return -1
+    for _ in range(n):
+        end = prefixed(data, at)
+        if end < 0 or not is_ssh(data[at + 4 : end]):
+            return -1
+        at = end
+    return prefixed(data, at)
 
 
 def is_ssh(data: bytes) -> bool:
-    """Length-prefixed fields that fill the data, the first a key type; or the header of a private key file."""
-    if data.startswith(b"openssh-key-v1\0"):
-        return True
+    """Length-prefixed fields that fill the data, the first a key type; or a whole private key file."""
+    if data.startswith(MAGIC):
+        return file_size(data) == len(data)
     at, names = 0, []
     while at + 4 <= len(data) and len(names) < 16:
-        n = int.from_bytes(data[at : at + 4], "big")
-        if at + 4 + n > len(data):
+        end = prefixed(data, at)
+        if end < 0:
             return False
-        names.append(data[at + 4 : at + 4 + n])
-        at += 4 + n
+        names.append(data[at + 4 : end])
+        at = end
     return at == len(data) and len(names) >= 2 and names[0].startswith((b"ssh-", b"ecdsa-"))
 
 
@@ -99,6 +148,9 @@ def key_sizes(head: bytes, data: Callable[[], bytes]) -> list[int]:
     if head[:1] == b"\x30" and len(head) == 12:
         n = head[1] & 0x7F if head[1] & 0x80 else 0
         return [2 + n + int.from_bytes(head[2 : 2 + n], "big") if n else 2 + head[1]] if n <= 4 else []
+    if MAGIC.startswith(head) and len(head) == 12:
+        size = file_size(data())
+        return [size] if size > 0 else []
     if not head[4:].startswith((b"ssh-", b"ecdsa-")):
         return []
     every, at, out = data(), 0, []
@@ -120,11 +172,7 @@ def keys_in_run(run: str) -> list[tuple[int, int, int]]:
     out, i = [], 0
     while i < len(lines):
         a, c, after = lines[i][0], at[i], i + 1
-        if run.startswith("b3BlbnNzaC1rZXktdjE", a):
-            if is_ssh(decoded(flat[c : c + 24])):
-                out.append((a, 4, len(run)))
-                break
-        elif run[a] in "MA":
+        if run[a] in "MAb":
             for size in key_sizes(decoded(flat[c : c + 16]), lambda c=c: decoded(flat[c : len(flat) - ((len(flat) - c) % 4 == 1)])):
                 last = where.get(c + (size * 4 + 2) // 3, -1)
                 if last >= i:
