@@ -2,13 +2,14 @@
 and a span classifier learns from the resulting posteriors.
 
 Plain patterns give the base spans, which always stay. Further candidates (identity numbers, account numbers, local phone
-numbers, titled or listed names) are shown to five labelers: format, checksum, gazetteer, context and neighbourhood, each
+numbers, names with a title or a listed first name) are shown to five labelers: format, checksum, gazetteer, context and neighbourhood, each
 voting for, against or not at all. Candidates of all documents are counted by kind, votes and shape; these counts, a bounded
 number of rows whatever the input, are all the EM and the classifier need. Spans with a probability of at least one half are
 added.
 
-Nulls and empty texts have no spans. Rows are independent but for the learned reliabilities. Without candidates nothing is
-added. Extra columns are ignored.
+Nulls and empty texts have no spans; texts are scanned whole, however long. Rows, repeated or not, are independent but for the
+learned reliabilities, to which each row counts. Without candidates nothing is added. Other columns are ignored. An empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,7 +26,6 @@ from .common import stored, table
 
 KINDS = ("email", "ip", "card", "phone", "ssn", "iban", "local", "name")
 LABELERS = 5
-_LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])([0-9]++)\.([0-9]++)\.([0-9]++)\.([0-9]++)")
@@ -36,6 +36,7 @@ _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,4})?(?![A-Za-z0-9])")
 _LOCAL_PHONE = re.compile(r"(?<![0-9+.-])(?:\([0-9]{2,5}\)\x20?|0[0-9]{1,4}[\x20/-])[0-9]{2,4}(?:[\x20-]?[0-9]{2,4}){1,3}(?![0-9])")
 _NAME = re.compile(r"\b(?:Mr|Mrs|Ms|Dr|Herr|Frau|Madame|Monsieur|Señor|Señora)\b\.?\x20[A-ZÀ-Þ][a-zà-ÿ]{1,20}(?:\x20[A-ZÀ-Þ][a-zà-ÿ]{1,20})?")
+_CAPITALS = re.compile(r"\b([A-Z][a-z]{2,10})(?=\x20([A-ZÀ-Þ][a-zà-ÿ]{1,20}))")
 #: Cue words by kind (gazetteer).
 CUES = {
     4: ("ssn", "social security", "identity number", "national id"),
@@ -96,11 +97,14 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
         found += [(4, m) for m in _SSN.finditer(text)]
     found += [(5, m) for m in _IBAN.finditer(text)]
     found += [(6, m) for m in _LOCAL_PHONE.finditer(text)]
-    found += [(7, m) for m in _NAME.finditer(text)]
+    found = [(k, m.start(), m.end()) for k, m in found]
+    titled = [m.span() for m in _NAME.finditer(text)]
+    listed_names = [(m.start(), m.end(2)) for m in _CAPITALS.finditer(text) if m.group(1).lower() in FIRST_NAMES]
+    found += [(7, a, b) for a, b in titled + [x for x in listed_names if not any(x[0] < q and p < x[1] for p, q in titled)]]
     taken = [(a, b) for _, a, b in base]
     out = []
-    for kind, m in found:
-        a, b, s = m.start(), m.end(), m.group()
+    for kind, a, b in found:
+        s = text[a:b]
         left = text[max(0, a - 48) : a].lower()
         digits = _NOT_DIGIT.sub("", s)
         votes = [0] * LABELERS
