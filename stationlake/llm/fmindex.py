@@ -4,9 +4,12 @@ A shard is a bounded run of documents inside one task. Words that no test phrase
 over them), the rest becomes a sequence of word numbers whose runs are kept apart. Its Burrows-Wheeler transform lies in a
 wavelet matrix; all windows of all test phrases are searched backward at once by ranks, found rows walk to the next sampled
 suffix position, and the positions become spans that are merged per document. Nothing is shuffled: the test phrases go to
-all tasks in blocks of BLOCK_BYTES, each block a further pass over the rows in the same plan.
+all tasks in blocks of BLOCK_BYTES, of which the driver and a task hold one at a time: after each block but the last the rows
+with what was found so far are stored, so a larger benchmark costs passes, not memory.
 
-Nulls and texts without words have no hits. Repeated items count once by id; rows are independent of each other.
+Nulls and texts without words have no hits; items without words have no windows. Repeated items count once by id; rows,
+repeated or not, are independent of each other. A long text is a shard of its own. Other columns stay as they are, whatever
+their names. An empty table gives no rows, an empty benchmark no hits. Words are compared by hashes of 64 bits.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, table, text_bytes
+from .common import blocks, fresh, stored, table, text_bytes
 from .textkit import ALNUM_WORDS, Words, row_blocks, text_buffer, words_of
 
 WINDOW = 10
@@ -206,11 +209,10 @@ def cuts(run: np.ndarray, most: int):
 
 
 def phrase_blocks(benchmark: DataFrame, item: str = "item_id", text: str = "text", most: int = BLOCK_BYTES):
-    """Test phrases in blocks of about `most` bytes, one after the other."""
+    """Number of blocks of about `most` bytes, and the test phrases of each, one after the other."""
     rows = benchmark.select(F.coalesce(F.col(item).cast("string"), F.lit("")).alias("item"), F.coalesce(F.col(text), F.lit("")).alias("text")).distinct()
     n = blocks(text_bytes(rows), most)
-    for k in range(n):
-        yield [(r.item, r.text) for r in (rows if n == 1 else rows.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k)).collect()]
+    return n, ([(r.item, r.text) for r in (rows if n == 1 else rows.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k)).collect()] for k in range(n))
 
 
 def _merged(batch: pa.RecordBatch, at: int, kept: int, phrases: Phrases) -> pa.RecordBatch:
@@ -263,28 +265,36 @@ def _cut(batch: pa.RecordBatch, at: int, kept: int) -> pa.RecordBatch:
 
 
 def mark(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int = WINDOW, cut: bool = False) -> DataFrame:
-    """docs with columns __spans (hit words as flat byte offsets of the UTF-8 text, merged), __n_words, __n_hit and __items.
+    """docs with four more columns: spans (hit words as flat byte offsets of the UTF-8 text, merged), numbers of words and of
+    hit words, and items; named __spans, __n_words, __n_hit and __items, or so that no column of docs is hidden.
 
     cut: instead, docs with the merged spans cut out of `text`, by the last block's pass."""
-    out = docs.withColumns({"__spans": F.array().cast("array<int>"), "__n_words": F.lit(0).cast("long"), "__n_hit": F.lit(0).cast("long"), "__items": F.array().cast("array<string>")})
+    names = fresh(docs, "__spans", "__n_words", "__n_hit", "__items")
+    kinds = ("array<int>", "long", "long", "array<string>")
+    out = docs.select("*", *((F.array() if k.startswith("array") else F.lit(0)).cast(k).alias(c) for c, k in zip(names, kinds)))
     at, kept = docs.columns.index(text), len(docs.columns)
-    sent = [docs.sparkSession.sparkContext.broadcast(Phrases(block, window)) for block in phrase_blocks(benchmark)]
-    for i, block in enumerate(sent):
-        last = cut and i == len(sent) - 1
+    n, blocks_of = phrase_blocks(benchmark)
+    for i, block in enumerate(blocks_of):
+        last = i == n - 1
+        sent = docs.sparkSession.sparkContext.broadcast(Phrases(block, window))
 
-        def run(batches, block=block, last=last):
+        def run(batches, sent=sent, finish=cut and last):
             for batch in batches:
-                found = _merged(batch, at, kept, block.value)
-                yield _cut(found, at, kept) if last else found
+                found = _merged(batch, at, kept, sent.value)
+                yield _cut(found, at, kept) if finish else found
 
-        out = out.mapInArrow(run, docs.schema if last else out.schema)
+        out = out.mapInArrow(run, docs.schema if cut and last else out.schema)
+        if not last:
+            out = stored(out, "marked")
+            sent.unpersist()
     return out
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
     """Per document: numbers of words, of hit words and of items found, their digest, and whether any word is hit."""
     found = mark(docs.select(id_col, text), benchmark, text, window)
-    return found.select(id_col, F.col("__n_words").alias("n_words"), F.col("__n_hit").alias("n_hit"), F.size("__items").cast("long").alias("n_items"), F.sha2(F.array_join("__items", ","), 256).alias("items_sha256"), (F.col("__n_hit") > 0).alias("contaminated"))
+    _, words, hit, items = (F.col(c) for c in found.columns[2:])
+    return found.select(id_col, words.alias("n_words"), hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), (hit > 0).alias("contaminated"))
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int = WINDOW) -> DataFrame:
