@@ -308,8 +308,9 @@ def encoded(docs: DataFrame, text: str = "text", path: str | None = None) -> Dat
     return src.mapInArrow(run, T.StructType([*src.schema.fields, T.StructField("ids", T.BinaryType()), T.StructField("n_tokens", T.LongType())]))
 
 
-def round_trip(docs: DataFrame, text: str = "text", id_col: str = "doc_id", path: str | None = None, part: int = 65536) -> DataFrame:
-    """Per document: its number of tokens, digests of its ids and of the text decoded from them, and whether that is the text."""
+def round_trip(docs: DataFrame, text: str = "text", id_col: str = "doc_id", path: str | None = None, part: int = 65536, keep_ids: bool = False) -> DataFrame:
+    """Per document: its number of tokens, digests of its ids and of the text decoded from them, and whether that is the text;
+    with keep_ids also the ids as little-endian 16-bit integers."""
     path = path or default_path()
     src = docs.select(F.col(id_col), F.col(text).alias("__text"))
 
@@ -317,7 +318,7 @@ def round_trip(docs: DataFrame, text: str = "text", id_col: str = "doc_id", path
         enc = encoder(path)
         dec = Decoder(enc.m)
         for batch in batches:
-            n, a, b = [], [], []
+            n, a, b, kept = [], [], [], []
             for flat, sizes in enc.column(batch.column(1)):
                 end = 0
                 for size in sizes.tolist():
@@ -329,13 +330,16 @@ def round_trip(docs: DataFrame, text: str = "text", id_col: str = "doc_id", path
                         digest.update(dec.feed(some.tolist()).encode())
                     digest.update(dec.finish().encode())
                     n.append(size)
+                    kept.append(ids.tobytes() if keep_ids else b"")
                     a.append(sha.hexdigest())
                     b.append(digest.hexdigest())
             same = [hashlib.sha256((x or "").encode()).hexdigest() == y for x, y in zip(batch.column(1).to_pylist(), b)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array(same, pa.bool_())], [id_col, "n_tokens", "ids_sha256", "decoded_sha256", "exact"])
+            columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array(same, pa.bool_()), pa.array(kept, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns if keep_ids else columns[:5], names)
 
     kind = src.schema[id_col].dataType.simpleString()
-    return src.mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, exact boolean")
+    names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256", "exact", *(["ids"] if keep_ids else [])]
+    return src.mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, exact boolean" + (", ids binary" if keep_ids else ""))
 
 
 def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -90,12 +90,16 @@ def feature_lists(texts: pa.Array) -> list[np.ndarray]:
     return out
 
 
-def exchanged(features: np.ndarray, group: np.ndarray) -> np.ndarray:
-    """Features with each identity term's exchanged for another one's; one is added where there are none."""
+def change(own: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Features that only the first has, and only the second."""
+    return np.setdiff1d(own, other), np.setdiff1d(other, own)
+
+
+def exchanged(features: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Features of identity terms and those that take their place; one is added where there are none."""
     own = np.intersect1d(features, group)
     shift = 1 + (len(features) * 7919 + int(features.sum() if len(features) else 0)) % (len(group) - 1)
-    new = group[(np.searchsorted(group, own) + shift) % len(group)] if len(own) else group[[shift]]
-    return np.union1d(np.setdiff1d(features, own), new)
+    return own, group[(np.searchsorted(group, own) + shift) % len(group)] if len(own) else group[[shift]]
 
 
 class Toxicity:
@@ -105,40 +109,42 @@ class Toxicity:
         self.weights, self.bias = weights, bias
 
     @classmethod
-    def fit(cls, rows: list[tuple[np.ndarray, int]], others: list[np.ndarray] | None = None, penalty: float = 20.0, ridge: float = 0.3, rounds: int = 400) -> Toxicity:
-        """rows: features of a text and its label; others: features of each counterfactual text. Without these, features of
-        identity terms are exchanged for other ones."""
+    def fit(cls, rows: list[tuple[np.ndarray, int]], changes: list[tuple[np.ndarray, np.ndarray]] | None = None, penalty: float = 20.0, ridge: float = 0.3, rounds: int = 400) -> Toxicity:
+        """rows: features of a text and its label; changes: features that its counterfactual text lacks, and that it has
+        besides. Without these, features of identity terms are exchanged for other ones."""
         dim = 1 << SPACE
-        group = np.unique((hash_words(IDENTITY) >> np.uint64(64 - SPACE)).astype(np.int64))
-        others = [exchanged(x, group) for x, _ in rows] if others is None else others
         y = np.array([r[1] for r in rows], float)
         if not len(y) or y.min() == y.max():
             return cls(np.zeros(dim, np.float32), 0.0)
         n, share = len(y), y.mean()
+        group = np.unique((hash_words(IDENTITY) >> np.uint64(64 - SPACE)).astype(np.int64))
+        changes = [exchanged(x, group) for x, _ in rows] if changes is None else changes
 
         def flat(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-            return np.repeat(np.arange(n), [len(x) for x in lists]), np.concatenate(lists)
+            return np.repeat(np.arange(n, dtype=np.int32), [len(x) for x in lists]), np.concatenate([np.zeros(0, np.int32), *lists])
 
-        (row, feat), (other_row, other_feat) = flat([x for x, _ in rows]), flat(others)
+        row, feat = flat([x for x, _ in rows])
         total = np.bincount(feat, minlength=dim)
-        pos = np.bincount(feat, y[row], minlength=dim)
+        often = np.flatnonzero(total >= 4)
+        total, pos = total[often], np.bincount(feat, y[row], minlength=dim)[often]
         z = (pos - total * share) / np.sqrt(total * share * (1 - share) + 1)
         # Features that a swap changes are all in the model, so nothing that it changes escapes the penalty.
-        keep = np.union1d(np.flatnonzero((total >= 4) & (z >= 3.5)), group)
+        keep = np.union1d(often[z >= 3.5], group)
 
         def kept(r: np.ndarray, f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             at = np.minimum(np.searchsorted(keep, f), len(keep) - 1)
             use = keep[at] == f
             return r[use], at[use]
 
-        (row, col), (other_row, other_col) = kept(row, feat), kept(other_row, other_feat)
+        row, col = kept(row, feat)
+        (gone_row, gone), (new_row, new) = (kept(*flat([c[i] for c in changes])) for i in (0, 1))
         w, b = np.zeros(len(keep)), float(np.log(share / (1 - share)))
         g2, b2 = np.full(len(keep), 1e-8), 1e-8
         for _ in range(rounds):
-            own = np.bincount(row, w[col], minlength=n)
-            change = np.bincount(other_row, w[other_col], minlength=n) - own
-            p = 1 / (1 + np.exp(-np.clip(own + b, -30, 30)))
-            grad = np.bincount(col, (p - y - penalty * change)[row], minlength=len(keep)) + np.bincount(other_col, (penalty * change)[other_row], minlength=len(keep)) + ridge * w
+            p = 1 / (1 + np.exp(-np.clip(np.bincount(row, w[col], minlength=n) + b, -30, 30)))
+            moved = np.bincount(new_row, w[new], minlength=n) - np.bincount(gone_row, w[gone], minlength=n)
+            grad = np.bincount(col, (p - y)[row], minlength=len(keep)) + ridge * w
+            grad += penalty * (np.bincount(new, moved[new_row], minlength=len(keep)) - np.bincount(gone, moved[gone_row], minlength=len(keep)))
             g2 += grad**2
             w -= 0.3 * grad / np.sqrt(g2)
             gb = (p - y).sum()
@@ -158,14 +164,15 @@ class Toxicity:
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", sample: int = SAMPLE, penalty: float = 20.0) -> Toxicity:
     def run(batches):
-        packed = lambda texts: pa.array([x.astype("<i4").tobytes() for x in feature_lists(texts)], pa.binary())
+        packed = lambda lists: pa.array([x.astype("<i4").tobytes() for x in lists], pa.binary())
         for batch in batches:
-            other = pa.array([swapped(t) for t in batch.column(0).to_pylist()], pa.string())
-            yield pa.RecordBatch.from_arrays([packed(batch.column(0)), packed(other), *batch.columns[1:]], ["x", "other", "y", "id", "h"])
+            own = feature_lists(batch.column(0))
+            changes = [change(a, b) for a, b in zip(own, feature_lists(pa.array([swapped(t) for t in batch.column(0).to_pylist()], pa.string())))]
+            yield pa.RecordBatch.from_arrays([packed(own), packed([c[0] for c in changes]), packed([c[1] for c in changes]), *batch.columns[1:]], ["x", "gone", "new", "y", "id", "h"])
 
-    rows = gathered(labelled(docs, labels, "toxic", id_col, text, sample).mapInArrow(run, "x binary, other binary, y int, id string, h long"), sample)
-    lists = [[np.frombuffer(x, "<i4").astype(np.int64) for x in c.to_pylist()] for c in rows.columns[:2]]
-    return Toxicity.fit(list(zip(lists[0], rows.column(2).to_pylist())), lists[1], penalty)
+    rows = gathered(labelled(docs, labels, "toxic", id_col, text, sample).mapInArrow(run, "x binary, gone binary, new binary, y int, id string, h long"), sample)
+    own, gone, new = ([np.frombuffer(v.as_buffer(), "<i4") for chunk in rows.column(i).chunks for v in chunk] for i in range(3))  # views, not copies
+    return Toxicity.fit(list(zip(own, rows.column(3).to_pylist())), list(zip(gone, new)), penalty)
 
 
 # --- quality ---------------------------------------------------------------------------------------------------------
