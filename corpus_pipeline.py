@@ -1,8 +1,13 @@
 """The corpus pipeline: five stages over `documents`, each written as Parquet and read again by the next.
 
 Toxic documents go; one document of each near-duplicate class stays; passages of the benchmark and confirmed secrets are
-cut out of the texts that stay; the last stage encodes them. Every stage keeps clean documents as they are. n_chars follows
-the text that a stage has changed.
+cut out of the texts that stay; the last stage encodes them and returns their ids. Every stage keeps clean documents as they
+are. n_chars follows the text that a stage has changed.
+
+Null and empty texts pass all stages: they have no features, no copies (each is its own class), no passages and no secrets,
+and encode to no ids. Long texts are worked on whole. Of repeated rows, equal in id and text, one stays. Null ids are ids like
+others. Other columns, whatever their names, pass all stages but the last; an empty table gives no rows, and empty `labels`
+or `benchmark` reject and cut nothing.
 """
 
 from __future__ import annotations
@@ -12,7 +17,7 @@ from pyspark.sql import functions as F
 
 from stationlake.llm.bpe import round_trip
 from stationlake.llm.classify import fit_toxicity, scored
-from stationlake.llm.common import shared_folder, table
+from stationlake.llm.common import fresh, shared_folder, table
 from stationlake.llm.fmindex import remove_spans
 from stationlake.llm.neardup import drop_near_duplicates
 from stationlake.llm.secrets import redact
@@ -25,7 +30,8 @@ def _sized(new: DataFrame) -> DataFrame:
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the counterfactually regularised classifier does not reject."""
     model = fit_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return scored(docs, model, "__score").where("__score < 0.5").drop("__score")
+    (name,) = fresh(docs, "__score")
+    return scored(docs, model, name).where((F.col(name) < 0.5) | F.lit(not model.weights.any())).drop(name)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,13 +50,13 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Digests of each document's ids and of the text decoded from them."""
-    return round_trip(docs)
+    """Each document's ids, their digest and that of the text decoded from them, and whether that is the text."""
+    return round_trip(docs, keep_ids=True)
 
 
 STAGES = [("toxicity", toxicity), ("near duplicates", near_duplicates), ("decontamination", decontamination), ("secrets", secrets), ("tokens", tokens)]
 
-#: Classifier, sketches and tokeniser have no SQL form; the tests hold each stage against brute force.
+#: Classifier, sketches and tokeniser have no SQL form; the tests hold each stage against a brute-force version.
 ORACLE_SQL = None
 
 
