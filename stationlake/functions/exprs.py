@@ -19,6 +19,32 @@ def haversine_m(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colum
     return F.lit(2 * EARTH_M) * F.atan2(F.sqrt(a), F.sqrt(F.lit(1.0) - a))
 
 
+def unit_xyz(lat: Column, lon: Column) -> Column:
+    """Place on the unit sphere as struct (x, y, z)."""
+    la, lo = F.radians(lat), F.radians(lon)
+    return F.struct((F.cos(la) * F.cos(lo)).alias("x"), (F.cos(la) * F.sin(lo)).alias("y"), F.sin(la).alias("z"))
+
+
+def arc_m(chord: Column) -> Column:
+    """Great-circle metres of a chord of the unit sphere."""
+    return F.lit(2 * EARTH_M) * F.asin(F.least(chord / 2, F.lit(1.0)))
+
+
+def chord_of(metres: Column) -> Column:
+    """Chord of the unit sphere for great-circle metres, half the circumference at most."""
+    return 2 * F.sin(F.least(metres / (2 * EARTH_M), F.lit(math.pi / 2)))
+
+
+def project_metres(lat: Column, lon: Column, mid_lat: Column) -> tuple[Column, Column]:
+    """Equirectangular metres (x, y) about a latitude."""
+    return F.radians(lon) * EARTH_M * F.cos(F.radians(mid_lat)), F.radians(lat) * EARTH_M
+
+
+def numeric(df, name: str) -> Column:
+    """A column as number; NULL where it can't be read as one, or isn't there."""
+    return F.col(name).try_cast("double") if name in df.columns else F.lit(None).cast("double")
+
+
 def occupancy(bikes: Column, docks: Column) -> Column:
     return F.when(bikes + docks > 0, bikes / (bikes + docks))
 
@@ -70,10 +96,11 @@ def parse_timestamp(v: Column) -> Column:
 
 
 def wilson_interval(successes: Column, n: Column, z: float = 1.959963984540054) -> tuple[Column, Column]:
-    p = successes / F.nullif(n, F.lit(0))
+    n = F.nullif(n, F.lit(0))
+    p = successes / n
     mid, width = p + z * z / (2 * n), z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))
     scale = 1 + z * z / n
-    return F.greatest((mid - width) / scale, F.lit(0.0)), F.least((mid + width) / scale, F.lit(1.0))
+    return F.when(n.isNotNull(), F.greatest((mid - width) / scale, F.lit(0.0))), F.when(n.isNotNull(), F.least((mid + width) / scale, F.lit(1.0)))
 
 
 def safe_corr(x: Column, y: Column) -> Column:

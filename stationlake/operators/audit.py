@@ -17,6 +17,9 @@ FLAGS = ("A1", "A2", "A3", "A4", "A5", "A6", "A7")
 NAMES = ("carsharing", "constant_capacity", "free_floating", "spatial_outlier", "oversized_area", "zero_capacity", "missing_capacity")
 
 
+#: Thresholds in the signatures below are fixed values.
+
+
 def docked() -> Column:
     return (F.col("station_type") == "docked_bike") & ~F.coalesce(F.col("is_virtual_station"), F.lit(False))
 

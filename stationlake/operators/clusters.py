@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.clustering import GaussianMixture, KMeans, PowerIterationClustering
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import VectorAssembler
@@ -9,9 +11,11 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.exprs import EARTH_M
 from ..plans.components import components
 from ..plans.rewrites import range_join
 from . import graph
+from .graph import MAX_NODES
 from .spatial import core_points
 
 
@@ -39,15 +43,18 @@ def cluster_spectral(info: DataFrame, *, k: int, n_neighbors: int = 10, max_iter
 
 
 def cluster_profiles(profiles: DataFrame, *, k: int | None = None, method: str = "kmeans", normalize: bool = True, k_range: tuple[int, int] = (2, 8), seed: int = 42) -> DataFrame:
-    """profiles (columns h00 and so on) with `cluster`, and `confidence` for "gmm". Rows are scaled to mean 0 and deviation 1;
+    """profiles (columns h00 and so on, or wd_h00, we_h00) with `cluster`, and `confidence` for "gmm"; "dtw" compares courses by
+    dynamic time warping around medoids, in one task with MAX_NODES rows at most. Rows are scaled to mean 0 and deviation 1;
     a flat one becomes zeros. Without k the silhouette decides among k_range."""
-    if method not in ("kmeans", "gmm"):
+    if method not in ("kmeans", "gmm", "dtw"):
         raise ValueError(f"unknown method {method!r}")
-    hours = [c for c in profiles.columns if c.startswith("h") and c[1:].isdigit()]
+    hours = [c for c in profiles.columns if c.removeprefix("wd_").removeprefix("we_")[:1] == "h" and c[-2:].isdigit()]
     row = F.array(*hours)
     mean = F.aggregate(row, F.lit(0.0), lambda a, x: a + x) / len(hours)
     src = profiles.withColumn("__m", mean).withColumn("__s", F.sqrt(F.aggregate(row, F.lit(0.0), lambda a, x: a + F.pow(x - F.col("__m"), 2)) / len(hours)))
     cols = {f"__{h}": F.coalesce((F.col(h) - F.col("__m")) / F.nullif("__s", F.lit(0.0)), F.lit(0.0)) if normalize else F.col(h) for h in hours}
+    if method == "dtw":
+        return warped_clusters(src.withColumns(cols).drop("__m", "__s"), list(cols), k, k_range)
     data = VectorAssembler(inputCols=list(cols), outputCol="__x").transform(src.withColumns(cols)).drop("__m", "__s", *cols).persist()
     try:
         n = data.limit(k_range[1] + 1).count()
@@ -75,3 +82,181 @@ def cluster_sizes(clustered: DataFrame) -> DataFrame:
     """Clusters by size, the largest first in `rank`; ties by name."""
     n = clustered.where("cluster is not null").groupBy("cluster").agg(F.count("*").alias("n"))
     return n.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "cluster")))
+
+
+def warped(x: np.ndarray) -> np.ndarray:
+    """All pairs' dynamic-time-warping distances of equally long rows; the table of steps is filled for all pairs at once."""
+    n, m = x.shape
+    before = np.full((m + 1, n, n), np.inf)
+    before[0] = 0
+    for i in range(m):
+        now = np.full((m + 1, n, n), np.inf)
+        for j in range(m):
+            now[j + 1] = (x[:, i, None] - x[None, :, j]) ** 2 + np.minimum(np.minimum(before[j], before[j + 1]), now[j])
+        before = now
+    return np.sqrt(before[m])
+
+
+def medoids(d: np.ndarray, k: int, rounds: int = 50) -> tuple[np.ndarray, float]:
+    """Labels around k medoids, chosen one by one where they help most and then moved, and the total distance."""
+    chosen = [int(d.sum(0).argmin())]
+    while len(chosen) < k:
+        near = d[:, chosen].min(1)
+        gain = np.maximum(near[:, None] - d, 0).sum(0)
+        gain[chosen] = -1
+        chosen.append(int(gain.argmax()))
+    for _ in range(rounds):
+        label = d[:, chosen].argmin(1)
+        label[chosen] = np.arange(k)
+        moved = [int(own[d[np.ix_(own, own)].sum(0).argmin()]) for own in (np.flatnonzero(label == c) for c in range(k))]
+        if moved == chosen:
+            break
+        chosen = moved
+    label = d[:, chosen].argmin(1)
+    label[chosen] = np.arange(k)
+    return label, float(d[np.arange(len(d)), np.array(chosen)[label]].sum())
+
+
+def silhouette(d: np.ndarray, label: np.ndarray) -> float:
+    groups = np.unique(label)
+    if len(groups) < 2:
+        return -1.0
+    mean = np.stack([d[:, label == g].sum(1) / max(1, (label == g).sum()) for g in groups], 1)
+    size = np.array([(label == g).sum() for g in groups])[np.searchsorted(groups, label)]
+    at = np.searchsorted(groups, label)
+    own = mean[np.arange(len(d)), at] * size / np.maximum(size - 1, 1)
+    mean[np.arange(len(d)), at] = np.inf
+    other = mean.min(1)
+    return float(np.where(size > 1, (other - own) / np.maximum(np.maximum(own, other), 1e-300), 0).mean())
+
+
+def warped_clusters(scaled: DataFrame, columns: list[str], k: int | None, k_range: tuple[int, int]) -> DataFrame:
+    out = scaled.drop(*columns)
+    names = list(out.columns)
+    keys = [c for c in ("system_id", "station_id") if c in names]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        if len(pdf) > MAX_NODES:
+            raise ValueError(f"{len(pdf)} courses; time warping takes {MAX_NODES} at most")
+        pdf = pdf.sort_values(keys, ignore_index=True)
+        label = np.zeros(len(pdf), int)
+        if len(pdf) > 1:
+            d = warped(pdf[columns].to_numpy(float))
+            tries = [min(k, len(pdf))] if k else range(k_range[0], max(k_range[0], min(k_range[1], len(pdf) - 1)) + 1)
+            label = max((medoids(d, c)[0] for c in tries if c <= len(pdf)), key=lambda x: silhouette(d, x))
+        return pdf[names].assign(cluster=label)
+
+    from pyspark.sql import types as T
+
+    return scaled.groupBy().applyInPandas(run, T.StructType([*out.schema.fields, T.StructField("cluster", T.IntegerType())]))
+
+
+def hierarchy_labels(d: np.ndarray, least: int) -> np.ndarray:
+    """Density hierarchy clusters of a distance matrix, -1: noise. Points join in order of mutual reachability (the larger of
+    both distances to the `least`-th nearest, oneself counted, and of their own); of the tree of groups with `least` points or
+    more, those that last longest are chosen, the whole not among them."""
+    n = len(d)
+    if n < max(2, least):
+        return np.full(n, -1)
+    core = np.partition(d, min(least, n) - 1, axis=1)[:, min(least, n) - 1]
+    reach = np.maximum(d, np.maximum(core[:, None], core))
+    # Minimum spanning tree, a point at a time.
+    joined, best, link = np.zeros(n, bool), np.full(n, np.inf), np.zeros(n, int)
+    edges, at = [], 0
+    for _ in range(n - 1):
+        joined[at] = True
+        closer = ~joined & (reach[at] < best)
+        best[closer], link[closer] = reach[at][closer], at
+        at = int(np.where(joined, np.inf, best).argmin())
+        edges.append((float(best[at]), int(link[at]), at))
+    # Tree of joins: node n + i comes from the i-th shortest edge.
+    top, kids, high, size = list(range(n)), {}, {}, [1] * n
+
+    def root(x: int) -> int:
+        while top[x] != x:
+            top[x] = top[top[x]]
+            x = top[x]
+        return x
+
+    for w, a, b in sorted(edges):
+        a, b = root(a), root(b)
+        new = len(top)
+        top.append(new)
+        top[a] = top[b] = new
+        kids[new], high[new] = (a, b), 1 / max(w, 1e-9)
+        size.append(size[a] + size[b])
+
+    def leaves(x: int) -> list[int]:
+        out, todo = [], [x]
+        while todo:
+            y = todo.pop()
+            if y < n:
+                out.append(y)
+            else:
+                todo += kids[y]
+        return out
+
+    # Groups: born where a parent splits into two that are large enough; points that leave count until they do.
+    born, lasting, inner, points = [0.0], [0.0], [[]], [[]]
+    todo = [(len(top) - 1, 0)]
+    while todo:
+        node, group = todo.pop()
+        while node >= n:
+            a, b = kids[node]
+            density = high[node]
+            if size[a] >= least and size[b] >= least:
+                lasting[group] += (density - born[group]) * size[node]
+                for child in (a, b):
+                    born.append(density)
+                    lasting.append(0.0)
+                    inner.append([])
+                    points.append([])
+                    inner[group].append(len(born) - 1)
+                    todo.append((child, len(born) - 1))
+                break
+            for child in (a, b):
+                if size[child] < least:
+                    gone = leaves(child)
+                    points[group] += gone
+                    lasting[group] += (density - born[group]) * len(gone)
+            big = [c for c in (a, b) if size[c] >= least]
+            if not big:
+                break
+            node = big[0]
+    chosen = [True] * len(born)
+    for g in range(len(born) - 1, -1, -1):  # children have larger numbers
+        below = sum(lasting[c] for c in inner[g])
+        if inner[g] and (below > lasting[g] or g == 0):
+            chosen[g] = False
+            lasting[g] = below
+    chosen[0] = False
+    label, number = np.full(n, -1), 0
+    todo_groups = [(0, -1)]
+    while todo_groups:
+        g, own = todo_groups.pop()
+        if own < 0 and chosen[g]:
+            own, number = number, number + 1
+        label[points[g]] = own
+        todo_groups += [(c, own) for c in inner[g]]
+    return label
+
+
+def cluster_hierarchy(info: DataFrame, *, min_cluster_size: int = 3, by: tuple[str, ...] = ("system_id",)) -> DataFrame:
+    """(by, station_id, cluster): density hierarchy clusters of each inventory, a task each with MAX_NODES stations at most;
+    -1: noise, and stations without a place. Numbers follow the stations' order."""
+    kinds = "".join(f"`{c}` {info.schema[c].dataType.simpleString()}, " for c in by)
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("station_id", ignore_index=True)
+        at = np.flatnonzero(pdf[["lat", "lon"]].notna().all(axis=1))
+        if len(at) > MAX_NODES:
+            raise ValueError(f"{len(at)} stations; a hierarchy takes {MAX_NODES} at most")
+        la, lo = (np.radians(pdf[c].to_numpy(float)[at]) for c in ("lat", "lon"))
+        a = np.sin((la[:, None] - la) / 2) ** 2 + np.cos(la)[:, None] * np.cos(la) * np.sin((lo[:, None] - lo) / 2) ** 2
+        found = hierarchy_labels(2 * EARTH_M * np.arcsin(np.sqrt(np.clip(a, 0, 1))), min_cluster_size)
+        order = {c: i for i, c in enumerate(dict.fromkeys(x for x in found.tolist() if x >= 0))}
+        label = np.full(len(pdf), -1)
+        label[at] = [order.get(x, -1) for x in found.tolist()]
+        return pd.DataFrame({**dict(zip(by, key)), "station_id": pdf["station_id"], "cluster": label})
+
+    return info.select(*by, "station_id", "lat", "lon").groupBy(*by).applyInPandas(run, f"{kinds}station_id string, cluster int")

@@ -22,7 +22,7 @@ def _matrix(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     x[row, col] = pdf["z"].to_numpy()
     block = np.zeros(len(names), np.int64)
     block[col] = pdf["blk"].to_numpy()
-    return names, block, x
+    return np.array(names.tolist(), object), block, x
 
 
 def _sides(names: np.ndarray, block: np.ndarray, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -92,12 +92,12 @@ def pair_correlations(bins: DataFrame, method: str = "pearson", min_overlap: int
             if both.sum() >= min_overlap:
                 out.append((names[a[i]], names[b[j]], _rank_correlation(x[both, a[i]], x[both, b[j]], method), int(both.sum())))
         p, q, corr, n = zip(*out) if out else ((),) * 4
-        return pd.DataFrame({**{c: [k] * len(p) for c, k in zip(by, key)}, "p": list(p), "q": list(q), "corr": np.array(corr, float), "n": np.array(n, np.int64)})
+        return pd.DataFrame({**{c: np.array([k] * len(p), object) for c, k in zip(by, key)}, "p": np.array(p, object), "q": np.array(q, object), "corr": np.array(corr, float), "n": np.array(n, np.int64)})
 
     groups = rows.groupBy(*by, "chunk", "lo", "hi")
     first, second = F.least("p", "q").alias("station_a"), F.greatest("p", "q").alias("station_b")
     if method != "pearson":
-        return groups.applyInPandas(ranks, f"{kinds}p string, q string, corr double, n long").where("not isnan(corr)").select(*by, first, second, "corr", F.col("n").alias("n_overlap"))
+        return groups.applyInPandas(ranks, f"{kinds}p string, q string, corr double, n long").where("corr is not null and not isnan(corr)").select(*by, first, second, "corr", F.col("n").alias("n_overlap"))
     part = groups.applyInPandas(sums, f"{kinds}p string, q string, n double, sx double, sy double, xx double, yy double, xy double")
     t = part.groupBy(*by, "p", "q").agg(*(F.sum(c).alias(c) for c in ("n", "sx", "sy", "xx", "yy", "xy"))).where(F.col("n") >= min_overlap)
     spread = lambda s, sq: F.when(F.col("n") * F.col(sq) - F.col(s) * F.col(s) > 1e-12 * F.col("n") * F.col(sq), F.col("n") * F.col(sq) - F.col(s) * F.col(s))

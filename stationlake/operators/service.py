@@ -65,7 +65,8 @@ def diurnal_profiles(panel: DataFrame, *, min_obs: int = 12, split_weekday: bool
 
 
 def diurnal_typology(profiles: DataFrame, *, amplitude: float = 0.15) -> DataFrame:
-    """profiles with `typology`: the first rule that fits the means of night, morning, midday, evening and day."""
+    """profiles with `typology`: the first rule that fits the means of night, morning, midday, evening and day. Order, hours
+    and limits of the rules are fixed values."""
     mean = lambda a, b: sum((F.col(f"h{h:02d}") for h in range(a, b)), F.lit(0.0)) / (b - a)
     night, morning, midday, evening, day = mean(0, 5), mean(7, 11), mean(11, 16), mean(17, 21), mean(0, 24)
     rise, fall, bulge = morning - night, evening - midday, midday - (night + evening) / 2

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import EARTH_M, decay_weight, haversine_m
+from ..functions.exprs import EARTH_M, decay_weight, haversine_m, project_metres
 from ..plans.rewrites import knn, range_join
 from .flow import TIME
 from .inequality import normal_sf
@@ -77,13 +77,19 @@ def two_step_fca(info: DataFrame, demand: DataFrame, *, max_distance_m: float =
     return demand.join(score, "demand_id", "left").withColumn("accessibility", F.coalesce("accessibility", F.lit(0.0)))
 
 
+def places(info: DataFrame) -> DataFrame:
+    """Distinct coordinates with the number of stations there; many feeds give all stations without a place the same one."""
+    return info.where("lat is not null and lon is not null").groupBy("lat", "lon").agg(F.count("*").alias("n"))
+
+
 def ripley_k(info: DataFrame, radii: list[float], *, area_km2: float) -> DataFrame:
-    """K and L of each radius from one pair join at the largest; no edge correction."""
-    pts = info.select("station_id", "lat", "lon")
-    pairs = range_join(pts, pts, max(radii)).where("a_station_id < b_station_id")
-    n = pts.where("lat is not null and lon is not null").agg(F.count("*").alias("n"))
-    counts = pairs.agg(*(F.count_if(F.col("distance_m") <= r).alias(f"c{i}") for i, r in enumerate(radii))).join(F.broadcast(n))
-    rows = counts.select("n", F.explode(F.array(*(F.struct(F.lit(float(r)).alias("radius_m"), F.col(f"c{i}").alias("pairs")) for i, r in enumerate(radii)))).alias("r")).select("n", "r.*")
+    """K and L of each radius from one join of places at the largest; no edge correction. Pairs at one place are counted
+    without making them."""
+    p = places(info)
+    pairs = range_join(p, p, max(radii)).where(F.struct("a_lat", "a_lon") < F.struct("b_lat", "b_lon"))
+    own = p.agg(F.sum("n").alias("n"), F.coalesce(F.sum(F.col("n") * (F.col("n") - 1) / 2), F.lit(0)).cast("long").alias("same"))
+    counts = pairs.agg(*(F.coalesce(F.sum(F.when(F.col("distance_m") <= r, F.col("a_n") * F.col("b_n"))), F.lit(0)).alias(f"c{i}") for i, r in enumerate(radii))).join(F.broadcast(own))  # one row each
+    rows = counts.select("n", F.explode(F.array(*(F.struct(F.lit(float(r)).alias("radius_m"), (F.col(f"c{i}") + F.col("same")).alias("pairs")) for i, r in enumerate(radii)))).alias("r")).select("n", "r.*")
     k = F.lit(area_km2 * 1e6) * 2 * F.col("pairs") / F.when(F.col("n") > 1, F.col("n") * (F.col("n") - 1))
     return rows.select("radius_m", "pairs", k.alias("k"), (F.sqrt(k / math.pi) - F.col("radius_m")).alias("l"))
 
@@ -145,7 +151,7 @@ def coverage_stats(info: DataFrame, zones: DataFrame | None = None) -> DataFrame
 def projected(info: DataFrame) -> DataFrame:
     """info with x_m and y_m: equirectangular metres about the mean latitude of all rows."""
     mid = info.agg(F.avg("lat").alias("__mid"))
-    return info.join(F.broadcast(mid)).withColumns({"x_m": F.radians("lon") * EARTH_M * F.cos(F.radians("__mid")), "y_m": F.radians("lat") * EARTH_M}).drop("__mid")  # one row
+    return info.join(F.broadcast(mid)).withColumns(dict(zip(("x_m", "y_m"), project_metres(F.col("lat"), F.col("lon"), F.col("__mid"))))).drop("__mid")  # one row
 
 
 def hull_area(info: DataFrame) -> DataFrame:
@@ -220,17 +226,23 @@ def inside_ring(lon: Column, lat: Column, ring: Column) -> Column:
 
 
 def zones_for_points(points: DataFrame, zones: DataFrame, *, point_id: str) -> DataFrame:
-    """points with the ids of the zones that contain them, a row each (NULL: none). zones: zone_id, ring. Zones meet points in
-    cells of a hundredth of a degree of their bounding boxes."""
+    """points with the ids of the zones that contain them, a row each (NULL: none). zones: zone_id and ring, or rings and
+    holes; a hole is not part of its zone. Zones meet points in cells of a hundredth of a degree of their bounding boxes."""
+    if "ring" not in zones.columns:
+        none = F.array().cast("array<array<struct<lon:double,lat:double>>>")
+        zones = zones.select("zone_id", F.col("holes").alias("holes") if "holes" in zones.columns else none.alias("holes"), F.explode("rings").alias("ring"))
+    elif "holes" not in zones.columns:
+        zones = zones.withColumn("holes", F.array().cast("array<array<struct<lon:double,lat:double>>>"))
     cell = lambda c: F.floor(c * 100)
     at = F.transform("ring", lambda p: p.lon), F.transform("ring", lambda p: p.lat)
-    boxes = zones.select("zone_id", "ring", F.explode(F.sequence(cell(F.array_min(at[0])), cell(F.array_max(at[0])))).alias("cx"), F.sequence(cell(F.array_min(at[1])), cell(F.array_max(at[1]))).alias("cys")).select("zone_id", "ring", "cx", F.explode("cys").alias("cy"))
-    hit = points.select(point_id, "lat", "lon", cell(F.col("lon")).alias("cx"), cell(F.col("lat")).alias("cy")).join(boxes, ["cx", "cy"]).where(inside_ring(F.col("lon"), F.col("lat"), F.col("ring"))).select(point_id, "zone_id")
+    boxes = zones.select("zone_id", "ring", "holes", F.explode(F.sequence(cell(F.array_min(at[0])), cell(F.array_max(at[0])))).alias("cx"), F.sequence(cell(F.array_min(at[1])), cell(F.array_max(at[1]))).alias("cys")).select("zone_id", "ring", "holes", "cx", F.explode("cys").alias("cy"))
+    hit = points.select(point_id, "lat", "lon", cell(F.col("lon")).alias("cx"), cell(F.col("lat")).alias("cy")).join(boxes, ["cx", "cy"]).where(inside_ring(F.col("lon"), F.col("lat"), F.col("ring")) & ~F.exists("holes", lambda h: inside_ring(F.col("lon"), F.col("lat"), h))).select(point_id, "zone_id").distinct()
     return points.join(hit, point_id, "left")
 
 
 def core_points(info: DataFrame, *, eps_m: float = 300, min_points: int = 3) -> DataFrame:
-    """Stations with at least min_points stations (themselves included) within eps_m: the cores of density clusters."""
-    pts = info.where("lat is not null and lon is not null").select("station_id", "lat", "lon")
-    n = range_join(pts, pts, eps_m).groupBy(F.col("a_station_id").alias("station_id")).agg(F.count("*").alias("n_within"))
-    return n.withColumn("is_core", F.col("n_within") >= min_points)
+    """Stations with at least min_points stations (themselves included) within eps_m: the cores of density clusters. Places
+    are joined, not stations, so many stations at one place cost one row."""
+    p = places(info)
+    near = range_join(p, p, eps_m).groupBy(F.col("a_lat").alias("lat"), F.col("a_lon").alias("lon")).agg(F.sum("b_n").alias("n_within"))
+    return info.select("station_id", "lat", "lon").join(near, ["lat", "lon"]).select("station_id", "n_within", (F.col("n_within") >= min_points).alias("is_core"))

@@ -29,7 +29,8 @@ def _cells(lat: Column, lon: Column, radius_m: float, reach: int = 0) -> Column:
 
 def range_join(a: DataFrame, b: DataFrame, radius_m: float, a_lat: str = "lat", a_lon: str = "lon", b_lat: str = "lat", b_lon: str = "lon", a_prefix: str = "a_", b_prefix: str = "b_") -> DataFrame:
     """All pairs within radius_m (inclusive) with their distance_m; columns get the prefixes. Points go to their own cell on
-    side a and to the cells around on side b; the great-circle distance decides. NULL coordinates match nothing."""
+    side a and to the cells around on side b; the great-circle distance decides. NULL coordinates match nothing. A cell with
+    very many points is a skewed key, which adaptive execution splits; callers that only count join places instead of points."""
     left = a.select(*(F.col(c).alias(a_prefix + c) for c in a.columns)).withColumn("__cell", F.explode(_cells(F.col(a_prefix + a_lat), F.col(a_prefix + a_lon), radius_m)))
     right = b.select(*(F.col(c).alias(b_prefix + c) for c in b.columns)).withColumn("__cell", F.explode(_cells(F.col(b_prefix + b_lat), F.col(b_prefix + b_lon), radius_m, 1)))
     d = haversine_m(F.col(a_prefix + a_lat), F.col(a_prefix + a_lon), F.col(b_prefix + b_lat), F.col(b_prefix + b_lon))
@@ -50,6 +51,8 @@ def knn(a: DataFrame, b: DataFrame, k: int, a_id: str, b_id: str, lat: str = "la
     smaller id. partition: columns that must be equal on both sides. Points with fewer than k partners get all of them."""
     a = a.select(*partition, F.col(a_id).alias("a_id"), lat, lon).where(F.col(lat).isNotNull() & F.col(lon).isNotNull())
     b = b.select(*partition, F.col(b_id).alias("b_id"), lat, lon).where(F.col(lat).isNotNull() & F.col(lon).isNotNull())
+    here = Window.partitionBy(*partition, lat, lon).orderBy("b_id")  # of many points at one place the first k + 1 do
+    b = b.withColumn("__n", F.row_number().over(here)).where(F.col("__n") <= k + 1).drop("__n")
     same = [F.col(f"a_{p}").eqNullSafe(F.col(f"b_{p}")) for p in partition]
     keys = [*(f"a_{p}" for p in partition), "a_a_id"]
     w = Window.partitionBy(*keys).orderBy("distance_m", "b_b_id")

@@ -125,7 +125,7 @@ def system_information(docs: DataFrame) -> DataFrame:
 
 def geofencing(docs: DataFrame) -> DataFrame:
     """One row per zone. The rule without vehicle types counts, else the first. `ride_allowed` of a version 3 rule needs start
-    and end both allowed. `rings` are the outer rings of the polygons; features without geometry are left out."""
+    and end both allowed. `rings` are the outer rings of the polygons, `holes` the inner ones of all; features without geometry are left out."""
     data = _data(F.col("body"))
     zones = F.coalesce(F.get_json_object(data, "$.geofencing_zones.features"), F.get_json_object(data, "$.features"))
     found = docs.select(_of(docs, "system_id").alias("system_id"), F.posexplode(F.from_json(zones, "array<string>")).alias("at", "f"))
@@ -135,8 +135,10 @@ def geofencing(docs: DataFrame) -> DataFrame:
     found = found.withColumn("m", m)
     truth = lambda n: F.col("m").getItem(n).try_cast("boolean")
     polygons = F.when(F.col("kind") == "MultiPolygon", F.from_json("xy", "array<array<array<array<double>>>>")).otherwise(F.array(F.from_json("xy", "array<array<array<double>>>")))
-    rings = F.transform(polygons, lambda p: F.transform(F.get(p, F.lit(0)), lambda q: F.struct(F.get(q, F.lit(0)).alias("lon"), F.get(q, F.lit(1)).alias("lat"))))
-    return found.select("system_id", F.coalesce(localized(F.col("name")), F.col("at").cast("string")).alias("zone_id"), localized(F.col("name")).alias("name"), F.coalesce(truth("ride_allowed"), truth("ride_start_allowed") & truth("ride_end_allowed")).alias("ride_allowed"), truth("ride_through_allowed").alias("ride_through_allowed"), F.col("m").getItem("maximum_speed_kph").try_cast("double").alias("maximum_speed_kph"), truth("station_parking").alias("station_parking"), "rules", rings.alias("rings"))
+    corners = lambda ring: F.transform(ring, lambda q: F.struct(F.get(q, F.lit(0)).alias("lon"), F.get(q, F.lit(1)).alias("lat")))
+    rings = F.transform(polygons, lambda p: corners(F.get(p, F.lit(0))))
+    holes = F.transform(F.flatten(F.transform(polygons, lambda p: F.slice(p, F.lit(2), F.greatest(F.size(p) - 1, F.lit(0))))), corners)
+    return found.select("system_id", F.coalesce(localized(F.col("name")), F.col("at").cast("string")).alias("zone_id"), localized(F.col("name")).alias("name"), F.coalesce(truth("ride_allowed"), truth("ride_start_allowed") & truth("ride_end_allowed")).alias("ride_allowed"), truth("ride_through_allowed").alias("ride_through_allowed"), F.col("m").getItem("maximum_speed_kph").try_cast("double").alias("maximum_speed_kph"), truth("station_parking").alias("station_parking"), "rules", rings.alias("rings"), holes.alias("holes"))
 
 
 def discovery(docs: DataFrame, language: str | None = None) -> DataFrame:

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
 from datetime import datetime, timezone
 
+import pandas as pd
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,9 +29,14 @@ def append(df: DataFrame, path: str, *, partition_cols=("system_id", "date")) ->
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """The lake; keys of its folders stay texts."""
-    spark.conf.set("spark.sql.sources.partitionColumnTypeInference.enabled", "false")
-    return spark.read.option("mergeSchema", "true").parquet(path)
+    """The lake; keys of its folders stay texts. The setting that says so holds only while the folders are listed."""
+    name = "spark.sql.sources.partitionColumnTypeInference.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        return spark.read.option("mergeSchema", "true").parquet(path)
+    finally:
+        spark.conf.set(name, before)
 
 
 def _utc(t: datetime | str | None) -> datetime | None:
@@ -71,9 +80,23 @@ def local_time(df: DataFrame, tz: str, *, time: str = "fetched_at", name: str =
 
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:
-    """Each Parquet file with its size and SHA-256. Files are hashed where they are read; none reaches the driver."""
+    """Each Parquet file with its size and SHA-256. Tasks list and hash the files a piece at a time, so their size doesn't
+    matter; none reaches the driver."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(path)
-    return files.select(F.col("path"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found = []
+            for uri in pdf["path"]:
+                system, name = fs.FileSystem.from_uri(uri if "://" in uri else uri.replace("file:", "file://", 1))
+                digest = hashlib.sha256()
+                with system.open_input_stream(name) as f:
+                    while piece := f.read(8 << 20):
+                        digest.update(piece)
+                found.append(digest.hexdigest())
+            yield pdf.assign(sha256=found)
+
+    return files.select("path", F.col("length").alias("bytes")).mapInPandas(run, "path string, bytes long, sha256 string")
 
 
 def summary(spark: SparkSession, path: str) -> DataFrame:

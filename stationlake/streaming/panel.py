@@ -6,6 +6,7 @@ State is kept per station: bounded by the number of stations, and dropped after
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -13,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..functions.exprs import EARTH_M
 from ..functions.freq import seconds
 from ..schemas import KEYS
 from ..sources import lake
@@ -45,13 +47,31 @@ def service(stream: DataFrame, *, freq: str = "1h", late: str = "10 minutes", mi
     return out.agg(mean(bikes).alias("p_bike"), mean(docks).alias("p_dock"), mean(bikes & docks).alias("p_both"), F.count("*").alias("n_obs")).select(*KEYS, F.col("w.start").alias("period"), "p_bike", "p_dock", "p_both", "n_obs")
 
 
+def turnover(flows: DataFrame, *, freq: str = "1D", late: str = "10 minutes") -> DataFrame:
+    """Sum of absolute flows per station and period, of the rows of `net_flow`; final once the watermark passes."""
+    out = flows.withWatermark(TIME, late).where("net_flow is not null").groupBy(*KEYS, F.window(TIME, f"{seconds(freq)} seconds").alias("w"))
+    return out.agg(F.sum(F.abs("net_flow")).alias("turnover")).select(*KEYS, F.col("w.start").alias("period"), "turnover")
+
+
+def fleet_totals(stream: DataFrame, *, freq: str = "5min", late: str = "10 minutes") -> DataFrame:
+    """Bikes and docks of each system per period, summed over polls and over stations that polled."""
+    out = stream.withWatermark(TIME, late).groupBy("system_id", F.window(TIME, f"{seconds(freq)} seconds").alias("w"))
+    return out.agg(F.sum(BIKES).alias("bikes"), F.sum(DOCKS).alias("docks"), F.approx_count_distinct("station_id").alias("n_stations"), F.count("*").alias("n_polls")).select("system_id", F.col("w.start").alias("period"), "bikes", "docks", "n_stations", "n_polls")
+
+
 def exogenous(stream: DataFrame, other: DataFrame, *, exo_time: str = "observed_at", tolerance: str = "1h", late: str = "10 minutes") -> DataFrame:
-    """All readings of the other stream within the tolerance of each poll; the nearest is min_by(struct, abs(gap_s)) per poll
-    downstream, once both watermarks have passed."""
-    a, b = stream.withWatermark(TIME, late), other.withWatermark(exo_time, late)
-    gap = F.expr(f"interval {seconds(tolerance)} seconds")
-    met = a.join(b, (F.col(exo_time) >= F.col(TIME) - gap) & (F.col(exo_time) <= F.col(TIME) + gap))
-    return met.withColumn("gap_s", F.unix_seconds(F.col(exo_time)) - F.unix_seconds(F.col(TIME)))
+    """Each poll with the nearest reading of the other stream within the tolerance (a tie goes to the earlier one), once both
+    watermarks have passed; polls without one are left out. Polls of one station at one time are one."""
+    step = seconds(tolerance)
+    bucket = lambda c: F.floor(F.unix_seconds(F.col(c).cast("timestamp")) / step)  # noqa: E731  streams meet on buckets as wide as the tolerance
+    a = stream.withWatermark(TIME, late).withColumn("__a", bucket(TIME))
+    b = other.withWatermark(exo_time, late).withColumn("__b", F.explode(F.array(*(bucket(exo_time) + i for i in (-1, 0, 1)))))
+    gap = F.expr(f"interval {step} seconds")
+    met = a.join(b, (F.col("__a") == F.col("__b")) & (F.col(exo_time) >= F.col(TIME) - gap) & (F.col(exo_time) <= F.col(TIME) + gap)).drop("__a", "__b")
+    off = F.unix_micros(F.col(exo_time).cast("timestamp")) - F.unix_micros(F.col(TIME).cast("timestamp"))
+    rest = [c for c in met.columns if c not in (*KEYS, TIME)]
+    best = met.groupBy(*KEYS, TIME).agg(F.min_by(F.struct(*rest), F.struct(F.abs(off), off)).alias("m"))
+    return best.select(*KEYS, TIME, "m.*")
 
 
 def _keyed(stream: DataFrame, late: str, columns: list[str]) -> DataFrame:
@@ -137,3 +157,67 @@ def stockout_episodes(stream: DataFrame, *, late: str = "10 minutes", idle: str
         yield out
 
     return _keyed(stream, late, [BIKES, DOCKS]).groupBy(*KEYS).applyInPandasWithState(step, "system_id string, station_id string, kind string, start timestamp, end timestamp, n_obs long, duration_minutes double", "seen long, s0 long, e0 long, n0 long, s1 long, e1 long, n1 long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def drift(stream: DataFrame, *, reset: str = "1D", late: str = "10 minutes", idle: str = "7D") -> DataFrame:
+    """system_id, station_id, fetched_at, cumulative_imbalance: the running sum of flows from the start of each period on. Polls
+    older than the last one seen of a station change nothing and have no row."""
+    stay, step = seconds(idle) * 1000, seconds(reset) * 1_000_000
+
+    def add(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        p = _rows(pdfs)
+        seen, bikes, total = state.get if state.exists else (None, None, 0)
+        times, sums = [], []
+        for at, now in zip(p[TIME], p[BIKES]):
+            us, now = at.value // 1000, _opt(now, int)
+            if seen is not None and us < seen:
+                continue
+            if seen is None or us // step != seen // step:
+                total = 0
+            if now is not None and bikes is not None:
+                total += now - bikes
+            times.append(at)
+            sums.append(total)
+            seen, bikes = us, now
+        state.update((seen, bikes, total))
+        state.setTimeoutTimestamp(max(seen // 1000, state.getCurrentWatermarkMs()) + stay)
+        yield pd.DataFrame({"system_id": key[0], "station_id": key[1], TIME: times, "cumulative_imbalance": pd.array(sums, "Int64")})
+
+    return _keyed(stream, late, [BIKES]).groupBy(*KEYS).applyInPandasWithState(add, f"system_id string, station_id string, {TIME} timestamp, cumulative_imbalance long", "seen long, bikes long, total long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def idle_time(vehicles: DataFrame, *, move_threshold_m: float = 50, late: str = "10 minutes", forget: str = "30D") -> DataFrame:
+    """system_id, vehicle_id, fetched_at, idle_hours since the vehicle last moved more than the threshold between two polls."""
+    stay = seconds(forget) * 1000
+
+    def watch(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        p = _rows(pdfs)
+        seen, since, lat, lon = state.get if state.exists else (None, None, None, None)
+        times, hours = [], []
+        for at, y, x in zip(p[TIME], p["lat"], p["lon"]):
+            us = at.value // 1000
+            if seen is not None and us < seen:
+                continue
+            known = lat is not None and lon is not None and not pd.isna(y) and not pd.isna(x)
+            if not known or _metres(lat, lon, y, x) > move_threshold_m:
+                since = us
+            seen, lat, lon = us, _opt(y, float), _opt(x, float)
+            times.append(at)
+            hours.append((us - since) / 3.6e9)
+        state.update((seen, since, lat, lon))
+        state.setTimeoutTimestamp(max(seen // 1000, state.getCurrentWatermarkMs()) + stay)
+        yield pd.DataFrame({"system_id": key[0], "vehicle_id": key[1], TIME: times, "idle_hours": pd.array(hours, "Float64")})
+
+    src = vehicles.withWatermark(TIME, late).select("system_id", "vehicle_id", TIME, "lat", "lon")
+    return src.groupBy("system_id", "vehicle_id").applyInPandasWithState(watch, f"system_id string, vehicle_id string, {TIME} timestamp, idle_hours double", "seen long, since long, lat double, lon double", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def _metres(lat1: float, lon1: float, lat2: float, lon2: float) -> float:
+    a = math.sin(math.radians(lat2 - lat1) / 2) ** 2 + math.cos(math.radians(lat1)) * math.cos(math.radians(lat2)) * math.sin(math.radians(lon2 - lon1) / 2) ** 2
+    return 2 * EARTH_M * math.atan2(math.sqrt(a), math.sqrt(1 - a))
