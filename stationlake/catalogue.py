@@ -11,7 +11,7 @@ from .fixtures import view, with_views
 from .functions import exprs
 from .operators import audit, clusters, flow, frames, graph, inequality, kernels, resampling, service, spatial
 from .plans.components import shared_path
-from .sources import feeds, lake
+from .sources import feeds, lake, synthetic
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -221,6 +221,18 @@ _addx("knn_adjacency", lambda i: graph.knn_adjacency(i, k=4), "v_info", _ALL + _
 _addx("normalized_laplacian", lambda i: graph.normalized_laplacian(graph.knn_adjacency(i, k=4)), "v_info", _ALL + _W + ", dg as (select a as id, sum(w) as d from g group by 1)", f"select a as a_id, b as b_id, {R('-w / sqrt(x.d * y.d)', 'value')} from g join dg x on a = x.id join dg y on b = y.id union all select id, id, 1.0 from dg")
 _addx("fdr_adjust", lambda i: inequality.fdr_adjust(i.select("station_id", (F.pmod(F.col("station_id").cast("long") * 7919, F.lit(1009)) / 1009.0).alias("p")), "p"), "v_info", ", f as (select station_id, cast((cast(station_id as bigint) * 7919) % 1009 as double) / 1009 as p from v_info), r as (select *, p * count(*) over () / row_number() over (order by p) as q from f)", f"select station_id, {R('p', 'p')}, {R('least(1.0, min(q) over (order by p desc range between unbounded preceding and current row))', 'p_adjusted')} from r")
 
+_add("capacity_fill", lambda p: service.capacity_fill(p).select("system_id", "station_id", "fetched_at", "fill"), "v_panel", f"select {K}, {US('fetched_at')} as fetched_at, {R(f'case when {_FILL} is not null then least(greatest({_FILL}, 0.0), 1.0) end', 'fill')} from v_panel")
+_add("cyclical_time", lambda p: p.select("system_id", "station_id", "fetched_at", *(c.alias(n) for n, c in exprs.cyclical(F.col("fetched_at"), ("minute", "hour", "dow", "day", "month", "doy")).items())), "v_panel", f"select {K}, {US('fetched_at')} as fetched_at, " + ", ".join(R(f"{g}(2 * pi() * {raw} / {n})", f"{f}_{g}") for f, raw, n in (("minute", "minute(fetched_at)", 60), ("hour", "hour(fetched_at)", 24), ("dow", "(isodow(fetched_at) - 1)", 7), ("day", "day(fetched_at)", 31), ("month", "month(fetched_at)", 12), ("doy", "dayofyear(fetched_at)", 366)) for g in ("sin", "cos")) + " from v_panel")
+_add("wilson_interval", lambda p: p.groupBy("system_id", "station_id").agg(F.count_if(F.col("num_bikes_available") == 0).alias("s"), F.count("*").alias("n")).select("system_id", "station_id", *(c.alias(n) for n, c in zip(("lo", "hi"), exprs.wilson_interval(F.col("s"), F.col("n"))))), "v_panel", f"select {K}, " + ", ".join(R(f"{g}((p + 1.9207294103470684 / n {x} 1.959963984540054 * sqrt(p * (1 - p) / n + 0.9603647051735342 / (n * n))) / (1 + 3.8414588206941368 / n), {e})", c) for g, x, e, c in (("greatest", "-", 0, "lo"), ("least", "+", 1, "hi"))) + f" from (select {K}, count(*) as n, count(*) filter (num_bikes_available = 0) / count(*) as p from v_panel group by 1, 2)")
+_add("decay_weights", lambda p: p.select("station_id", "fetched_at", *(exprs.decay_weight(F.col("num_bikes_available").cast("double"), 12.0, d).alias(str(d)) for d in ("linear", "gaussian", "exponential", "none"))), "v_panel", f"select station_id, {US('fetched_at')} as fetched_at, " + ", ".join(R(f"case when num_bikes_available <= 12 then {x} else 0 end", f'\"{d}\"' if d == 'none' else d) for d, x in (("linear", "1 - num_bikes_available / 12.0"), ("gaussian", "exp(-pow(num_bikes_available / 4.0, 2) / 2)"), ("exponential", "exp(-3 * num_bikes_available / 12.0)"), ("none", "1.0"))) + " from v_panel")
+_add("project_metres", lambda i: spatial.projected(i).select("station_id", "x_m", "y_m"), "v_info", f"select station_id, {R(f'lon * {_RAD} * 6371000.0 * cos(radians((select avg(lat) from v_info)))', 'x_m')}, {R(f'lat * {_RAD} * 6371000.0', 'y_m')} from v_info")
+_add("land_use_roles", lambda i: synthetic.with_roles(i.where("capacity is not null")).select("station_id", "role"), "v_info", "select station_id, cast(case when capacity >= (select quantile_cont(capacity, 0.95) from v_info) then 2 when capacity >= (select quantile_cont(capacity, 0.75) from v_info) then 1 else 0 end as bigint) as role from v_info where capacity is not null")
+_addx("footprint", synthetic.footprint, "v_panel", ", ft as (select station_id, cast(floor(epoch(fetched_at) / 3600) as bigint) as h, arg_max(cast(num_bikes_available as double), fetched_at) as x from v_panel group by 1, 2), fc as (select station_id, max(num_bikes_available + num_docks_available) as cap from v_panel group by 1), fs as (select *, lag(x) over (partition by station_id order by h) as px, lag(h) over (partition by station_id order by h) as ph from ft), fr as (select corr(px, x) as r from fs group by station_id having count(*) > 2 and stddev_pop(x) > 1e-6)", f"select {R('(select sum(abs(x - px)) from fs where h = ph + 1) / 2 / (select sum(cap) from fc) / ((max(h) - min(h)) / 24.0)', 'turnover')}, {R('(select median(r) from fr where r is not null and not isnan(r))', 'acf1')}, {R('(select count(*) from ft join fc using (station_id) where x <= 1e-9 or x >= cap - 1e-9) / ((max(h) - min(h) + 1) * (select count(*) from fc))', 'stockout')} from ft")
+_add("wide_matrix", lambda p: flow.wide_matrix(p.withColumn("fetched_at", F.date_trunc("day", "fetched_at")), station="system_id"), "v_panel", f"select {US(chr(39).join(['date_trunc(', 'day', ', fetched_at)']))} as fetched_at, " + ", ".join(R(f"avg(num_bikes_available) filter (system_id = 'sys{i}')", f"sys{i}") for i in range(5)) + " from v_panel group by 1")
+_addx("audit_frames", lambda i, p: audit.audit_frames(i, p.select("system_id", "station_id", "fetched_at", "num_bikes_available", "num_docks_available", F.date_trunc("day", "fetched_at").alias("last_reported")), stale_after_minutes=600), "v_info_bad v_panel", _A_ALL + f", dj as (select coalesce(i.system_id, p.system_id) as system_id, coalesce(i.station_id, p.station_id) as station_id, coalesce(num_bikes_available < 0, false) or coalesce(num_docks_available < 0, false) as d1, coalesce(coalesce(num_bikes_available, 0) + coalesce(num_docks_available, 0) > i.capacity and i.capacity > 0, false) as d2, coalesce(epoch_us(fetched_at) - epoch_us(date_trunc('day', fetched_at)) > 36000000000, false) as d3 from v_info_bad i full join v_panel p on i.system_id = p.system_id and i.station_id = p.station_id)", f"select 'static' as layer, {K}, flagged, reason from vr union all select 'dynamic', {K}, d1 or d2 or d3, concat_ws(', ', case when d1 then 'negative_count' end, case when d2 then 'over_capacity' end, case when d3 then 'stale' end) from dj")
+_add("classify_from_vehicle_types", lambda i, t: audit.classify_from_vehicle_types(i, t.withColumn("system_id", F.concat(F.lit("sys"), F.substring("vehicle_type_id", -1, 1)))).select("system_id", "station_id", "station_type"), "v_info v_vehicle_types", "with_types")
+_SQL["classify_from_vehicle_types"] = _sql(", ty as (select concat('sys', right(vehicle_type_id, 1)) as system_id, bool_or(form_factor = 'car') and not bool_or(form_factor in ('bicycle', 'cargo_bicycle')) as cars from v_vehicle_types group by 1)", f"select {K}, case when cars then 'carsharing' else station_type end as station_type from v_info left join ty using (system_id)")
+
 # --- kernels ---------------------------------------------------------------------------------------------------------
 
 _add("cluster_density", lambda i: clusters.cluster_density(i, eps_m=600), "v_info")
@@ -228,15 +240,23 @@ _add("cluster_profiles", lambda p: clusters.cluster_profiles(service.diurnal_pro
 _add("effective_sample_size", lambda p: resampling.effective_sample_size(p, "num_bikes_available"), "v_panel")
 _add("block_bootstrap", lambda p: resampling.block_bootstrap(p, "num_bikes_available", n_boot=200), "v_panel")
 _add("rebalancing_tension", lambda p: resampling.rebalancing_tension(p), "v_snap")
+_add("coverage_stats", lambda i: spatial.coverage_stats(i), "v_info")
+_add("cluster_hierarchy", lambda i: clusters.cluster_hierarchy(i, min_cluster_size=4), "v_info")
+_add("cluster_profiles_by_warping", lambda p: clusters.cluster_profiles(service.diurnal_profiles(p), k=4, method="dtw").select("system_id", "station_id", "cluster"), "v_panel")
+_add("degree_preserving_rewire", lambda i: kernels.degree_preserving_rewire(graph.knn_adjacency(i, k=4)), "v_info")
+_add("low_freq_basis", lambda i: graph.low_freq_basis(graph.normalized_laplacian(graph.knn_adjacency(i, k=4)), 4), "v_info")
+_add("synchrony_by_concordance", lambda p: service.synchrony(p, min_overlap=3, method="kendall"), "v_panel")
+_QUERIES["simulated_city"] = lambda s, d: _plain(synthetic.city(s, n_stations=60, days=2)[1])
+_QUERIES["simulated_flows"] = lambda s, d: _plain(synthetic.flows(s, synthetic.Flows(n_stations=40, days=2))[1])
 
 # --- sources ---------------------------------------------------------------------------------------------------------
 
 
-def _documents(df: DataFrame, own: list[str], record) -> DataFrame:
+def _documents(df: DataFrame, own: list[str], record, kind: str = "stations", id_col: str = "station_id") -> DataFrame:
     """Feed documents that hold the rows, a few hundred at most each."""
     key = [F.col(c) for c in own]
-    doc = df.groupBy(*key, F.pmod(F.xxhash64("station_id"), F.lit(4096)).alias("__b")).agg(F.collect_list(record).alias("stations")).drop("__b")
-    return doc.select(*own, F.to_json(F.struct(F.struct("stations").alias("data"))).alias("body"))
+    doc = df.groupBy(*key, F.pmod(F.xxhash64(id_col), F.lit(4096)).alias("__b")).agg(F.collect_list(record).alias(kind)).drop("__b")
+    return doc.select(*own, F.to_json(F.struct(F.struct(kind).alias("data"))).alias("body"))
 
 
 _add("feed_station_info", lambda i: feeds.station_info(_documents(i, ["system_id"], F.struct("station_id", "name", "lat", "lon", "capacity", "is_virtual_station", "region_id"))), "v_info", "select system_id, station_id, name, round(lat, 6) as lat, round(lon, 6) as lon, cast(capacity as bigint) as capacity, case when is_virtual_station or coalesce(capacity, 0) = 0 then 'free_floating' else 'docked_bike' end as station_type, is_virtual_station, region_id from v_info")
@@ -244,6 +264,18 @@ _STATUS = lambda: F.struct("station_id", F.col("num_bikes_available").alias("num
 _add("feed_station_status", lambda p: feeds.station_status(_documents(p, ["system_id", "fetched_at"], _STATUS())).drop("gbfs_version", "is_installed"), "v_panel", f"select {K}, num_bikes_available, num_docks_available, is_renting, is_returning, {US('fetched_at')} // 1000000 * 1000000 as last_reported, {US('fetched_at')} as fetched_at from v_panel")
 
 
+_add("feed_vehicles", lambda v: feeds.vehicles(_documents(v, ["system_id", "fetched_at"], F.struct(F.col("vehicle_id").alias("bike_id"), "station_id", "vehicle_type_id", "lat", "lon", "is_reserved", "is_disabled", "pricing_plan_id"), "bikes", "vehicle_id")).drop("gbfs_version", "current_range_meters", "current_fuel_percent"), "v_vehicles", f"select system_id, vehicle_id, station_id, vehicle_type_id, {R('lat', 'lat')}, {R('lon', 'lon')}, is_reserved, is_disabled, pricing_plan_id, {US('fetched_at')} as fetched_at from v_vehicles")
+_add("feed_vehicle_types", lambda t: feeds.vehicle_types(_documents(t.withColumn("system_id", F.lit("s")), ["system_id"], F.struct("vehicle_type_id", "form_factor", "propulsion_type", "max_range_meters"), "vehicle_types", "vehicle_type_id")), "v_vehicle_types", "select 's' as system_id, * from v_vehicle_types")
+_add("feed_pricing_plans", lambda t: feeds.pricing_plans(_documents(t.withColumn("system_id", F.lit("s")), ["system_id"], F.struct("plan_id", F.array(F.struct(F.lit("en").alias("language"), F.col("name").alias("text"))).alias("name"), "currency", "price", (F.col("price") > 5).alias("is_taxable")), "plans", "plan_id")).drop("description"), "v_plans", "select 's' as system_id, plan_id, name, currency, price, price > 5 as is_taxable from v_plans")
+_add("feed_regions", lambda i: feeds.system_regions(_documents(i, ["system_id"], F.struct("region_id", F.col("name").alias("name")), "regions")), "v_info", "select system_id, region_id, name from v_info")
+_add("feed_alerts", lambda i: feeds.alerts(_documents(i, ["system_id"], F.struct(F.col("station_id").alias("alert_id"), F.lit("closure").alias("type"), F.array(F.struct(F.col("name").alias("text"))).alias("summary"), F.array(F.struct((F.lit(1_700_000_000) + F.col("station_id").cast("long")).alias("start"), F.lit("2024-01-01T00:00:00Z").alias("end"))).alias("times"), F.lit(1_700_000_000).alias("last_updated")), "alerts")).drop("description"), "v_info", "select system_id, station_id as alert_id, 'closure' as type, name as summary, (1700000000 + cast(station_id as bigint)) * 1000000 as \"start\", 1704067200000000 as \"end\", 1700000000000000 as last_updated from v_info")
+_add("feed_vehicle_counts", lambda i: feeds.station_vehicle_counts(_documents(i, ["system_id"], F.struct("station_id", F.array(F.struct(F.lit("t0").alias("vehicle_type_id"), F.col("capacity").alias("count")), F.struct(F.lit("t1").alias("vehicle_type_id"), F.lit(1).alias("count"))).alias("vehicle_types_available")))).drop("fetched_at"), "v_info", f"select {K}, 't0' as vehicle_type_id, cast(capacity as bigint) as num_vehicles_available from v_info union all select {K}, 't1', 1 from v_info")
+_add("feed_system_information", lambda i: feeds.system_information(i.select(F.to_json(F.struct(F.struct(F.col("station_id").alias("system_id"), F.col("name").alias("name"), F.lit("Lime").alias("operator"), F.lit("Europe/Paris").alias("timezone"), F.lit("fr").alias("language")).alias("data"))).alias("body"))), "v_info", "select station_id as system_id, name, 'Lime' as operator, 'Europe/Paris' as timezone, 'fr' as language from v_info")
+_add("feed_discovery", lambda i: feeds.discovery(i.select(F.col("station_id").alias("system_id"), F.when(F.col("capacity").isNull(), F.to_json(F.struct(F.lit("3.0").alias("version"), F.struct(F.array(F.struct(F.col("name").alias("name"), F.lit("u://3").alias("url"))).alias("feeds")).alias("data")))).otherwise(F.to_json(F.struct(F.struct(F.struct(F.array(F.struct(F.col("name").alias("name"), F.lit("u://2").alias("url"))).alias("feeds")).alias("fr")).alias("data")))).alias("body"))), "v_info", "select station_id as system_id, case when capacity is null then '3.0' else '2.x' end as version, name, case when capacity is null then 'u://3' else 'u://2' end as url from v_info")
+_add("feed_geofencing", lambda i: feeds.geofencing(i.select("system_id", F.to_json(F.struct(F.struct(F.struct(F.array(F.struct(F.struct(F.lit("Polygon").alias("type"), F.array(F.array(*(F.array(F.col("lon") + a, F.col("lat") + b) for a, b in ((0.0, 0.0), (0.01, 0.0), (0.01, 0.01), (0.0, 0.0))))).alias("coordinates")).alias("geometry"), F.struct(F.col("name"), F.array(F.struct((F.col("capacity") > 20).alias("ride_allowed"), F.lit(20).alias("maximum_speed_kph"))).alias("rules")).alias("properties"))).alias("features")).alias("geofencing_zones")).alias("data"))).alias("body"))).select("system_id", "zone_id", "ride_allowed", "maximum_speed_kph", F.size("rings").alias("n_rings"), F.size("holes").alias("n_holes"), F.round(F.col("rings")[0][1].lon, 6).alias("lon")), "v_info", f"select system_id, name as zone_id, capacity > 20 as ride_allowed, cast(20 as double) as maximum_speed_kph, 1 as n_rings, 0 as n_holes, {R('lon + 0.01', 'lon')} from v_info")
+_add("operator_brands", lambda i: i.select("station_id", exprs.normalize_operator(F.concat(F.element_at(F.array(*(F.lit(x) for x in ("Lime ", "nextbike ", "Citi Bike ", "Velib ", "Local "))), (F.col("station_id").cast("int") % 5 + 1)), F.col("region_id"))).alias("operator")), "v_info", "select station_id, case cast(station_id as int) % 5 when 0 then 'Lime' when 1 then 'Nextbike' when 2 then 'Lyft / Motivate' when 3 then 'Vélib'' Métropole' else concat('Local ', region_id) end as operator from v_info")
+
+
 def _through_lake(panel: DataFrame) -> DataFrame:
     folder = shared_path(panel.sparkSession)
     lake.append(panel.withColumn("last_reported", F.date_trunc("day", "fetched_at")), folder)
@@ -251,4 +283,11 @@ def _through_lake(panel: DataFrame) -> DataFrame:
 
 
 _add("lake_panel", lambda p: _through_lake(p).select("system_id", "station_id", "fetched_at", "num_bikes_available", "local_time"), "v_panel", f"select {K}, {US('fetched_at')} as fetched_at, num_bikes_available, {US('fetched_at')} + 3600000000 as local_time from (select *, row_number() over (partition by {K}, date_trunc('day', fetched_at) order by fetched_at desc) as rn from v_panel) q where rn = 1")
+def _window_of_lake(panel: DataFrame) -> DataFrame:
+    folder = shared_path(panel.sparkSession)
+    lake.append(panel, folder)
+    return lake.panel(panel.sparkSession, folder, start="2024-01-05 06:00:00", end="2024-01-20 18:00:00", columns=["num_bikes_available"], where="num_bikes_available > 3")
+
+
+_add("lake_window", lambda p: _window_of_lake(p).select("system_id", "station_id", "fetched_at", "num_bikes_available"), "v_panel", f"select {K}, {US('fetched_at')} as fetched_at, num_bikes_available from v_panel where fetched_at between timestamp '2024-01-05 06:00:00' and timestamp '2024-01-20 18:00:00' and num_bikes_available > 3")
 _add("geojson_features", lambda i: lake.geojson_features(i.select("station_id", "lat", "lon")).select(F.get_json_object("feature", "$.properties.station_id").alias("station_id"), *(F.get_json_object("feature", f"$.geometry.coordinates[{at}]").cast("double").alias(c) for at, c in enumerate(("lon", "lat")))), "v_info", "select station_id, round(lon, 6) as lon, round(lat, 6) as lat from v_info")

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import EARTH_M
+from ..functions.exprs import EARTH_M, safe_corr
 from ..functions.freq import seconds
 from ..operators import flow, graph
 from ..plans.components import stored
@@ -354,7 +354,7 @@ def footprint(panel: DataFrame) -> DataFrame:
     moved = steps.agg(F.coalesce(F.sum(F.when(F.col("h") == F.col("ph") + 1, F.abs(F.col("x") - F.col("px")))), F.lit(0.0)).alias("moved"))
     span = last.agg(((F.max("h") - F.min("h") + 1)).alias("hours"), F.greatest((F.max("h") - F.min("h")) / 24, F.lit(1e-9)).alias("days"))
     caps = cap.agg(F.greatest(F.coalesce(F.sum("cap"), F.lit(0)).cast("double"), F.lit(1.0)).alias("caps"), F.count("*").alias("n"))
-    one = steps.groupBy("station_id").agg(F.count("*").alias("n"), F.stddev_pop("x").alias("sd"), F.corr("px", "x").alias("r")).where("n > 2 and sd > 1e-6 and r is not null").agg(F.coalesce(F.median("r"), F.lit(0.0)).alias("acf1"))
+    one = steps.groupBy("station_id").agg(F.count("*").alias("n"), F.stddev_pop("x").alias("sd"), safe_corr(F.col("px"), F.when(F.col("px").isNotNull(), F.col("x"))).alias("r")).where("n > 2 and sd > 1e-6 and r is not null").agg(F.coalesce(F.median("r"), F.lit(0.0)).alias("acf1"))
     out = last.join(cap, "station_id").agg(F.count_if((F.col("x") <= 1e-9) | (F.col("x") >= F.col("cap") - 1e-9)).alias("edge"))
     row = moved.join(F.broadcast(span)).join(F.broadcast(caps)).join(F.broadcast(one)).join(F.broadcast(out))  # one row each
     return row.select((F.col("moved") / 2 / F.col("caps") / F.col("days")).alias("turnover"), "acf1", (F.col("edge") / (F.col("hours") * F.col("n"))).alias("stockout"))
