@@ -273,7 +273,7 @@ _add("feed_vehicle_counts", lambda i: feeds.station_vehicle_counts(_documents(i,
 _add("feed_system_information", lambda i: feeds.system_information(i.select(F.to_json(F.struct(F.struct(F.col("station_id").alias("system_id"), F.col("name").alias("name"), F.lit("Lime").alias("operator"), F.lit("Europe/Paris").alias("timezone"), F.lit("fr").alias("language")).alias("data"))).alias("body"))), "v_info", "select station_id as system_id, name, 'Lime' as operator, 'Europe/Paris' as timezone, 'fr' as language from v_info")
 _add("feed_discovery", lambda i: feeds.discovery(i.select(F.col("station_id").alias("system_id"), F.when(F.col("capacity").isNull(), F.to_json(F.struct(F.lit("3.0").alias("version"), F.struct(F.array(F.struct(F.col("name").alias("name"), F.lit("u://3").alias("url"))).alias("feeds")).alias("data")))).otherwise(F.to_json(F.struct(F.struct(F.struct(F.array(F.struct(F.col("name").alias("name"), F.lit("u://2").alias("url"))).alias("feeds")).alias("fr")).alias("data")))).alias("body"))), "v_info", "select station_id as system_id, case when capacity is null then '3.0' else '2.x' end as version, name, case when capacity is null then 'u://3' else 'u://2' end as url from v_info")
 _add("feed_geofencing", lambda i: feeds.geofencing(i.select("system_id", F.to_json(F.struct(F.struct(F.struct(F.array(F.struct(F.struct(F.lit("Polygon").alias("type"), F.array(F.array(*(F.array(F.col("lon") + a, F.col("lat") + b) for a, b in ((0.0, 0.0), (0.01, 0.0), (0.01, 0.01), (0.0, 0.0))))).alias("coordinates")).alias("geometry"), F.struct(F.col("name"), F.array(F.struct((F.col("capacity") > 20).alias("ride_allowed"), F.lit(20).alias("maximum_speed_kph"))).alias("rules")).alias("properties"))).alias("features")).alias("geofencing_zones")).alias("data"))).alias("body"))).select("system_id", "zone_id", "ride_allowed", "maximum_speed_kph", F.size("rings").alias("n_rings"), F.size("holes").alias("n_holes"), F.round(F.col("rings")[0][1].lon, 6).alias("lon")), "v_info", f"select system_id, name as zone_id, capacity > 20 as ride_allowed, cast(20 as double) as maximum_speed_kph, 1 as n_rings, 0 as n_holes, {R('lon + 0.01', 'lon')} from v_info")
-_add("operator_brands", lambda i: i.select("station_id", exprs.normalize_operator(F.concat(F.element_at(F.array(*(F.lit(x) for x in ("Lime ", "nextbike ", "Citi Bike ", "Velib ", "Local "))), (F.col("station_id").cast("int") % 5 + 1)), F.col("region_id"))).alias("operator")), "v_info", "select station_id, case cast(station_id as int) % 5 when 0 then 'Lime' when 1 then 'Nextbike' when 2 then 'Lyft / Motivate' when 3 then 'Vélib'' Métropole' else concat('Local ', region_id) end as operator from v_info")
+_add("canonical_brands", lambda i: i.select("station_id", exprs.normalize_operator(F.concat(F.element_at(F.array(*(F.lit(x) for x in ("Lime ", "nextbike ", "Citi Bike ", "Velib ", "Local "))), (F.col("station_id").cast("int") % 5 + 1)), F.col("region_id"))).alias("operator")), "v_info", "select station_id, case cast(station_id as int) % 5 when 0 then 'Lime' when 1 then 'Nextbike' when 2 then 'Lyft / Motivate' when 3 then 'Vélib'' Métropole' else concat('Local ', region_id) end as operator from v_info")
 
 
 def _through_lake(panel: DataFrame) -> DataFrame:

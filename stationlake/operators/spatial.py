@@ -19,15 +19,21 @@ def nearest_stations(info: DataFrame, lat: float, lon: float, *, k: int = 1, max
     return (out if max_radius_m is None else out.where(F.col("distance_m") <= max_radius_m)).orderBy("distance_m", "station_id").limit(k)
 
 
+MAX_CATEGORIES = 1000  # of features, a column each
+
+
 def features_within(points: DataFrame, features: DataFrame, *, point_id: str, feature_id: str, radius_m: float = 300, category: str | None = None) -> DataFrame:
-    """Per point: features within the radius, by category too where one is given, and the nearest feature at any distance."""
+    """Per point: features within the radius, by category too where one is given (a column for each that features have), and the
+    nearest feature at any distance."""
     pairs = range_join(points.select(point_id, "lat", "lon"), features.select(feature_id, "lat", "lon", *([category] if category else [])), radius_m)
     n = pairs.groupBy(F.col(f"a_{point_id}").alias(point_id)).agg(F.count("*").alias("n_total"))
     out = points.join(n, point_id, "left").withColumn("n_total", F.coalesce("n_total", F.lit(0).cast("long")))
     if category:
-        wide = pairs.groupBy(F.col(f"a_{point_id}").alias(point_id)).pivot(f"b_{category}").count()
-        names = [c for c in wide.columns if c != point_id]
-        out = out.join(wide.select(point_id, *(F.col(c).alias(f"n_{c}") for c in names)), point_id, "left").fillna(0, [f"n_{c}" for c in names])
+        names = sorted(r[0] for r in features.select(F.col(category).cast("string")).where(F.col(category).isNotNull()).distinct().limit(MAX_CATEGORIES + 1).collect())
+        if len(names) > MAX_CATEGORIES:
+            raise ValueError(f"more than {MAX_CATEGORIES} categories")
+        count = pairs.groupBy(F.col(f"a_{point_id}").alias(point_id)).agg(F.count("*").alias("__all"), *(F.count_if(F.col(f"b_{category}") == c).alias(f"n_{c}") for c in names)).drop("__all")
+        out = out.join(count, point_id, "left").fillna(0, [f"n_{c}" for c in names])
     near = knn(points, features, 1, point_id, feature_id, exclude_self=False).select(F.col("a_id").alias(point_id), F.col("b_id").alias(f"nearest_{feature_id}"), F.col("distance_m").alias("nearest_m"))
     return out.join(near, point_id, "left")
 
