@@ -28,10 +28,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import give_back, table
 from .pieces import Remembered, column_ids
 
-KEPT_PAIRS = 1_000_000
+KEPT_PAIRS, KEPT_PIECES, BLOCK_BYTES = 300_000, 150_000, 3 << 20  # pairs; pieces, twice; bytes of text encoded at once
 
 def byte_letters() -> dict[str, int]:
     """The printable letter that stands for each byte in vocabulary files, by the usual rule: visible Latin-1 characters
@@ -233,7 +233,12 @@ class Encoder:
     def __init__(self, path: str):
         self.m = Merges(path)
         self.t = Transducer(self.m)
-        self.pieces = Remembered(self._piece)
+        self.pieces = Remembered(self._piece, KEPT_PIECES)
+
+    def forget(self) -> None:
+        """Gives back the memory of all that is remembered: a worker goes on to other stages' tasks."""
+        self.pieces = Remembered(self._piece, KEPT_PIECES)
+        self.m.pairs = {}
 
     def _word(self, pre: bytes) -> bytes:
         """Ids of one pre-token, through the transducer."""
@@ -257,7 +262,7 @@ class Encoder:
 
     def column(self, column: pa.Array):
         """Blocks of (ids, number of each row), as `column_ids` gives them."""
-        return column_ids(column, self.pieces, self.m.cut_special, self._around)
+        return column_ids(column, self.pieces, self.m.cut_special, self._around, BLOCK_BYTES)
 
 
 class Decoder:
@@ -336,6 +341,8 @@ def round_trip(docs: DataFrame, text: str = "text", id_col: str = "doc_id", path
             same = [hashlib.sha256((x or "").encode()).hexdigest() == y for x, y in zip(batch.column(1).to_pylist(), b)]
             columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array(same, pa.bool_()), pa.array(kept, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns if keep_ids else columns[:5], names)
+        enc.forget()
+        give_back()
 
     kind = src.schema[id_col].dataType.simpleString()
     names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256", "exact", *(["ids"] if keep_ids else [])]

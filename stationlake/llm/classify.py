@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import remainder, table
+from .common import give_back, remainder, table
 from .textkit import ALNUM_WORDS, Words, hash_words, mix, row_blocks
 
 SAMPLE = 8000  # labelled rows to learn from
@@ -165,10 +165,13 @@ class Toxicity:
 def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", sample: int = SAMPLE, penalty: float = 20.0) -> Toxicity:
     def run(batches):
         packed = lambda lists: pa.array([x.astype("<i4").tobytes() for x in lists], pa.binary())
-        for batch in batches:
-            own = feature_lists(batch.column(0))
-            changes = [change(a, b) for a, b in zip(own, feature_lists(pa.array([swapped(t) for t in batch.column(0).to_pylist()], pa.string())))]
-            yield pa.RecordBatch.from_arrays([packed(own), packed([c[0] for c in changes]), packed([c[1] for c in changes]), *batch.columns[1:]], ["x", "gone", "new", "y", "id", "h"])
+        for whole in batches:
+            for a, b, _, _ in row_blocks(whole.column(0), 1 << 19):  # a few texts at a time, whatever a batch holds
+                batch = whole.slice(a, b - a)
+                own = feature_lists(batch.column(0))
+                changes = [change(x, y) for x, y in zip(own, feature_lists(pa.array([swapped(t) for t in batch.column(0).to_pylist()], pa.string())))]
+                yield pa.RecordBatch.from_arrays([packed(own), packed([c[0] for c in changes]), packed([c[1] for c in changes]), *batch.columns[1:]], ["x", "gone", "new", "y", "id", "h"])
+        give_back()
 
     rows = gathered(labelled(docs, labels, "toxic", id_col, text, sample).mapInArrow(run, "x binary, gone binary, new binary, y int, id string, h long"), sample)
     own, gone, new = ([np.frombuffer(v.as_buffer(), "<i4") for chunk in rows.column(i).chunks for v in chunk] for i in range(3))  # views, not copies
@@ -287,6 +290,7 @@ def scored(docs: DataFrame, model, column: str, text: str = "text") -> DataFrame
         for batch in batches:
             s = [sent.value.scores(data, offs) for _, _, data, offs in row_blocks(batch.column(at))]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate([np.zeros(0), *s]))], [*names, column])
+        give_back()
 
     from pyspark.sql import types as T
 

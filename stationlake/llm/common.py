@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import math
 import uuid
 
@@ -9,12 +10,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MARK = "__"
-BATCH_BYTES = 8 << 20  # of an Arrow batch; a batch of rows counted alone could hold as many very long texts
+BATCH_BYTES = 4 << 20  # of an Arrow batch; a batch of rows counted alone could hold as many very long texts
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def table(spark: SparkSession, sf_dir: str, name: str, batch_bytes: int = BATCH_BYTES) -> DataFrame:
     """A table of a test-data folder. The session's Arrow batches are bounded by bytes from here on."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", batch_bytes)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -43,6 +44,18 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{top.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+def give_back() -> None:
+    """Returns memory that a worker's allocators keep for later to the system; the worker goes on to other tasks, beside others
+    on the executor. Does nothing where the C library can't."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
 def deleted(spark: SparkSession, path: str) -> None:
     """Removes a written table that is no longer needed."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -21,13 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, fresh, stored, table, text_bytes
+from .common import blocks, fresh, give_back, stored, table, text_bytes
 from .textkit import ALNUM_WORDS, Words, row_blocks, text_buffer, words_of
 
 WINDOW = 10
 SAMPLE = 8  # every so many positions the suffix array is kept
 SHARD = 1 << 20  # symbols of a shard
-SHARD_BYTES = 4 << 20  # of text that are cut into words at once
+SHARD_BYTES = 2 << 20  # of text that are cut into words at once
 BLOCK_BYTES = 8_000_000
 
 
@@ -282,6 +282,7 @@ def mark(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int
             for batch in batches:
                 found = _merged(batch, at, kept, sent.value)
                 yield _cut(found, at, kept) if finish else found
+            give_back()
 
         out = out.mapInArrow(run, docs.schema if cut and last else out.schema)
         if not last:

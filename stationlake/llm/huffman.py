@@ -314,5 +314,5 @@ def read_files(spark: SparkSession, folder: str) -> DataFrame:
 
 def op3_huffman_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_folder(spark)
-    write_files(table(spark, sf_dir, "documents"), folder)
+    write_files(table(spark, sf_dir, "documents", 8 << 20), folder)  # distinct pieces are found per batch
     return read_files(spark, folder)

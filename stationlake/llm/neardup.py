@@ -26,10 +26,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import HOT_SHARE, blocks, deleted, spread_join, stored, table
+from .common import HOT_SHARE, blocks, deleted, fresh, give_back, spread_join, stored, table
 from .components import components
 from .elias import pack_sorted, unpack_sorted
-from .pull import FRAGMENT_BYTES, answered, counting, exchange, fragmented, large, request_table, requests, small
+from .pull import answered, counting, exchange, fragmented, large, request_table, requests, small
 from .textkit import ALNUM_WORDS, Words, mix, row_blocks
 
 SIZE = 5
@@ -37,6 +37,8 @@ THRESHOLD = 0.8
 BANDS, ROWS = 14, 4
 DAMP = 0.25
 GRID = 64
+FRAGMENT_BYTES = 4_000_000  # of text that a task sketches at once; all its shingles are held
+BROADCAST_BYTES, ROW_BYTES = 32_000_000, 100  # of an id and a key of 32 characters in a broadcast table
 _TABLE = 14
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -152,10 +154,12 @@ def sketches(docs: DataFrame, id_col: str, text: str, kept: list[str]) -> DataFr
     short = np.uint64(64 - bits)
 
     def ask(t: pa.Table) -> pa.Table:
+        give_back()
         keys, counts = np.unique(np.concatenate([np.zeros(0, np.uint64), *(h >> short for _, _, h, _ in shingles(t.column("t")))]), return_counts=True)
         return request_table(requests(t.column("frag")[0].as_py(), 1, 1, keys, counts, bits, log_buckets))
 
     def sketch(key, t: pa.Table, a: pa.Table) -> pa.Table:
+        give_back()
         got = list(shingles(t.column("t")))
         keys = np.unique(np.concatenate([np.zeros(0, np.uint64), *(h >> short for _, _, h, _ in got)]))
         held = answered(a, 1, keys, 1, bits, log_buckets)
@@ -240,17 +244,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with one row of each class. Which rows go is joined by id and text, since rows have no other name; of rows equal
-    in both any one stays."""
+    in both any one stays. Names of the rows that go are broadcast up to BROADCAST_BYTES, else both sides are shuffled."""
     found = stored(near_duplicates(docs, id_col, text).select(F.col(id_col).alias("__id"), F.col("key").alias("__key"), "keep"), "classes")
     by_row = stored(found.groupBy("__id", "__key").agg(F.max("keep").alias("keep"), F.count("*").alias("n")), "rows")
     gone = by_row.where(~F.col("keep")).select("__id", "__key")
-    names = docs.columns
-    src = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("__row"), F.col(f"`{id_col}`").alias("__own_id"), F.md5(F.coalesce(F.col(f"`{text}`"), F.lit(""))).alias("__own"))
-    rows = src.join(gone, F.col("__own_id").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__key")), "left_anti")
+    own_id, own, left, right = fresh(docs, "__own_id", "__own", "__id", "__key")
+    src = docs.withColumns({own_id: F.col(f"`{id_col}`"), own: F.md5(F.coalesce(F.col(f"`{text}`"), F.lit("")))})
+    few = gone.count() * ROW_BYTES <= BROADCAST_BYTES
+    gone = gone.toDF(left, right)
+    rows = src.join(F.broadcast(gone) if few else gone, F.col(own_id).eqNullSafe(F.col(left)) & (F.col(own) == F.col(right)), "left_anti")
     if by_row.where("keep and n > 1").limit(1).count():
         empty = F.md5(F.lit(""))  # empty texts are each their own class
-        rows = rows.where(F.col("__own") != empty).dropDuplicates(["__own_id", "__own"]).unionByName(rows.where(F.col("__own") == empty))
-    return rows.select(*(F.col("__row").getField(c).alias(c) for c in names))
+        rows = rows.where(F.col(own) != empty).dropDuplicates([own_id, own]).unionByName(rows.where(F.col(own) == empty))
+    return rows.drop(own_id, own)
 
 
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -124,9 +124,10 @@ def gathered(parts: list[bytes], codes: np.ndarray) -> tuple[np.ndarray, np.ndar
     return flat[at], n
 
 
-def column_ids(column: pa.Array, pieces: Remembered, special: re.Pattern | None, whole: Callable[[str], bytes]):
-    """Yields (ids, number of each row) for blocks of the rows, in order; rows with a special token's text go to `whole`."""
-    for a, b, data, offs in row_blocks(column, 8 << 20):
+def column_ids(column: pa.Array, pieces: Remembered, special: re.Pattern | None, whole: Callable[[str], bytes], most: int = 8 << 20):
+    """Yields (ids, number of each row) for blocks of the rows, in order; rows with a special token's text go to `whole`.
+    A block has about `most` bytes, or is one longer text."""
+    for a, b, data, offs in row_blocks(column, most):
         apart = {}
         if special is not None:
             rows = column.slice(a, b - a)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import give_back, table
 
 KINDS = ("assign", "access", "hex", "der", "ssh", "jwt")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -261,6 +261,7 @@ def redact(docs: DataFrame, text: str = "text", mask: str = "[SECRET]") -> DataF
                             last = b
                         values[i] = "".join([*parts, value[last:]])
             yield batch.set_column(at, batch.schema.field(at), pa.array(values, batch.schema.field(at).type))
+        give_back()
 
     return docs.mapInArrow(clean, docs.schema)
 

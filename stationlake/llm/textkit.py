@@ -58,7 +58,7 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offs[0] : offs[-1]], offs - offs[0]
 
 
-def row_blocks(column: pa.Array, most: int = 2 << 20):
+def row_blocks(column: pa.Array, most: int = 1 << 20):
     """Yields (first row, past last row, bytes, offsets) in blocks of about `most` bytes; a longer text is a block of its own."""
     data, offs = text_buffer(column)
     n, a = len(offs) - 1, 0
