@@ -24,3 +24,9 @@ def test_asof_join_of_rows_in_changing_order(spark):
     assert len(got) == 300
     for r in got:
         assert abs((r.observed_at - r.fetched_at).total_seconds()) <= 1800
+
+
+def test_profiles_do_not_hang_on_the_order_of_rows(spark):
+    rows = [("s", "a", datetime(2024, 1, 1 + i, 7), b, 10 - b, 10) for i, b in enumerate([1, 2, 3, 1, 2, 7, 9, 3, 3, 6, 1, 2])]
+    make = lambda x: service.diurnal_profiles(spark.createDataFrame(x, "system_id string, station_id string, fetched_at timestamp, num_bikes_available long, num_docks_available long, capacity long").coalesce(1)).first().h07
+    assert len({make(sorted(rows, key=lambda r: (r[3] * k) % 11)) for k in range(1, 11)}) == 1
