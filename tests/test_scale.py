@@ -118,3 +118,40 @@ def test_rewiring_of_a_large_graph(spark):
     assert got.groupBy("a_id").count().where("count <> 2").isEmpty() and got.distinct().count() == 2_000_002
 
 
+
+
+def rows_sent(df) -> int:
+    """Rows that the shuffles of a frame's plan put out; the plan runs once."""
+    df.collect()
+    nodes, total = [df._jdf.queryExecution().executedPlan()], 0
+    while nodes:
+        node = nodes.pop()
+        if node.nodeName() == "AdaptiveSparkPlan":
+            nodes.append(node.executedPlan())
+        elif "QueryStage" in node.nodeName():
+            nodes.append(node.plan())
+        elif node.nodeName() == "Exchange":
+            total += node.metrics().apply("shuffleRecordsWritten").value()
+        nodes += [node.children().apply(i) for i in range(node.children().size())]
+    return total
+
+
+def copied_series(spark, copies):
+    """Bins of copies of three stations and a flat one, and what pandas gives for pairs of the three."""
+    x = {"a": [1, 2, 2, 5, 3, 9], "b": [2, 1, 4, 4, 6, 5], "c": [9, 7, 7, 1, 2, 0]}
+    rows = [(f"{k}{i:03d}", h, float(v)) for k, s in (x | {"flat": [4] * 6}).items() for i in range(copies) for h, v in enumerate(s)]
+    return spark.createDataFrame(rows, "station_id string, b long, x double"), pd.DataFrame(x)
+
+
+def check_copies(spark, method, want):
+    bins, x = copied_series(spark, 150)
+    got = kernels.pair_correlations(bins, method, 3)
+    assert rows_sent(got) < 1000  # 3600 readings, dealt to pairs of blocks
+    out = got.toPandas()
+    assert len(out) == 450 * 449 // 2 == len(out[["station_a", "station_b"]].drop_duplicates()) and (out.station_a < out.station_b).all() and (out.n_overlap == 6).all()
+    for (a, b), part in out.groupby([out.station_a.str[0], out.station_b.str[0]]):
+        assert part["corr"].to_numpy() == pytest.approx(want(x[a].to_numpy(), x[b].to_numpy())), (a, b)
+
+
+def test_synchrony_correlates_equal_series_once(spark):
+    check_copies(spark, "pearson", lambda x, y: np.corrcoef(x, y)[0, 1])
