@@ -1,6 +1,7 @@
 """What larger tables brought up: results that do not hang on the order of rows, whole results without limits of size."""
 
 import os
+import time
 from datetime import datetime, timedelta
 
 import numpy as np
@@ -8,7 +9,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from stationlake.operators import clusters, frames, graph, kernels, service, spatial
+from stationlake.operators import clusters, frames, graph, kernels, resampling, service, spatial
 
 
 def test_asof_join_of_rows_in_changing_order(spark):
@@ -155,3 +156,32 @@ def check_copies(spark, method, want):
 
 def test_synchrony_correlates_equal_series_once(spark):
     check_copies(spark, "pearson", lambda x, y: np.corrcoef(x, y)[0, 1])
+
+
+def test_synchrony_by_rank_correlates_equal_series_once(spark):
+    check_copies(spark, "spearman", lambda x, y: np.corrcoef(pd.Series(x).rank(), pd.Series(y).rank())[0, 1])
+
+
+def test_synchrony_by_concordance_correlates_equal_series_once(spark):
+    sign = lambda v: np.sign(v[:, None] - v)
+    check_copies(spark, "kendall", lambda x, y: (sign(x) * sign(y)).sum() / np.sqrt((sign(x) ** 2).sum() * (sign(y) ** 2).sum()))
+
+
+def test_tension_counts_a_place_once(spark):
+    p = spark.sql("select 's' as system_id, cast(id as string) as station_id, 48D + id % 3 / 10D as lat, 2D as lon, cast(id % 3 = 0 as long) * 2 as num_bikes_available, timestamp '2026-01-01' as fetched_at from range(300)")
+    target = p.selectExpr("station_id", "cast(num_bikes_available = 0 and lat > 48.15D as double) as target")
+    got = resampling.rebalancing_tension(p, target=target)
+    assert rows_sent(got) < 1500  # rows of one snapshot's stations go into few of its places
+    assert got.first().bike_km == pytest.approx(200 * 6371 * np.radians(0.2))
+
+
+def test_transport_between_many_places():
+    rng = np.random.default_rng(3)
+    a, b = rng.dirichlet(np.ones(150)), rng.dirichlet(np.ones(1500))
+    x, y = rng.uniform(0, 9e3, 150), rng.uniform(0, 9e3, 1500)
+    at = np.concatenate((x, y))
+    order = np.argsort(at)
+    want = np.abs(np.cumsum(np.concatenate((a, -b))[order]))[:-1] @ np.diff(at[order])
+    began = time.process_time()
+    assert resampling.transport_cost(np.abs(x[:, None] - y), a, b) == pytest.approx(want)
+    assert time.process_time() - began < 30  # minutes by paths for each unit
